@@ -62,3 +62,16 @@ def crossing_pairs(found: Overlaps) -> DataFrame:
     )
     near = both.join(train, "rep_t").join(held, "rep_e").select("train_id", "eval_id", "similarity")
     return same.unionByName(near).distinct()
+
+
+def overlap_report(pairs: DataFrame, documents: DataFrame) -> DataFrame:
+    """(subset, source, n_pairs, n_eval_docs, n_train_docs) of the crossing pairs, by subset and source of the evaluation document.
+
+    documents: doc_id, canonical subset, source; a null source is reported as null.
+    """
+    of = documents.select(F.col("doc_id").alias("eval_id"), "subset", "source")
+    return pairs.join(of, "eval_id").groupBy("subset", "source").agg(
+        F.count("*").alias("n_pairs"),
+        F.countDistinct("eval_id").alias("n_eval_docs"),
+        F.countDistinct("train_id").alias("n_train_docs"),
+    )

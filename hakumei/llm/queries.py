@@ -1,4 +1,4 @@
-"""Queries of the training-data operators over the driver's tables."""
+"""Queries of the training-data operators over the driver's tables, and SQL where it can express them."""
 
 from __future__ import annotations
 
@@ -7,9 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import table
-from .crosssplit import crossing_pairs, split_overlaps
+from .base import SOURCE_GENRES, bounded_rows, table, true_genre
+from .crosssplit import crossing_pairs, overlap_report, split_overlaps
+from .cutting import cut_items
+from .groupsplit import broken_works, grouped_split, resolved
+from .leakage import leaked_passages, leak_report
+from .lookalike import lookalike_pairs, normalised
+from .mixing import mix_sources
 from .neardup import document_pairs, duplicate_groups, near_duplicates
+from .tokens import encoded
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mix_sources(table(spark, sf_dir, "corpus_items"), table(spark, sf_dir, "mixture_targets"))
+    return mix.plan.where("not reachable").select("mix_id", "source").distinct()
+
+
+def p1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "corpus_items"), table(spark, sf_dir, "mixture_targets")).items
+
+
+def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "corpus_items"), table(spark, sf_dir, "mixture_targets")).report
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,9 +47,83 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).distinct()
 
 
+def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "annotated_docs")
+    pairs = crossing_pairs(split_overlaps(docs, F.col("subset")))
+    works = resolved(docs, table(spark, sf_dir, "corpus_items"))
+    return overlap_report(pairs, works.select("doc_id", "subset", F.split("work_key", ":")[0].alias("source")))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return broken_works(resolved(table(spark, sf_dir, "annotated_docs"), table(spark, sf_dir, "corpus_items")))
+
+
+def p4_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = resolved(table(spark, sf_dir, "annotated_docs"), table(spark, sf_dir, "corpus_items"))
+    return grouped_split(records, table(spark, sf_dir, "split_plan"))
+
+
+def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    limits = bounded_rows(table(spark, sf_dir, "cut_limits").distinct(), 1000, "cut_limits")  # one row per genre
+    genre = true_genre(F.col("item_id"))
+
+    def of(field: str):
+        pairs = [F.lit(x) for r in limits if r["genre"] is not None for x in (r["genre"], r[field])]
+        return F.create_map(*pairs)[genre] if pairs else F.lit(None).cast("int")
+
+    return cut_items(table(spark, sf_dir, "corpus_items"), "item_id", "text", of("max_chars"), of("overlap_chars"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pieces(spark, sf_dir).where("n_pieces > 1").select("item_id").distinct()
+
+
+def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pieces(spark, sf_dir)
+
+
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded(table(spark, sf_dir, "documents"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "test_passages"))
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leak_report(p7_found(spark, sf_dir), table(spark, sf_dir, "test_passages"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike_pairs(table(spark, sf_dir, "documents"))
+
+
+def p8_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return normalised(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found}
+    own = (
+        p1_found, p1_mix, p1_report, p2_found, p2_groups, p3_found, p3_report, p4_found, p4_split,
+        p5_found, p5_pieces, p6_ids, p7_found, p7_report, p8_found, p8_forms,
+    )
+    return {f.__name__: f for f in own}
+
+
+_GENRE_SQL = "CASE split_part(item_id, ':', 1) " + " ".join(f"WHEN '{s}' THEN '{g}'" for s, g in SOURCE_GENRES.items()) + " END"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """p2, p3, p4 and p8 need NFKC, p6 a tokenizer, p7 is too slow as SQL on whole tables: tests compare them with brute force."""
+    return {
+        "p1_found": """
+            WITH sized AS (SELECT split_part(item_id, ':', 1) AS source, max(coalesce(length(text), 0)) AS n
+                           FROM corpus_items GROUP BY item_id, 1),
+            sums AS (SELECT source, sum(n) AS size FROM sized GROUP BY source)
+            SELECT DISTINCT t.mix_id, t.source FROM mixture_targets t LEFT JOIN sums s ON s.source = t.source
+            WHERE coalesce(s.size, 0)::DOUBLE * t.max_repeat
+                  < t.target_share * t.size_ratio * (SELECT sum(n) FROM sized)::DOUBLE""",
+        "p5_found": f"""
+            SELECT DISTINCT item_id FROM corpus_items c JOIN cut_limits l ON l.genre = {_GENRE_SQL}
+            WHERE length(c.text) > l.max_chars""",
+    }
