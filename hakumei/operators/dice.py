@@ -1,0 +1,39 @@
+"""Reproducible draws as column expressions: a hash of seed, row and tag decides, whatever the partitioning."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+class Dice:
+    """Throws for one row, told apart by their tags."""
+
+    def __init__(self, seed: int, row: Column) -> None:
+        self.seed, self.row = seed, row
+
+    def hash(self, tag: str) -> Column:
+        return F.xxhash64(F.lit(self.seed), self.row, F.lit(tag))
+
+    def below(self, n: int, tag: str) -> Column:
+        """0 .. n - 1 as long."""
+        return F.pmod(self.hash(tag), F.lit(n).cast("long"))
+
+    def unit(self, tag: str) -> Column:
+        """[0, 1)"""
+        return F.shiftrightunsigned(self.hash(tag), 11).cast("double") / float(1 << 53)
+
+    def choice(self, values: Sequence[str], tag: str) -> Column:
+        return F.get(F.array(*map(F.lit, values)), self.below(len(values), tag).cast("int"))
+
+    def weighted(self, values: Sequence[tuple[str, float]], tag: str) -> Column:
+        """A value with probability in proportion to its weight; all weights zero means equal ones."""
+        total = sum(w for _, w in values)
+        weights = [(v, w / total if total > 0 else 1 / len(values)) for v, w in values]
+        u, out, reached = self.unit(tag), None, 0.0
+        for v, w in weights:
+            reached += w
+            out = F.when(u < reached, F.lit(v)) if out is None else out.when(u < reached, F.lit(v))
+        return out.otherwise(F.lit(weights[-1][0]))
