@@ -17,14 +17,21 @@ SPAN = "struct<start_pos:int,end_pos:int,label:string,text:string,score:double,s
 Key = Callable[[Column], Column]
 
 
-def no_spans() -> Column:
-    return F.array().cast(f"array<{SPAN}>")
+def no_spans(kind: str = SPAN) -> Column:
+    """An empty array. It is given as a literal of its type because taking none of an array would compute that array again."""
+    return F.array().cast(f"array<{kind}>")
 
 
-def present(spans: Column) -> Column:
+def present(spans: Column, kind: str = SPAN) -> Column:
     """The spans, none for null; null elements and spans without proper borders are left out."""
     kept = F.filter(spans, lambda s: s.isNotNull() & (s["start_pos"] >= 0) & (s["end_pos"] > s["start_pos"]))
-    return F.coalesce(kept, F.slice(kept, 1, 0), F.filter(spans, lambda s: F.lit(False)))
+    return F.coalesce(kept, no_spans(kind))
+
+
+def plain(spans: Column) -> Column:
+    """Spans with the six fields of SPAN only."""
+    fields = ("start_pos", "end_pos", "label", "text", "score", "source")
+    return F.transform(spans, lambda s: F.struct(*(s[f].alias(f) for f in fields)).cast(SPAN))
 
 
 def overlaps(a: Column, b: Column) -> Column:
@@ -62,11 +69,11 @@ def by_score(spans: Column) -> Column:
     return ordered(spans, lambda s: -s["score"], lambda s: -length(s), lambda s: s["start_pos"])
 
 
-def greedy(sorted_spans: Column) -> Column:
+def greedy(sorted_spans: Column, kind: str = SPAN) -> Column:
     """Those that overlap none of the ones kept before them, in the given order."""
     return F.aggregate(
         sorted_spans,
-        F.slice(sorted_spans, 1, 0),
+        no_spans(kind),
         lambda kept, s: F.when(F.exists(kept, lambda k: overlaps(k, s)), kept).otherwise(F.concat(kept, F.array(s))),
     )
 
@@ -86,15 +93,24 @@ def first_from_left(spans: Column) -> Column:
     return greedy(ordered(present(spans), lambda s: s["start_pos"], lambda s: -length(s)))
 
 
+def _first_of_equal(sorted_spans: Column, same: Callable[[Column, Column], Column]) -> Column:
+    """The first of each run of equal neighbours."""
+
+    def step(acc: Column, s: Column) -> Column:
+        last = F.get(acc, F.size(acc) - 1)
+        return F.when(last.isNotNull() & same(last, s), acc).otherwise(F.concat(acc, F.array(s)))
+
+    return F.aggregate(sorted_spans, no_spans(), step)
+
+
+def _same_borders(a: Column, b: Column) -> Column:
+    return (a["start_pos"] == b["start_pos"]) & (a["end_pos"] == b["end_pos"])
+
+
 def dedupe_max_score(spans: Column) -> Column:
     """For each (start_pos, end_pos) the highest score, the first among equals; sorted by position."""
     best = ordered(present(spans), lambda s: s["start_pos"], lambda s: s["end_pos"], lambda s: -s["score"])
-    return F.filter(
-        F.transform(best, lambda s, i: F.struct(s.alias("s"), F.get(best, i - 1).alias("before"))),
-        lambda x: x["before"].isNull()
-        | (x["before"]["start_pos"] != x["s"]["start_pos"])
-        | (x["before"]["end_pos"] != x["s"]["end_pos"]),
-    )["s"]
+    return _first_of_equal(best, _same_borders)
 
 
 def merged_windows(spans: Column, text: Column) -> Column:
@@ -105,13 +121,7 @@ def merged_windows(spans: Column, text: Column) -> Column:
     is resolved by score.
     """
     best = ordered(present(spans), lambda s: s["start_pos"], lambda s: s["end_pos"], lambda s: s["label"], lambda s: -s["score"])
-    distinct = F.filter(
-        F.transform(best, lambda s, i: F.struct(s.alias("s"), F.get(best, i - 1).alias("b"))),
-        lambda x: x["b"].isNull()
-        | (x["b"]["start_pos"] != x["s"]["start_pos"])
-        | (x["b"]["end_pos"] != x["s"]["end_pos"])
-        | (x["b"]["label"] != x["s"]["label"]),
-    )["s"]
+    distinct = _first_of_equal(best, lambda a, b: _same_borders(a, b) & (a["label"] == b["label"]))
 
     def step(acc: Column, s: Column) -> Column:
         last = F.get(acc, F.size(acc) - 1)
@@ -126,7 +136,7 @@ def merged_windows(spans: Column, text: Column) -> Column:
             F.concat(acc, F.array(s))
         )
 
-    united = F.aggregate(distinct, F.slice(distinct, 1, 0), step)
+    united = F.aggregate(distinct, no_spans(), step)
     return by_position(greedy(by_score(united)))
 
 

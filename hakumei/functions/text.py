@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +16,11 @@ HYPHENS = "‐‑‒–—―−－"
 _SENTINEL = "\u0001"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once; inside lambdas Spark would compute it at every mention."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def nfkc(col: Column) -> Column:
     """NFKC in the JVM, by the Unicode library that ships with Spark; null stays null.
 
@@ -83,9 +91,16 @@ def first_word(text: Column, words: tuple[str, ...]) -> Column:
     return F.coalesce(*(F.when(F.contains(text, F.lit(w)), F.lit(w)) for w in words))
 
 
+def unicode_classes(pattern: str) -> str:
+    """The pattern with digits and blanks of all scripts, which costs less than the engine's own Unicode mode."""
+    blank = r"\s\x{85}\p{Z}"
+    inside = re.sub(r"\[[^\]]*\]", lambda m: m[0].replace(r"\s", blank).replace(r"\d", r"\p{Nd}"), pattern)
+    return inside.replace(r"\d", r"\p{Nd}").replace(r"\s*", f"[{blank}]*").replace(r"\s+", f"[{blank}]+")
+
+
 def pattern_matches(text: Column, pattern: str) -> Column:
     """array<struct<start_pos int, text string>> of the non-overlapping matches, offsets in code points."""
-    marked = F.regexp_replace(F.translate(text, _SENTINEL, "\u0002"), "(?U)" + pattern, f"{_SENTINEL}$0{_SENTINEL}")
+    marked = F.regexp_replace(F.translate(text, _SENTINEL, "\u0002"), unicode_classes(pattern), f"{_SENTINEL}$0{_SENTINEL}")
     parts = F.split(marked, _SENTINEL, -1)
     kind = "struct<pos:int,odd:boolean,out:array<struct<start_pos:int,text:string>>>"
     zero = F.struct(
@@ -100,7 +115,7 @@ def pattern_matches(text: Column, pattern: str) -> Column:
             F.when(acc["odd"], F.concat(acc["out"], hit)).otherwise(acc["out"]).alias("out"),
         ).cast(kind)
 
-    return F.when(F.size(parts) > 1, F.aggregate(parts, zero, step)["out"]).otherwise(zero["out"])
+    return F.aggregate(parts, zero, step)["out"]
 
 
 def preview(value: Column) -> Column:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import spans as S
+from ..functions import text as X
 from ..functions import vocab
 
 #: O, B-NAME, I-NAME, ... in the order of the label dimension.
@@ -63,15 +65,19 @@ def decode_bio(scored: Column, text: Column, threshold: float = 0.05) -> Column:
 
     def closed(acc: Column) -> Column:
         raw = F.substring(text, acc["start_pos"] + 1, acc["end_pos"] - acc["start_pos"])
-        left = F.length(raw) - F.length(F.regexp_replace(raw, r"(?U)^\s+", ""))
-        value = F.regexp_replace(raw, r"(?U)^\s+|\s+$", "")
-        start = acc["start_pos"] + left
-        span = F.struct(
-            start.alias("start_pos"), (start + F.length(value)).alias("end_pos"), acc["label"].alias("label"),
-            value.alias("text"), acc["score"].alias("score"), F.lit("model").alias("source"),
-        ).cast(S.SPAN)
-        keep = acc["label"].isNotNull() & (value != "") & (acc["score"] >= threshold)
-        return F.when(keep, F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
+        parts = X.let(raw, lambda r: F.struct(r.alias("raw"), F.regexp_replace(r, r"(?U)^\s+", "").alias("tail")))
+
+        def appended(p: Column) -> Column:
+            value = F.regexp_replace(p["tail"], r"(?U)\s+$", "")
+            start = acc["start_pos"] + F.length(p["raw"]) - F.length(p["tail"])
+            span = F.struct(
+                start.alias("start_pos"), (start + F.length(value)).alias("end_pos"), acc["label"].alias("label"),
+                value.alias("text"), acc["score"].alias("score"), F.lit("model").alias("source"),
+            ).cast(S.SPAN)
+            return F.when(value != "", F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
+
+        keep = acc["label"].isNotNull() & (acc["score"] >= threshold)
+        return F.when(keep, X.let(parts, appended)).otherwise(acc["out"])
 
     def made(label: Column, start: Column, end: Column, score: Column, out: Column) -> Column:
         return F.struct(
@@ -107,47 +113,46 @@ def bio_tags(spans: Column, tokens: Column) -> Column:
     return F.transform(tokens, tag)
 
 
-def refined(spans: Column, text: Column) -> Column:
-    """Names and addresses without symbols, honorifics and particles at their borders; never empty.
+def refined_borders(text: str, start: int, end: int) -> tuple[int, int]:
+    """Borders without symbols on either side and without honorifics and particles at the end; as given if nothing would be left.
 
-    Each round trims symbols on both sides and one honorific from the end, and only if
-    that changed nothing one particle; rounds go on until nothing changes. A round shortens the
-    span by one character at least, so as many rounds as characters are always enough.
+    Each round trims symbols and one honorific, and a particle only if that changed nothing.
     """
-    trim = "[" + "".join("\\" + c for c in vocab.TRIM_CHARS) + "]+"
-
-    def cut_suffix(value: Column, words: tuple[str, ...]) -> Column:
-        out = value
-        for w in reversed(words):
-            out = F.when((F.length(value) > len(w)) & F.endswith(value, F.lit(w)), F.left(value, F.length(value) - len(w))).otherwise(out)
-        return out
-
-    kind = "struct<start_pos:int,value:string,done:boolean>"
-
-    def round_(acc: Column, _: Column) -> Column:
-        tail = F.regexp_replace(acc["value"], trim + "$", "")
-        body = F.regexp_replace(tail, "^" + trim, "")
-        honoured = cut_suffix(body, vocab.HONORIFICS)
-        plain = F.when(honoured != acc["value"], honoured).otherwise(cut_suffix(honoured, vocab.PARTICLES))
-        start = acc["start_pos"] + F.length(tail) - F.length(body)
-        after = F.struct(start.alias("start_pos"), plain.alias("value"), ((plain == acc["value"]) | (plain == "")).alias("done"))
-        return F.when(acc["done"], acc).otherwise(after.cast(kind))
-
-    def refine(s: Column) -> Column:
-        value = F.substring(text, s["start_pos"] + 1, s["end_pos"] - s["start_pos"])
-        zero = F.struct(s["start_pos"].alias("start_pos"), value.alias("value"), F.lit(False).alias("done")).cast(kind)
-        rounds = F.sequence(F.lit(1), F.greatest(F.length(value), F.lit(1)))
-        got = F.aggregate(rounds, zero, round_)
-        better = s["label"].isin(*vocab.REFINED_LABELS) & (got["value"] != "")
-        start = F.when(better, got["start_pos"]).otherwise(s["start_pos"])
-        new = F.when(better, got["value"]).otherwise(s["text"])
-        end = F.when(better, got["start_pos"] + F.length(got["value"])).otherwise(s["end_pos"])
-        return F.struct(
-            start.alias("start_pos"), end.cast("int").alias("end_pos"), s["label"].alias("label"), new.alias("text"),
-            s["score"].alias("score"), s["source"].alias("source"),
-        )
+    value = text[start:end]
+    low = start
+    while value:
+        tail = value.rstrip(vocab.TRIM_CHARS)
+        body = tail.lstrip(vocab.TRIM_CHARS)
+        low += len(tail) - len(body)
+        for words in (vocab.HONORIFICS, vocab.PARTICLES if body == value else ()):
+            ending = next((w for w in words if len(body) > len(w) and body.endswith(w)), "")
+            if ending:
+                body = body[: -len(ending)]
+                break
+        if body == value:
+            return low, low + len(value)
+        value = body
+    return start, end
+
 
-    return F.transform(S.present(spans), refine)
+def refined(spans: Column, text: Column) -> Column:
+    """Names and addresses with refined borders, all other spans as they are. A fixpoint, so it runs in Python, batch by batch."""
+
+    def run(lists: pd.Series, texts: pd.Series) -> pd.Series:
+        out = []
+        for own, t in zip(lists, texts):
+            new = []
+            for s in own if own is not None else ():
+                s = dict(s)
+                if t is not None and s["label"] in vocab.REFINED_LABELS:
+                    a, b = refined_borders(t, s["start_pos"], min(s["end_pos"], len(t)))
+                    if (a, b) != (s["start_pos"], s["end_pos"]):
+                        s |= {"start_pos": a, "end_pos": b, "text": t[a:b]}
+                new.append(s)
+            out.append(new)
+        return pd.Series(out, dtype=object)
+
+    return F.pandas_udf(run, f"array<{S.SPAN}>")(S.plain(S.present(spans)), text)
 
 
 def agreement(tokens: DataFrame, by: str, a: str, b: str) -> DataFrame:

@@ -27,8 +27,7 @@ def with_mask(
     that already holds a generated placeholder is reported by `collisions`.
     """
     t = F.col(text)
-    chosen = S.first_from_left(F.col(spans))
-    rows = df.withColumn("_s", F.coalesce(chosen, S.present(F.col(spans))))
+    rows = df.withColumn("_s", S.first_from_left(S.plain(F.col(spans))))
     originals = F.transform("_s", lambda s: F.when(F.length(s["text"]) > 0, s["text"]).otherwise(X.slice_of(t, s["start_pos"], s["end_pos"])))
     rows = rows.withColumn("_o", originals)
     joined = F.array_join(F.transform("_o", lambda o: F.translate(o, _SEP, "\u0002")), _SEP)

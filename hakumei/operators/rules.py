@@ -36,37 +36,54 @@ class Rule:
 DEFAULT_RULES = tuple(Rule(*row) for row in vocab.RULES)
 
 
+CANDIDATE = (
+    "struct<start_pos:int,end_pos:int,label:string,text:string,score:double,source:string,rule_id:string,"
+    "matched_context:string,priority:int,checksum_valid:boolean,keep:boolean>"
+)
+
+
 def selected(rules: Iterable[Rule] | None = None, types: Iterable[str] | None = None) -> list[Rule]:
     allowed = set(vocab.RULE_DETERMINISTIC if types is None else types)
     return [r for r in (DEFAULT_RULES if rules is None else rules) if r.label in allowed]
 
 
 def _of_rule(text: Column, rule: Rule, width: int) -> Column:
+    check = CHECKSUMS.get(rule.label)
+
     def found(m: Column) -> Column:
         start, value = m["start_pos"], m["text"]
         end = start + F.length(value)
-        left = X.slice_of(text, F.greatest(start - width, F.lit(0)), start)
-        around = X.context(text, start, end, width)
         keep = F.lit(True)
         if rule.validator:
             keep = keep & VALIDATORS[rule.validator](value)
         if rule.label == "PHONE":
             keep = keep & ~X.looks_like_date(value)
         if rule.negative_context:
-            keep = keep & X.first_word(left, rule.negative_context).isNull()
-        hit = F.when(keep, X.first_word(around, rule.context))
-        if rule.require_context:
-            keep = keep & hit.isNotNull()
-        score = F.least(F.lit(vocab.SCORE_CAP), F.lit(rule.confidence) + F.when(hit.isNotNull(), F.lit(vocab.CONTEXT_BONUS)).otherwise(F.lit(0.0)))
-        check = CHECKSUMS.get(rule.label)
+            left = X.slice_of(text, F.greatest(start - width, F.lit(0)), start)
+            keep = keep & X.let(left, lambda x: X.first_word(x, rule.negative_context)).isNull()
+        around = X.context(text, start, end, width)
+        hit = X.let(around, lambda x: X.first_word(x, rule.context)) if rule.context else F.lit(None).cast("string")
+        return X.let(F.struct(keep.alias("keep"), F.when(keep, hit).alias("hit")), lambda c: candidate(m, start, end, value, c["keep"], c["hit"]))
+
+    def candidate(m: Column, start: Column, end: Column, value: Column, keep: Column, hit: Column) -> Column:
+        bonus = F.when(hit.isNotNull(), F.lit(vocab.CONTEXT_BONUS)).otherwise(F.lit(0.0))
         return F.struct(
             start.alias("start_pos"), end.alias("end_pos"), F.lit(rule.label).alias("label"), value.alias("text"),
-            score.alias("score"), F.lit("rule").alias("source"), F.lit(rule.rule_id).alias("rule_id"),
-            hit.alias("matched_context"), F.lit(rule.priority).alias("priority"),
-            (check(value) if check else F.lit(None).cast("boolean")).alias("checksum_valid"), keep.alias("keep"),
+            F.least(F.lit(vocab.SCORE_CAP), F.lit(rule.confidence) + bonus).alias("score"), F.lit("rule").alias("source"),
+            F.lit(rule.rule_id).alias("rule_id"), hit.alias("matched_context"), F.lit(rule.priority).alias("priority"),
+            (check(value) if check else F.lit(None).cast("boolean")).alias("checksum_valid"),
+            (keep & hit.isNotNull() if rule.require_context else keep).alias("keep"),
         )
 
-    return F.filter(F.transform(X.pattern_matches(text, rule.pattern), found), lambda s: s["keep"])
+    kept = F.filter(F.transform(X.pattern_matches(text, rule.pattern), found), lambda s: s["keep"])
+    # a cheap search for what the rule can't do without saves most texts the pattern
+    needs = rule.context if rule.require_context else ("@",) if "@" in rule.pattern else ()
+    if not needs:
+        return kept
+    possible = F.contains(text, F.lit(needs[0]))
+    for word in needs[1:]:
+        possible = possible | F.contains(text, F.lit(word))
+    return F.when(possible, kept).otherwise(S.no_spans(CANDIDATE))
 
 
 def with_candidates(
@@ -79,10 +96,7 @@ def with_candidates(
     every rule with neither in its pattern would have to lift that filter.
     """
     chosen = selected(rules, types)
-    none = F.array().cast(
-        "array<struct<start_pos:int,end_pos:int,label:string,text:string,score:double,source:string,rule_id:string,"
-        "matched_context:string,priority:int,checksum_valid:boolean,keep:boolean>>"
-    )
+    none = S.no_spans(CANDIDATE)
     if not chosen:
         return df.withColumn(out, none)
     col = F.col(text)
@@ -95,7 +109,7 @@ def resolved(candidates: Column) -> Column:
     order = S.ordered(
         candidates, lambda s: -s["priority"], lambda s: -s["score"], lambda s: -S.length(s), lambda s: s["start_pos"]
     )
-    return S.by_position(S.greedy(order))
+    return S.by_position(S.greedy(order, CANDIDATE))
 
 
 def with_rule_spans(df: DataFrame, text: str, out: str = "rule_spans", **options) -> DataFrame:
@@ -106,7 +120,7 @@ def with_rule_spans(df: DataFrame, text: str, out: str = "rule_spans", **options
 def explained(df: DataFrame, doc_id: str, spans: str = "rule_spans") -> DataFrame:
     """One row per span: what was found by which rule and why."""
     s = F.col("s")
-    return df.select(F.col(doc_id).alias("doc_id"), F.explode(spans).alias("s")).select(
+    return df.select(F.col(doc_id).alias("doc_id"), F.explode_outer(spans).alias("s")).where("s is not null").select(
         "doc_id", s["text"].alias("text"), s["label"].alias("label"), s["rule_id"].alias("rule_id"),
         F.round(s["score"], 3).alias("score"), s["matched_context"].alias("context"),
         s["checksum_valid"].alias("checksum_valid"), s["start_pos"].alias("start_pos"), s["end_pos"].alias("end_pos"),
