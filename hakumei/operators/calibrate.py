@@ -109,7 +109,7 @@ def fit_temperature(pairs: DataFrame, score: str = "score", label: str = "label"
         values = losses([math.exp(t) for t in grid])
         k = min(range(15), key=values.__getitem__)
         low, high = grid[max(0, k - 1)], grid[min(14, k + 1)]
-        if high - low < 1e-9:
+        if high - low < 1e-7:
             break
     counted.unpersist()
     return Calibrator("temperature", temperature=math.exp((low + high) / 2), n_fit=int(total))

@@ -32,8 +32,6 @@ class Dice:
         """A value with probability in proportion to its weight; all weights zero means equal ones."""
         total = sum(w for _, w in values)
         weights = [(v, w / total if total > 0 else 1 / len(values)) for v, w in values]
-        u, out, reached = self.unit(tag), None, 0.0
-        for v, w in weights:
-            reached += w
-            out = F.when(u < reached, F.lit(v)) if out is None else out.when(u < reached, F.lit(v))
-        return out.otherwise(F.lit(weights[-1][0]))
+        bounds = [sum(w for _, w in weights[: i + 1]) for i in range(len(weights) - 1)]
+        passed = F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= self.unit(tag)) if bounds else F.array()
+        return F.get(F.array(*(F.lit(v) for v, _ in weights)), F.size(passed))

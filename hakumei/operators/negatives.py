@@ -72,13 +72,10 @@ _FILLER = ("本日は以上とする。", "詳細は追って知らせる。", "
 
 
 def _numbers(dice: Dice, sentence: Column, tag: str) -> Column:
-    """%d1 .. %d7 replaced by that many digits, each place by its own throw."""
-    for place in range(3):
-        for n in range(1, 8):
-            number = F.lpad(dice.below(10**n, f"{tag}-d{n}-{place}").cast("string"), n, "0")
-            head = F.instr(sentence, F.lit(f"%d{n}"))
-            rest = F.substring(sentence, head + 3, F.length(sentence))
-            sentence = F.when(head > 0, F.concat(F.left(sentence, head - 1), number, rest)).otherwise(sentence)
+    """%d1 .. %d7 replaced by that many digits; the same place holder of a sentence has one number."""
+    for n in range(1, 8):
+        number = F.lpad(dice.below(10**n, f"{tag}-d{n}").cast("string"), n, "0")
+        sentence = F.replace(sentence, F.lit(f"%d{n}"), number)
     return sentence
 
 
@@ -86,11 +83,15 @@ def hard_negative(dice: Dice, tag: str, weights: dict[str, float] | None = None)
     """struct<kind, text>: a kind by weight, a sentence of it by hash."""
     w = weights or dict.fromkeys(vocab.NEGATIVE_KINDS, 1.0)
     kind = dice.weighted([(k, w.get(k, 0.0)) for k in vocab.NEGATIVE_KINDS], f"{tag}-kind")
-    text = F.lit(None).cast("string")
-    for k, (words, templates) in _SENTENCES.items():
-        one = F.replace(dice.choice(templates, f"{tag}-{k}-t"), F.lit("%x"), dice.choice(words, f"{tag}-{k}-w"))
-        text = F.when(kind == k, one).otherwise(text)
-    return F.struct(kind.alias("kind"), _numbers(dice, text, tag).alias("text"))
+
+    def written(kind: Column) -> Column:
+        text = F.lit(None).cast("string")
+        for k, (words, templates) in _SENTENCES.items():
+            one = F.replace(dice.choice(templates, f"{tag}-t"), F.lit("%x"), dice.choice(words, f"{tag}-w"))
+            text = F.when(kind == k, one).otherwise(text)
+        return F.struct(kind.alias("kind"), _numbers(dice, text, tag).alias("text"))
+
+    return X.let(kind, written)
 
 
 def negative_documents(
@@ -112,12 +113,9 @@ def negative_documents(
     for j in range(most):
         filler = dice.choice(_FILLER, f"f{j}")
         other = F.when(dice.unit(f"b{j}") < 0.5, dice.choice(pool, f"p{j}")).otherwise(filler) if pool else filler
-        negative = hard_negative(dice, f"n{j}", weights)
-        is_negative = dice.unit(f"k{j}") < 0.72
-        part = F.struct(
-            F.when(is_negative, negative["text"]).otherwise(other).alias("text"),
-            F.when(is_negative, negative["kind"]).alias("kind"), F.lit(j).alias("j"),
-        )
+        plain = F.struct(F.lit(None).cast("string").alias("kind"), other.alias("text"))
+        drawn = F.when(dice.unit(f"k{j}") < 0.72, hard_negative(dice, f"n{j}", weights)).otherwise(plain)
+        part = X.let(drawn, lambda d, j=j: F.struct(d["text"].alias("text"), d["kind"].alias("kind"), F.lit(j).alias("j")))
         parts.append(part)
     count = dice.below(most - least + 1, "count") + least
     docs = docs.withColumn("parts", F.array(*parts)).withColumn("parts", F.filter("parts", lambda p: p["j"] < count))
@@ -142,18 +140,19 @@ def injected(df: DataFrame, doc_id: str, text: str, spans: str, kinds: str, k: i
         )
         safe = F.filter(F.array_distinct(ends), lambda p: ~F.exists(F.coalesce(s, F.slice(s, 1, 0)), lambda x: (x["start_pos"] < p) & (p < x["end_pos"])))
         at = F.get(safe, F.pmod(dice.hash(f"at{round_}"), F.size(safe)).cast("int"))
-        out = out.withColumn("_at", at).withColumn("_n", hard_negative(dice, f"i{round_}"))
-        n = F.length(F.col("_n.text"))
-        moved = lambda x: F.when(x["start_pos"] >= F.col("_at"), n).otherwise(0)
+        both = X.let(F.struct(at.alias("at"), hard_negative(dice, f"i{round_}").alias("n")), lambda b: b)
+        # written to a column of its own, which the optimiser doesn't merge into its uses
+        out = out.withColumn("_b", both)
+        place, new = F.col("_b.at"), F.col("_b.n")
+        shift = lambda x: F.when(x["start_pos"] >= F.col("_b.at"), F.length(F.col("_b.n.text"))).otherwise(0)
         shifted = F.transform(
-            s, lambda x: x.withField("end_pos", x["end_pos"] + moved(x)).withField("start_pos", x["start_pos"] + moved(x))
+            s, lambda x: x.withField("end_pos", x["end_pos"] + shift(x)).withField("start_pos", x["start_pos"] + shift(x))
         )
-        # all three see the columns from before the insertion
         out = out.withColumns(
             {
-                text: F.concat(F.left(t, F.col("_at")), F.col("_n.text"), F.substring(t, F.col("_at") + 1, F.length(t))),
+                text: F.concat(F.left(t, place), new["text"], F.substring(t, place + 1, F.length(t))),
                 spans: shifted,
-                kinds: F.array_append(F.coalesce(F.col(kinds), F.array().cast("array<string>")), F.col("_n.kind")),
+                kinds: F.array_append(F.coalesce(F.col(kinds), F.array().cast("array<string>")), new["kind"]),
             }
-        ).drop("_at", "_n")
+        ).drop("_b")
     return out
