@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import metric_queries, rule_queries, span_queries
+from . import corpus_queries, metric_queries, rule_queries, span_queries
 
-MODULES = (rule_queries, span_queries, metric_queries)
+MODULES = (rule_queries, span_queries, metric_queries, corpus_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
