@@ -1,5 +1,5 @@
 """Shared plumbing of the training-data operators: reading tables, materialising
-intermediate tables in the cluster's shared folder, ranking without hot windows."""
+intermediate tables in the cluster's shared folder."""
 
 from __future__ import annotations
 
@@ -9,8 +9,6 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 #: The six sources with their genre, and the spellings of a source that are
 #: folded to it. Fixed values of the test data's description.
@@ -96,27 +94,3 @@ def true_genre(item_id: Column) -> Column:
     source = true_source(item_id)
     pairs = [x for pair in SOURCE_GENRES.items() for x in map(F.lit, pair)]
     return F.create_map(*pairs)[source]
-
-
-def running_total(
-    df: DataFrame, keys: list[str], order: list[Column], bucket: Column, size: Column, out: str, label: str
-) -> DataFrame:
-    """Sum of `size` over the rows before each row within `keys`, in the order (bucket, *order).
-
-    A key may hold any share of the rows: sums are taken per (key, bucket) first,
-    the few bucket sums are accumulated in one small window, and only rows of one
-    bucket are sorted together. `bucket` must be an int column expression spread
-    evenly over the rows, such as a hash prefix.
-    """
-    rows = df.withColumn("_bucket", bucket).withColumn("_size", size.cast("long"))
-    sums = rows.groupBy(*keys, "_bucket").agg(F.sum("_size").alias("_sum"))
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("_base", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_inner", F.coalesce(F.sum("_size").over(inside), F.lit(0)))
-    joined = rows.join(sums, [*keys, "_bucket"])
-    return joined.withColumn(out, F.col("_base") + F.col("_inner")).drop("_bucket", "_size", "_base", "_inner")
-
-
-def arrow_schema(ddl: str) -> T.StructType:
-    return T._parse_datatype_string(ddl)

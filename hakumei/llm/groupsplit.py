@@ -18,7 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import bounded_rows, canonical_subset, materialise, running_total
+from ..operators.ranking import running_total
+from .base import bounded_rows, canonical_subset, materialise
 
 #: Distinct (size, profile) pairs. n records have less than sqrt(2 n) distinct sizes, and sizes above EXACT_SIZE are put
 #: into classes of 1/64 of their magnitude, so this holds for any table.
@@ -194,7 +195,7 @@ def grouped_split(records: DataFrame, plan: DataFrame, seed: int = 42) -> DataFr
     bounds_frame = records.sparkSession.createDataFrame(bounds, "size_class long, profile string, to_train long, to_validation long")
     ranked = running_total(
         parts.withColumn("_h", F.xxhash64(F.lit(seed), "component")), ["size_class", "profile"],
-        [F.col("_h"), F.col("component")], F.shiftrightunsigned("_h", 52).cast("int"), F.lit(1), "rank", "bundles",
+        [F.col("_h"), F.col("component")], F.shiftrightunsigned("_h", 52).cast("int"), F.lit(1), "rank",
     )
     split = F.when(F.col("rank") < F.col("to_train"), "train").when(F.col("rank") < F.col("to_validation"), "validation").otherwise("test")
     new = ranked.join(bounds_frame, ["size_class", "profile"]).select("component", split.alias("new_subset"))

@@ -147,14 +147,14 @@ def leaked_passages(
 ) -> DataFrame:
     """(doc_id, passage_id) of documents with `run` consecutive folded characters of a passage.
 
-    Null, empty and short texts on either side are no cases; equal passages are all
+    Null ids and null, empty and short texts on either side are no cases; equal passages are all
     reported. The test set is indexed in blocks of INDEX_CHARS code points, each
     broadcast in turn, and every block is asked by every document; documents are
     never shuffled but for the final distinct.
     """
     spark = docs.sparkSession
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(
-        F.col("text").isNotNull() & (F.length("text") > 0)
+        F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0)
     )
     schema = ", ".join(
         f"{c} {df.schema[k].dataType.simpleString()}"

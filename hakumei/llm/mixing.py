@@ -15,7 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import bounded_rows, materialise, running_total, true_source
+from ..operators.ranking import running_total
+from .base import bounded_rows, materialise, true_source
 
 #: Rows of a table of targets; it is written by hand.
 MAX_TARGETS = 100_000
@@ -133,7 +134,7 @@ def mixed(sized: DataFrame, plan: DataFrame, seed: int = 42) -> DataFrame:
     rows = rows.withColumn("_h", F.xxhash64(F.lit(seed), "mix_id", "passes", "item_id"))
     rows = running_total(
         rows, ["mix_id", "source"], [F.col("_h"), F.col("item_id")],
-        F.shiftrightunsigned("_h", 52).cast("int"), F.col("n_chars"), "before", "mix",
+        F.shiftrightunsigned("_h", 52).cast("int"), F.col("n_chars"), "before",
     )
     extra = ((F.col("before") + F.col("n_chars") / 2) <= F.col("rest")) & (F.col("passes") < F.col("max_repeat"))
     uses = (F.col("passes") + extra.cast("long")).cast("int")

@@ -14,7 +14,7 @@ overlap (crosssplit):
 4. `verified` drops pairs beyond the Hamming radius, fetches the texts of the
    remaining representatives only and computes the exact similarity.
 
-Null and empty texts, and texts with fewer characters than a shingle, have no
+Null ids, null and empty texts, and texts with fewer characters than a shingle, have no
 shingles: they are in no class and in no result. Any other columns of the input
 are ignored, whatever their names. Rows delivered again with the same id and text
 count once; the result has no order.
@@ -69,7 +69,7 @@ def sketched(df: DataFrame, doc_id: str, text: str, sim: Similarity, side: Colum
         F.col(doc_id).cast("string").alias("doc_id"),
         F.col(text).alias("text"),
         (F.lit(3) if side is None else side).cast("int").alias("side"),
-    ).where(F.col("text").isNotNull() & (F.col("text") != ""))
+    ).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (F.col("text") != ""))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
