@@ -63,7 +63,7 @@ def reference_name(source_ref: Column) -> Column:
     folded = _folded(source_ref)
     address = F.regexp_extract(folded, r"^[a-z][a-z0-9+.-]*://[^/]+/([^/?#]+/[^/?#]+)", 1)
     plain = F.when(address != "", F.translate(address, "/", ":")).otherwise(folded)
-    code = F.regexp_extract(plain, r"^([a-z0-9_]+:[a-z0-9]+)(:[0-9]+)?/?$", 1)
+    code = F.regexp_extract(plain, r"^([a-z0-9_.-]+:[a-z0-9_.-]+)(:[a-z0-9_.-]+)?/?$", 1)
     return F.when(code != "", code).otherwise(plain)
 
 
