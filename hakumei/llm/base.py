@@ -32,7 +32,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir; on one machine (tests) one of our own if it is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path and not spark.sparkContext.master.startswith("local["):
+    if not path and not (spark.sparkContext.master + "[").startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not path:
         path = "file://" + tempfile.mkdtemp(prefix="hakumei-checkpoint-")
