@@ -10,6 +10,7 @@ assigned inside a bundle by hash.
 from __future__ import annotations
 
 import heapq
+import math
 import unicodedata
 from collections import defaultdict
 from dataclasses import dataclass
@@ -21,11 +22,15 @@ from pyspark.sql import functions as F
 from ..operators.ranking import running_total
 from .base import bounded_rows, canonical_subset, materialise
 
-#: Distinct (size, profile) pairs. n records have less than sqrt(2 n) distinct sizes, and sizes above EXACT_SIZE are put
-#: into classes of 1/64 of their magnitude, so this holds for any table.
+#: Distinct label profiles (records in each split). n records have less than n ** 0.75 of them; should they be more than this,
+#: components are bundled by size and most frequent split: n records have less than sqrt(2 n) distinct sizes, and sizes
+#: above EXACT_SIZE are put into classes of 1/64 of their magnitude, so this holds for any table.
 MAX_BUNDLES = 1_000_000
 EXACT_SIZE = 4096
 
+#: Changes of the flow after the first whole solution; some seconds.
+SEARCH = 50_000
+
 SPLITS = ("train", "validation", "test")
 
 
@@ -99,65 +104,151 @@ class Bundle:
     stay: tuple[float, ...]
 
 
+def whole_quotas(quotas: list[float]) -> list[int]:
+    """The quotas as whole records, each less than one record away; their sum is rounded once."""
+    ends = [0, *(math.floor(sum(quotas[: i + 1]) + 0.5) for i in range(len(quotas)))]
+    return [b - a for a, b in zip(ends, ends[1:])]
+
+
+def allocation_cost(bundles: list[Bundle], quotas: list[float], flow: list[list[int]], deviation: float = 10.0) -> float:
+    """Records that change split + deviation x (records over or under the whole quotas)."""
+    moved = sum(n * (b.size - s) for b, f in zip(bundles, flow) for n, s in zip(f, b.stay))
+    loads = [sum(b.size * f[t] for b, f in zip(bundles, flow)) for t in range(len(quotas))]
+    return moved + deviation * sum(abs(x - q) for x, q in zip(loads, whole_quotas(quotas)))
+
+
+class _Flow:
+    """Records of every bundle in every split, those of fixed components apart; each change can be taken back."""
+
+    def __init__(self, bundles: list[Bundle], quotas: list[float], deviation: float):
+        self.k, self.bundles, self.deviation = len(quotas), bundles, deviation
+        self.quotas = whole_quotas(quotas)
+        self.unit = [[(b.size - s) / b.size for s in b.stay] for b in bundles]
+        self.free = [[0] * self.k for _ in bundles]
+        self.fixed = [[0] * self.k for _ in bundles]
+        self.load = [0] * self.k
+        self.moved = 0.0
+        self.changes = 0
+        self.log: list[tuple[int, int, int, int, int]] = []
+        self.partial: set[int] = set()
+        self.arcs: dict[tuple[int, int], list] = defaultdict(list)
+        for b, bundle in enumerate(bundles):
+            s = min(range(self.k), key=lambda t: (self.unit[b][t], t))
+            self.change(b, s, bundle.n * bundle.size, 0, bundle.n * bundle.size)
+
+    def change(self, b: int, t: int, free: int, fixed: int, load: int) -> None:
+        x, size = self.free[b], self.bundles[b].size
+        if not x[t] and free > 0:
+            for u in range(self.k):
+                if u != t:
+                    heapq.heappush(self.arcs[t, u], (self.unit[b][u] - self.unit[b][t], b))
+        x[t] += free
+        self.changes += 1
+        self.fixed[b][t] += fixed
+        self.load[t] += load
+        self.moved += load * self.unit[b][t]
+        (self.partial.add if any(v % size for v in x) else self.partial.discard)(b)
+        self.log.append((b, t, free, fixed, load))
+
+    def undo(self, mark: int) -> None:
+        for b, t, free, fixed, load in reversed(self.log[mark:]):
+            self.change(b, t, -free, -fixed, -load)
+        del self.log[mark:]
+
+    def cost(self) -> float:
+        return self.moved + self.deviation * sum(abs(x - q) for x, q in zip(self.load, self.quotas))
+
+    def shift(self, b: int, s: int, t: int, records: int) -> None:
+        self.change(b, s, -records, 0, -records)
+        self.change(b, t, records, 0, records)
+
+    def fix(self, b: int, t: int) -> None:
+        """One component of the free ones is put into t for good."""
+        size = self.bundles[b].size
+        for s in range(self.k):
+            lack = size - self.free[b][t]
+            if s != t and lack > 0 and self.free[b][s]:
+                self.shift(b, s, t, min(lack, self.free[b][s]))
+        self.change(b, t, -size, 1, 0)
+
+    def _arc(self, s: int, t: int) -> tuple[float, int]:
+        heap = self.arcs[s, t]
+        while heap and not self.free[heap[0][1]][s]:
+            heapq.heappop(heap)
+        return heap[0] if heap else (math.inf, -1)
+
+    def balance(self) -> None:
+        """The cheapest flow of free records: records go along the cheapest chain of residual arcs until none lowers the cost."""
+        k, quotas, load = self.k, self.quotas, self.load
+        while True:
+            arc = {(s, t): self._arc(s, t) for s in range(k) for t in range(k) if s != t}
+            far = {st: (c, [st]) for st, (c, _) in arc.items()}
+            for via in range(k):
+                for s in range(k):
+                    for t in range(k):
+                        if len({s, t, via}) == 3 and far[s, via][0] + far[via, t][0] < far[s, t][0] - 1e-12:
+                            far[s, t] = (far[s, via][0] + far[via, t][0], far[s, via][1] + far[via, t][1])
+            gain = lambda s, t: (-1 if load[s] > quotas[s] else 1) + (1 if load[t] >= quotas[t] else -1)
+            best = min(((c + self.deviation * gain(*st), st) for st, (c, _) in far.items()), default=(0.0, None))
+            if best[0] >= -1e-9:
+                return
+            s, t = best[1]
+            chain = [(u, v, arc[u, v][1]) for u, v in far[s, t][1]]
+            records = min(self.free[b][u] for u, _, b in chain)
+            if load[s] > quotas[s]:
+                records = min(records, load[s] - quotas[s])
+            if load[t] < quotas[t]:
+                records = min(records, quotas[t] - load[t])
+            for u, v, b in chain:
+                self.shift(b, u, v, records)
+
+    def branches(self, limit: float) -> list[tuple[float, int, int]]:
+        """(cost, component's bundle, split), dearest first, for the largest component that the flow divides: its splits whose flow costs less than limit."""
+        b = max(self.partial, key=lambda b: (self.bundles[b].size, -b))
+        found = []
+        for t in range(self.k):
+            mark = len(self.log)
+            self.fix(b, t)
+            self.balance()
+            if self.cost() < limit - 1e-6:
+                found.append((self.cost(), b, t))
+            self.undo(mark)
+        return sorted(found, reverse=True)
+
+    def whole(self) -> list[list[int]]:
+        return [[x // b.size + n for x, n in zip(free, fixed)] for b, free, fixed in zip(self.bundles, self.free, self.fixed)]
+
+
 def allocate(bundles: list[Bundle], quotas: list[float], deviation: float = 10.0) -> list[list[int]]:
     """Components of each bundle for each split.
 
-    The flow of records minimises (records that change split) + deviation x (records over
-    quota). It is found by successive shortest paths: all components start in their cheapest
-    split, and as long as a split is over its quota, components move along the cheapest chain of splits to
-    one below, in bulk and as long as that lowers the cost.
+    The flow of records minimises (records that change split) + deviation x (records over or under
+    quota). All records start in their cheapest split and go along the cheapest chain of residual
+    arcs between splits as long as that lowers the cost, which is exact for records. A component that the flow
+    divides is fixed as a whole, the largest first, where the flow of the rest costs least; then the other splits
+    are tried, the last one first, unless their flow costs as much as the best whole solution. Whole components are a
+    packing problem: the result is the best one unless SEARCH changes of the flow don't suffice, then the best one seen.
     """
-    k = len(quotas)
-    flow = [[0] * k for _ in bundles]
-    load = [0.0] * k
-    price = [[b.size - s for s in b.stay] for b in bundles]
-    moves: dict[tuple[int, int], list] = defaultdict(list)
-
-    def place(b: int, s: int) -> None:
-        for t in range(k):
-            if t != s:
-                heapq.heappush(moves[s, t], ((price[b][t] - price[b][s]) / bundles[b].size, -bundles[b].size, b))
-
-    for b, bundle in enumerate(bundles):
-        s = min(range(k), key=lambda t: (price[b][t], t))
-        flow[b][s] += bundle.n
-        load[s] += bundle.n * bundle.size
-        place(b, s)
-    for _ in range(20 * len(bundles) + 1000):
-        over = max(range(k), key=lambda s: load[s] - quotas[s])
-        excess = load[over] - quotas[over]
-        best = None
-        for t in range(k):
-            lack = quotas[t] - load[t]
-            if t == over or lack <= 0:
-                continue
-            heap, skipped = moves[over, t], []
-            while heap:
-                cost, negative, b = heap[0]
-                if not flow[b][over]:
-                    heapq.heappop(heap)
-                    continue
-                # a component is moved only if that brings both loads nearer to their quotas
-                gain = min(excess, -negative) + min(lack, -negative) - max(0, -negative - excess) - max(0, -negative - lack)
-                if gain <= 0 or cost * -negative >= deviation * gain:
-                    skipped.append(heapq.heappop(heap))
-                    continue
-                if best is None or cost < best[0]:
-                    best = (cost, b, t)
-                break
-            for entry in skipped:
-                heapq.heappush(heap, entry)
-        if best is None:
-            break
-        _, b, t = best
-        size = bundles[b].size
-        n = max(1, min(flow[b][over], int(min(excess, quotas[t] - load[t]) // size)))
-        flow[b][over] -= n
-        flow[b][t] += n
-        load[over] -= n * size
-        load[t] += n * size
-        place(b, t)
-    return flow
+    flow = _Flow(bundles, quotas, deviation)
+    flow.balance()
+    best, cost, limit = None, math.inf, math.inf
+    levels: list[tuple[int, list]] = []
+    while True:
+        if flow.partial:
+            levels.append((len(flow.log), flow.branches(cost)))
+        elif flow.cost() < cost - 1e-6:
+            if best is None:
+                limit = flow.changes + SEARCH
+            best, cost = flow.whole(), flow.cost()
+        while levels and not (levels[-1][1] and levels[-1][1][-1][0] < cost - 1e-6):
+            levels.pop()
+        if not levels or flow.changes > limit:
+            return best
+        mark, open_ = levels[-1]
+        flow.undo(mark)
+        _, b, t = open_.pop()
+        flow.fix(b, t)
+        flow.balance()
 
 
 def size_class(size: Column) -> Column:
@@ -178,10 +269,12 @@ def grouped_split(records: DataFrame, plan: DataFrame, seed: int = 42) -> DataFr
     component = F.coalesce("work_key", F.concat(F.lit("\u0000"), F.col("doc_id")))
     now = [F.sum((F.col("subset") == s).cast("long")).alias(s) for s in SPLITS]
     parts = counted.groupBy(component.alias("component")).agg(F.count("*").alias("size"), *now)
-    most = F.greatest(*SPLITS)
-    profile = F.when(F.col("train") == most, "train").when(F.col("validation") == most, "validation").otherwise("test")
-    parts = parts.withColumns({"size_class": size_class(F.col("size")), "profile": profile})
+    parts = parts.withColumns({"size_class": F.col("size"), "profile": F.concat_ws(":", *SPLITS)})
     parts = materialise(parts, "components")
+    if parts.select("profile").distinct().count() > MAX_BUNDLES:
+        most = F.greatest(*SPLITS)
+        profile = F.when(F.col("train") == most, "train").when(F.col("validation") == most, "validation").otherwise("test")
+        parts = parts.withColumns({"size_class": size_class(F.col("size")), "profile": profile})
     bundles = parts.groupBy("size_class", "profile").agg(
         F.count("*").alias("n"), F.sum("size").alias("total"), *(F.avg(s).alias(s) for s in SPLITS)
     )

@@ -1,3 +1,4 @@
+import itertools
 import random
 from collections import defaultdict
 
@@ -5,7 +6,7 @@ import pytest
 from oracle import compare
 
 from hakumei.llm import groupsplit, mixing, queries
-from hakumei.llm.groupsplit import Bundle, allocate, broken_works, grouped_split, resolved
+from hakumei.llm.groupsplit import Bundle, allocate, allocation_cost, broken_works, grouped_split, resolved
 
 SQL = queries.oracle_sql()
 
@@ -32,6 +33,39 @@ def test_allocation_moves_little():
     assert allocate([], [0, 0, 0]) == []
 
 
+def test_allocation_goes_round_a_stuck_work():
+    # a work of 15 in validation can't be moved at a gain, but with single records going the other way
+    bundles = [Bundle(15, 1, (0.0, 15.0, 0.0)), Bundle(1, 71, (1.0, 0.0, 0.0)), Bundle(1, 14, (0.0, 0.0, 1.0))]
+    flow = allocate(bundles, [80, 10, 10])
+    assert [sum(f[k] * b.size for f, b in zip(flow, bundles)) for k in range(3)] == [80, 10, 10]
+    assert allocation_cost(bundles, [80, 10, 10], flow) == 25
+
+
+def test_allocation_is_the_best():
+    rng = random.Random(5)
+    ways = lambda n: [[a, b, n - a - b] for a in range(n + 1) for b in range(n - a + 1)]
+    for _ in range(60):
+        bundles = []
+        for _ in range(rng.randrange(1, 5)):
+            size = rng.choice([1, 1, 2, 3, 5, 8, 15])
+            a = rng.randrange(size + 1)
+            b = rng.randrange(size - a + 1)
+            bundles.append(Bundle(size, rng.randrange(1, 4), (float(a), float(b), float(size - a - b))))
+        quotas = [x * sum(b.size * b.n for b in bundles) for x in (0.8, 0.1, 0.1)]
+        best = min(allocation_cost(bundles, quotas, list(f)) for f in itertools.product(*(ways(b.n) for b in bundles)))
+        assert abs(allocation_cost(bundles, quotas, allocate(bundles, quotas)) - best) < 1e-6
+
+
+def test_works_of_one_size_go_by_their_labels(spark):
+    # both works have six records, most of them in train; only the one with four in train is cheap to move
+    rows = [(f"a{i}", "train" if i < 4 else "test", "a") for i in range(6)] + [(f"b{i}", "train", "b") for i in range(6)]
+    plan = spark.createDataFrame([("train", 0.5), ("test", 0.5)], "subset string, target_share double")
+    for names in (("a", "b"), ("c", "d"), ("e", "f"), ("g", "h")):
+        named = [(i, s, names[w == "b"]) for i, s, w in rows]
+        new = grouped_split(spark.createDataFrame(named, "doc_id string, subset string, work_key string"), plan).collect()
+        assert {(r["work_key"], r["new_subset"]) for r in new} == {(names[0], "test"), (names[1], "train")}
+
+
 def test_works_stay_together(spark):
     items = spark.createDataFrame(
         [("aozora:W1:0", "青空『山』甲 (満了)"), ("aozora:W2:0", None), (None, "x"), ("qa_board:W3:1", "質問「川」 (CC0)")], "item_id string, attribution string"
