@@ -77,7 +77,7 @@ def _of_rule(text: Column, rule: Rule, width: int) -> Column:
 
     kept = F.filter(F.transform(X.pattern_matches(text, rule.pattern), found), lambda s: s["keep"])
     # a cheap search for what the rule can't do without saves most texts the pattern
-    needs = rule.context if rule.require_context else ("@",) if "@" in rule.pattern else ()
+    needs = rule.context if rule.require_context else ("@",) if rule in DEFAULT_RULES and "@" in rule.pattern else ()
     if not needs:
         return kept
     possible = F.contains(text, F.lit(needs[0]))
@@ -92,8 +92,8 @@ def with_candidates(
 ) -> DataFrame:
     """Adds all matches of all rules that pass validator and context.
 
-    Null and empty texts have none. Only texts with a digit or an at sign are searched;
-    every rule with neither in its pattern would have to lift that filter.
+    Null and empty texts have none. Where only default rules are chosen, only texts with a digit or
+    an at sign are searched, which none of them can do without; other rules search every text.
     """
     chosen = selected(rules, types)
     none = S.no_spans(CANDIDATE)
@@ -101,7 +101,8 @@ def with_candidates(
         return df.withColumn(out, none)
     col = F.col(text)
     found = F.concat(*(_of_rule(col, r, width) for r in chosen))
-    return df.withColumn(out, F.when(col.rlike(r"(?U)[\d@]"), found).otherwise(none))
+    searched = col.rlike(r"(?U)[\d@]") if all(r in DEFAULT_RULES for r in chosen) else col != ""
+    return df.withColumn(out, F.when(searched, found).otherwise(none))
 
 
 def resolved(candidates: Column) -> Column:

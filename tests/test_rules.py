@@ -35,6 +35,19 @@ def test_cases(spark):
     assert got[6][0]["checksum_valid"] is False and got[7][0]["checksum_valid"] is False
 
 
+def test_own_rules_search_every_text(spark):
+    own = [
+        rules.Rule("member.word", "MEMBER_ID", r"会員[甲乙丙]{2,4}"),
+        rules.Rule("email.handle", "EMAIL", r"[a-z]{3,9}(?:@[a-z]{2,9})?\.test"),
+    ]
+    texts = ["担当は会員甲乙です", "宛先 abc.test まで", "宛先 abc@de.test まで", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    expected = [[("MEMBER_ID", 3, 7)], [("EMAIL", 3, 11)], [("EMAIL", 3, 14)], [], []]
+    for chosen in (own, [*own, *rules.DEFAULT_RULES]):
+        got = {r["id"]: r["rule_spans"] for r in rules.with_rule_spans(df, "text", rules=chosen).collect()}
+        assert [[(s["label"], s["start_pos"], s["end_pos"]) for s in got[i]] for i in range(5)] == expected
+
+
 def test_nothing(spark):
     assert all(s == [] for s in spans(spark, NOTHING).values())
 
