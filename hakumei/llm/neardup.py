@@ -37,9 +37,8 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     sketches = materialise(sketched(df, doc_id, text, sim), "sketches")
     classes = text_classes(sketches)
     small = classes.drop("keys")
-    links = verified(
-        within_radius(colliding_classes(classes), small, sim.radius), df, doc_id, text, sim
-    )
+    # every pair that shares a band is verified, none is dropped by its fingerprint
+    links = verified(within_radius(colliding_classes(classes), small, None), df, doc_id, text, sim)
     reps = small.select("hi", "lo", "rep")
     members = sketches.select("doc_id", "hi", "lo").distinct().join(reps, ["hi", "lo"]).select("doc_id", "rep")
     return NearDuplicates(materialise(members, "members"), materialise(links, "links"))

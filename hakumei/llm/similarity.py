@@ -11,7 +11,7 @@ overlap (crosssplit):
    emits pairs of classes that share a key. Short runs are paired in the task
    that holds them; a key with more than RUN classes is passed on as rows and
    joined with itself afterwards, where adaptive execution can split it.
-4. `verified` drops pairs beyond the Hamming radius, fetches the texts of the
+4. across splits, `within_radius` drops pairs beyond the Hamming radius; `verified` fetches the texts of the
    remaining representatives only and computes the exact similarity.
 
 Null ids, null and empty texts, and texts with fewer characters than a shingle, have no
@@ -48,8 +48,8 @@ class Similarity:
 
     blocks x rows coordinates; a pair of similarity s has no common block with
     probability (1 - s ** rows) ** blocks, 6e-4 at 0.70 and 2e-5 at 0.75 with 40 x 5.
-    radius: bits of the fingerprint (one per coordinate) that may differ; at 0.70
-    30 of 200 differ on average, with a deviation of 5.
+    radius: bits of the fingerprint (one per coordinate) that may differ across splits; at 0.70
+    30 of 200 differ on average, with a deviation of 5. Near-duplicates are verified whatever their fingerprints.
     """
 
     least: float = 0.70
@@ -195,10 +195,12 @@ def _rest(key: np.ndarray, lo: np.ndarray, side: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(lo), nothing, pa.array(key), pa.array(side)], ["lo_a", "lo_b", "key", "side"])
 
 
-def within_radius(pairs: DataFrame, classes: DataFrame, radius: int) -> DataFrame:
-    """Pairs (rep_a, rep_b) of class representatives whose fingerprints differ in `radius` bits at most."""
+def within_radius(pairs: DataFrame, classes: DataFrame, radius: int | None) -> DataFrame:
+    """Pairs (rep_a, rep_b) of class representatives whose fingerprints differ in `radius` bits at most; all for None."""
     a, b = (classes.select(*(F.col(c).alias(f"{c}_{x}") for c in ("lo", "rep", "fp"))) for x in "ab")
     joined = pairs.join(a, "lo_a").join(b, "lo_b").select("rep_a", "rep_b", "fp_a", "fp_b")
+    if radius is None:
+        return joined.select("rep_a", "rep_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -8,6 +8,7 @@ from hakumei.llm import shingles
 from hakumei.llm.components import connected_components
 from hakumei.llm.crosssplit import crossing_pairs, split_overlaps
 from hakumei.llm.neardup import document_pairs, duplicate_groups, near_duplicates
+from hakumei.llm.similarity import Similarity
 
 CHARS = "あいうえおかきくけこさしすせそたちつてとなにぬねのはひふへほまみむめも"
 
@@ -63,6 +64,12 @@ def test_pairs_against_brute_force(spark):
     assert groups["copy1"]["class_id"] == groups["copy2"]["class_id"] == groups["d000"]["class_id"]
 
 
+def test_no_banded_pair_is_dropped_by_its_fingerprint(spark):
+    df = spark.createDataFrame([("a", "これは近い二つの文章の例であり一字だけ違うものです。甲"), ("b", "これは近い二つの文章の例であり一字だけ違うものです。乙")], "doc_id string, text string")
+    pairs = document_pairs(near_duplicates(df, sim=Similarity(radius=-1))).collect()
+    assert [tuple(r) for r in pairs] == [("a", "b")]
+
+
 def test_hot_block_keys(spark):
     """270 texts that share most blocks: more than are paired inside one task."""
     rng = random.Random(4)
