@@ -35,8 +35,12 @@ def redact_stream(
     return redacted.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def span_counts(source: DataFrame, event_time: str, text: str, window: str = "1 hour", late: str = "1 day", detector: Detector | None = None) -> DataFrame:
-    """Counts of detected spans per label and window of event time; rows later than `late` are dropped."""
+def span_counts(source: DataFrame, event_time: str, text: str, window: str = "1 hour", *, late: str, detector: Detector | None = None) -> DataFrame:
+    """Counts of detected spans per label and window of event time.
+
+    Rows later than `late` are dropped and not counted anywhere, so it has to be longer than any
+    row of the source may be late; there is no default. The state grows with it.
+    """
     rows = (detector or Detector()).detect(source.withWatermark(event_time, late), text)
     spans = rows.select(event_time, F.explode("spans").alias("s"))
     return spans.groupBy(F.window(event_time, window), F.col("s.label").alias("label")).count()

@@ -1,3 +1,4 @@
+import inspect
 import json
 import os
 import stat
@@ -71,6 +72,11 @@ def test_command_line(spark, tmp_path, capsys):
     assert {s["label"] for s in json.loads(capsys.readouterr().out)} == {"PHONE", "EMAIL"}
 
 
+def test_lateness_of_counts_is_chosen_by_the_caller():
+    late = inspect.signature(detect.span_counts).parameters["late"]
+    assert late.default is inspect.Parameter.empty and late.kind is inspect.Parameter.KEYWORD_ONLY
+
+
 def test_stream_equals_batch(spark, tmp_path):
     docs = synth.documents(spark, 40, 5).select("doc_id", "text")
     docs.repartition(4).write.parquet(str(tmp_path / "in"))
