@@ -53,13 +53,20 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it again.
 
     Cuts the lineage with a table that survives the loss of executors; the
-    table is removed when the interpreter ends.
+    table is removed when it is released, or when the interpreter ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/hakumei-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    table_ = spark.read.schema(df.schema).parquet(path)
+    table_._materialised = path
+    return table_
+
+
+def release(table_: DataFrame) -> None:
+    """Remove a materialised table that nothing reads any more."""
+    _remove(table_.sparkSession, table_._materialised)
 
 
 def bounded_rows(df: DataFrame, limit: int, what: str) -> list:

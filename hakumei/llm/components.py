@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import materialise
+from .base import materialise, release
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -24,13 +24,14 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component): component is the least node reachable. Edges (a, b); loops and repeats are allowed.
 
-    Every round is written to the shared folder; the number of rounds grows with the
+    Every round is written to the shared folder, where it replaces the one before; the number of rounds grows with the
     logarithm of the longest path. No edges give no rows.
     """
     current = materialise(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = None
     for _ in range(rounds):
-        current = materialise(_star(_star(current, True), False), "stars")
+        before, current = current, materialise(_star(_star(current, True), False), "stars")
+        release(before)
         state = current.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen:
             break

@@ -1,12 +1,12 @@
 """Same or near-same records across splits.
 
-Method: bit fingerprints of a similarity hash. Each text's sketch is cut to
-CODE_BITS bits per coordinate; segments of five coordinates are joined across
-splits, pairs within the Hamming radius of the one-bit fingerprint are verified
-on the texts and counted per evaluation subset and source. Signs of random
-projections (SimHash) were rejected: at similarity 0.70 two 64-bit codes differ in 12
-bits on average and 20 at times, so that no segment longer than 3 bits is sure to agree,
-while unrelated texts differ in 30. See similarity for nulls, copies and empty tables.
+Method: bit fingerprints of a similarity hash. A text's code holds CODE_BITS bits of each of
+its sketch's coordinates; blocks of five coordinates (40 bits) of the code are joined
+across splits, pairs whose whole codes lie within the Hamming radius are verified on the texts and
+counted per evaluation subset and source. Signs of random projections (SimHash) were
+rejected: at similarity 0.70 two 64-bit codes differ in 12 bits on average and 20 at times, so
+that no block longer than 3 bits is sure to agree, while unrelated texts differ in 30. See
+similarity for nulls, copies and empty tables.
 """
 
 from __future__ import annotations
@@ -19,59 +19,73 @@ from pyspark.sql import functions as F
 from .base import canonical_subset, materialise
 from .similarity import Similarity, colliding_classes, sketched, text_classes, verified, within_radius
 
-#: Bits of each coordinate that go into a segment: 60-bit segments.
-CODE_BITS = 12
+#: Bits of each coordinate in the code.
+CODE_BITS = 8
+
+#: Bits of the code (of 1600) in which two texts may differ. At similarity 0.70 they differ in 240 on average, with a deviation of
+#: 28, so a pair is beyond the radius with a probability of 1e-9; unrelated texts differ in 800.
+RADIUS = 420
 
 TRAIN, EVALUATION = 1, 2
 
 
 @dataclass
 class Overlaps:
-    """members: doc_id, side (TRAIN or EVALUATION), rep; links: rep_a, rep_b, similarity between different texts."""
+    """members: doc_id, side (TRAIN or EVALUATION), subset, rep; links: rep_a, rep_b, similarity between different texts."""
 
     members: DataFrame
     links: DataFrame
 
 
 def split_overlaps(
-    df: DataFrame, subset: Column, doc_id: str = "doc_id", text: str = "text", sim: Similarity = Similarity(code_bits=CODE_BITS)
+    df: DataFrame, subset: Column, doc_id: str = "doc_id", text: str = "text", sim: Similarity = Similarity(code_bits=CODE_BITS, radius=RADIUS)
 ) -> Overlaps:
     """Links between texts of the train subset and of all others.
 
     subset: name of the subset in any spelling; null and empty are train.
     """
     side = F.when(canonical_subset(subset) == "train", F.lit(TRAIN)).otherwise(F.lit(EVALUATION))
-    sketches = materialise(sketched(df, doc_id, text, sim, side), "fingerprints")
+    sketches = materialise(sketched(df, doc_id, text, sim, side, canonical_subset(subset)), "fingerprints")
     classes = text_classes(sketches)
-    small = classes.drop("keys")
-    links = verified(
-        within_radius(colliding_classes(classes), small, sim.radius), df, doc_id, text, sim
+    pairs = within_radius(colliding_classes(classes, df, doc_id, text, sim), classes, sim.radius)
+    links = verified(pairs, df, doc_id, text, sim)
+    members = sketches.select("doc_id", "side", "subset", "hi", "lo").distinct().join(classes.select("hi", "lo", "rep"), ["hi", "lo"])
+    return Overlaps(materialise(members.select("doc_id", "side", "subset", "rep"), "members"), materialise(links, "links"))
+
+
+def linked_classes(found: Overlaps) -> DataFrame:
+    """(rep_t, rep_e, similarity): classes linked from train to evaluation; a class is linked to itself."""
+    both = found.links.select(F.col("rep_a").alias("rep_t"), F.col("rep_b").alias("rep_e"), "similarity").unionByName(
+        found.links.select(F.col("rep_b").alias("rep_t"), F.col("rep_a").alias("rep_e"), "similarity")
     )
-    reps = small.select("hi", "lo", "rep")
-    members = sketches.select("doc_id", "side", "hi", "lo").distinct().join(reps, ["hi", "lo"])
-    return Overlaps(materialise(members.select("doc_id", "side", "rep"), "members"), materialise(links, "links"))
+    crossing = found.members.groupBy("rep").agg(F.bit_or("side").alias("sides")).where(f"sides = {TRAIN | EVALUATION}")
+    same = crossing.select(F.col("rep").alias("rep_t"), F.col("rep").alias("rep_e"), F.lit(1.0).alias("similarity"))
+    return both.unionByName(same)
 
 
 def crossing_pairs(found: Overlaps) -> DataFrame:
     """All pairs (train_id, eval_id, similarity) of a train and an evaluation document."""
     train = found.members.where(F.col("side") == TRAIN).select(F.col("doc_id").alias("train_id"), F.col("rep").alias("rep_t"))
     held = found.members.where(F.col("side") == EVALUATION).select(F.col("doc_id").alias("eval_id"), F.col("rep").alias("rep_e"))
-    same = train.join(held, F.col("rep_t") == F.col("rep_e")).select("train_id", "eval_id", F.lit(1.0).alias("similarity"))
-    both = found.links.select(F.col("rep_a").alias("rep_t"), F.col("rep_b").alias("rep_e"), "similarity").unionByName(
-        found.links.select(F.col("rep_b").alias("rep_t"), F.col("rep_a").alias("rep_e"), "similarity")
-    )
-    near = both.join(train, "rep_t").join(held, "rep_e").select("train_id", "eval_id", "similarity")
-    return same.unionByName(near).distinct()
+    return linked_classes(found).join(train, "rep_t").join(held, "rep_e").select("train_id", "eval_id", "similarity").distinct()
 
 
-def overlap_report(pairs: DataFrame, documents: DataFrame) -> DataFrame:
-    """(subset, source, n_pairs, n_eval_docs, n_train_docs) of the crossing pairs, by subset and source of the evaluation document.
+def overlap_report(found: Overlaps, sources: DataFrame) -> DataFrame:
+    """(subset, source, n_pairs, n_eval_docs, n_train_docs) by subset and source of the evaluation document.
 
-    documents: doc_id, canonical subset, source; a null source is reported as null.
+    Counted from classes and their numbers of members, so no pair of documents is ever built. sources:
+    doc_id, source, each document once; a null source is reported as null.
     """
-    of = documents.select(F.col("doc_id").alias("eval_id"), "subset", "source")
-    return pairs.join(of, "eval_id").groupBy("subset", "source").agg(
-        F.count("*").alias("n_pairs"),
-        F.countDistinct("eval_id").alias("n_eval_docs"),
-        F.countDistinct("train_id").alias("n_train_docs"),
+    held = found.members.where(F.col("side") == EVALUATION).join(sources, "doc_id", "left")
+    held = held.groupBy("rep", "subset", "source").agg(F.count("*").alias("n_eval")).withColumnRenamed("rep", "rep_e")
+    train = found.members.where(F.col("side") == TRAIN).groupBy("rep").agg(F.count("*").alias("n_train")).withColumnRenamed("rep", "rep_t")
+    linked = linked_classes(found).select("rep_t", "rep_e").join(train, "rep_t").join(held, "rep_e")
+    linked = materialise(linked, "linked-classes")
+    by = ["subset", "source"]
+    counts = (
+        linked.groupBy(*by).agg(F.sum(F.col("n_train") * F.col("n_eval")).alias("n_pairs")),
+        linked.select(*by, "rep_e", "n_eval").distinct().groupBy(*by).agg(F.sum("n_eval").alias("n_eval_docs")),
+        linked.select(*by, "rep_t", "n_train").distinct().groupBy(*by).agg(F.sum("n_train").alias("n_train_docs")),
     )
+    every = counts[0].unionByName(counts[1], allowMissingColumns=True).unionByName(counts[2], allowMissingColumns=True)
+    return every.groupBy(*by).agg(*(F.sum(c).alias(c) for c in ("n_pairs", "n_eval_docs", "n_train_docs")))

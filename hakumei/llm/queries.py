@@ -19,8 +19,9 @@ from .tokens import encoded
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources that the mixes exhaust without reaching their share."""
     mix = mix_sources(table(spark, sf_dir, "corpus_items"), table(spark, sf_dir, "mixture_targets"))
-    return mix.plan.where("not reachable").select("mix_id", "source").distinct()
+    return mix.report.where("exhausted").select("mix_id", "source").distinct()
 
 
 def p1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,18 +50,23 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "annotated_docs")
-    pairs = crossing_pairs(split_overlaps(docs, F.col("subset")))
+    found = split_overlaps(docs, F.col("subset"))
     works = resolved(docs, table(spark, sf_dir, "corpus_items"))
-    return overlap_report(pairs, works.select("doc_id", "subset", F.split("work_key", ":")[0].alias("source")))
+    source = F.when(F.col("known"), F.split("work_key", ":")[0])
+    return overlap_report(found, works.select("doc_id", source.alias("source")))
+
+
+def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = resolved(table(spark, sf_dir, "annotated_docs"), table(spark, sf_dir, "corpus_items"))
+    return grouped_split(records, table(spark, sf_dir, "split_plan"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return broken_works(resolved(table(spark, sf_dir, "annotated_docs"), table(spark, sf_dir, "corpus_items")))
+    return broken_works(_split(spark, sf_dir))
 
 
 def p4_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = resolved(table(spark, sf_dir, "annotated_docs"), table(spark, sf_dir, "corpus_items"))
-    return grouped_split(records, table(spark, sf_dir, "split_plan"))
+    return _split(spark, sf_dir).drop("broken")
 
 
 def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -108,12 +108,15 @@ def fast_similarity_sketch(doc: np.ndarray, hashes: np.ndarray, n_docs: int, t:
     return sketch.reshape(n_docs, t)
 
 
-def band_keys(sketch: np.ndarray, rows: int, bits: int = 64) -> np.ndarray:
-    """One 64-bit key for each block of `rows` coordinates, of which the low `bits` bits are used."""
-    n, t = sketch.shape
+def coordinate_codes(sketch: np.ndarray, bits: int) -> np.ndarray:
+    """The low `bits` bits of every coordinate after mixing: the code of which the blocks are keys."""
     codes = mix(sketch)
-    if bits < 64:
-        codes &= np.uint64((1 << bits) - 1)
+    return codes & np.uint64((1 << bits) - 1) if bits < 64 else codes
+
+
+def band_keys(codes: np.ndarray, rows: int) -> np.ndarray:
+    """One 64-bit key for each block of `rows` coordinates of the codes."""
+    n, t = codes.shape
     blocks = codes.reshape(n, t // rows, rows)
     key = np.zeros((n, t // rows), np.uint64)
     for k in range(rows):
@@ -124,12 +127,6 @@ def band_keys(sketch: np.ndarray, rows: int, bits: int = 64) -> np.ndarray:
     return mix(key).view(np.int64)
 
 
-def bit_fingerprint(sketch: np.ndarray) -> list[bytes]:
-    """One bit of each coordinate: two sets differ in a bit with probability (1 - similarity) / 2."""
-    bits = ((mix(sketch) >> np.uint64(17)) & np.uint64(1)).astype(np.uint8)
-    return [row.tobytes() for row in np.packbits(bits, axis=1)]
-
-
 def hamming(a: list[bytes], b: list[bytes]) -> np.ndarray:
     """Differing bits of equally long fingerprints."""
     if not a:

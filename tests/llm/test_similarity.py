@@ -1,18 +1,20 @@
 import random
 from collections import defaultdict
+from functools import cache
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from hakumei.llm import shingles
 from hakumei.llm.components import connected_components
-from hakumei.llm.crosssplit import crossing_pairs, split_overlaps
+from hakumei.llm.crosssplit import crossing_pairs, overlap_report, split_overlaps
 from hakumei.llm.neardup import document_pairs, duplicate_groups, near_duplicates
-from hakumei.llm.similarity import Similarity
+from hakumei.llm.similarity import Similarity, _crossing, paired_by_key, prefix_pairs, sketched, text_classes
 
 CHARS = "あいうえおかきくけこさしすせそたちつてとなにぬねのはひふへほまみむめも"
 
 
+@cache
 def grams(text):
     t = shingles.squeeze(text)
     return {t[i : i + 5] for i in range(len(t) - 4)}
@@ -66,7 +68,7 @@ def test_pairs_against_brute_force(spark):
 
 def test_no_banded_pair_is_dropped_by_its_fingerprint(spark):
     df = spark.createDataFrame([("a", "これは近い二つの文章の例であり一字だけ違うものです。甲"), ("b", "これは近い二つの文章の例であり一字だけ違うものです。乙")], "doc_id string, text string")
-    pairs = document_pairs(near_duplicates(df, sim=Similarity(radius=-1))).collect()
+    pairs = document_pairs(near_duplicates(df, sim=Similarity(code_bits=8, radius=0))).collect()
     assert [tuple(r) for r in pairs] == [("a", "b")]
 
 
@@ -83,6 +85,36 @@ def test_hot_block_keys(spark):
     assert pairs.count() == 270 * 269 // 2
 
 
+def boilerplate(rng, n, every, common=80, own=70):
+    """Texts that share `common` characters and differ in `own`; one in `every` has a near copy."""
+    head = "".join(rng.choice(CHARS) for _ in range(common))
+    out = []
+    for i in range(n):
+        t = head + "".join(rng.choice(CHARS) for _ in range(own))
+        out.append((f"b{i:06}", t))
+        if i % every == 0:
+            out.append((f"c{i:06}", t[:-1] + "漢"))
+    return out
+
+
+def test_hot_block_of_unlike_texts_against_brute_force(spark):
+    data = boilerplate(random.Random(8), 1000, 10, 112, 28)
+    df = spark.createDataFrame(data, "doc_id string, text string")
+    sim = Similarity()
+    classes = text_classes(sketched(df, "doc_id", "text", sim))
+    assert paired_by_key(classes.select("lo", "side", F.explode("keys").alias("key")).withColumns({"size": F.lit(0), "rank": F.lit(0)}), _crossing).where("lo_b is null").count() > 256
+    got = [tuple(r) for r in document_pairs(near_duplicates(df)).collect()]
+    assert len(got) == len(set(got)) and set(got) == expected(data)
+
+
+def test_hot_block_of_50000_texts_has_few_candidates(spark):
+    data = boilerplate(random.Random(9), 50_000, 25)
+    df = spark.createDataFrame(data, "doc_id string, text string")
+    members = text_classes(sketched(df, "doc_id", "text", Similarity())).select("lo", "rep", "side")
+    candidates = prefix_pairs(members, df, "doc_id", "text", Similarity()).distinct().count()
+    assert 2000 <= candidates < 100_000  # all pairs would be 1.3 billion
+
+
 def test_cross_split(spark):
     data = rows()
     train = lambda i: hash_of(i) % 3 > 0
@@ -90,6 +122,18 @@ def test_cross_split(spark):
     df = spark.createDataFrame([(i, t, spell(i) if i else None) for i, t in data], "doc_id string, text string, subset string")
     got = {tuple(sorted((r["train_id"], r["eval_id"]))) for r in crossing_pairs(split_overlaps(df, F.col("subset"))).collect()}
     assert got == expected(data, train)
+    name = {i: spell(i) for i, _ in data if i}
+    subset = lambda i: {"test": "test", "Validation ": "validation", "ｏｏｄ": "ood"}[name[i]]
+    sources = [(i, (None, "aozora")[hash_of(i) % 2]) for i in name]
+    counts = defaultdict(lambda: [0, set(), set()])
+    for a, b in got:
+        t, e = (a, b) if train(a) else (b, a)
+        c = counts[subset(e), dict(sources)[e]]
+        c[0] += 1
+        c[1].add(e)
+        c[2].add(t)
+    report = overlap_report(split_overlaps(df, F.col("subset")), spark.createDataFrame(sources, "doc_id string, source string")).collect()
+    assert {(r["subset"], r["source"]): (r["n_pairs"], r["n_eval_docs"], r["n_train_docs"]) for r in report} == {k: (n, len(e), len(t)) for k, (n, e, t) in counts.items()}
 
 
 def hash_of(i):
@@ -109,11 +153,11 @@ def test_sketch_estimates_similarity_and_fills_all_bins():
     doc, _, hashes = shingles.grams(*shingles.code_points(texts), 5)
     sketch = shingles.fast_similarity_sketch(doc, hashes, len(texts), 400)
     assert (sketch != np.uint64(0xFFFFFFFFFFFFFFFF)).all()
-    fingerprints = shingles.bit_fingerprint(sketch)
+    codes = [row.tobytes() for row in shingles.coordinate_codes(sketch, 8).astype(np.uint8)]
     for i in range(1, 6):
         true = similarity(texts[0], texts[i])
         assert abs((sketch[0] == sketch[i]).mean() - true) < 0.12
-        assert abs(shingles.hamming([fingerprints[0]], [fingerprints[i]])[0] / 400 - (1 - true) / 2) < 0.1
+        assert abs(shingles.hamming([codes[0]], [codes[i]])[0] / 400 - 4 * (1 - true)) < 0.6
     again = shingles.fast_similarity_sketch(*[x[doc == 3] for x in (np.zeros_like(doc), hashes)], 1, 400)
     assert (again[0] == sketch[3]).all()
 
