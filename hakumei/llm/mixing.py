@@ -1,10 +1,12 @@
 """Mixing sources to target weights.
 
-Method: temperature mixing. Wanted shares are met exactly where a source is large
-enough; what capped sources can't give is spread over the others in proportion to
-their token shares raised to an exponent, bisected so that the mix keeps the
-entropy of the wanted shares under the repetition limit. The weights are realised
-as blocks: whole passes over a source, then a budgeted prefix of a hashed permutation.
+Method: temperature mixing. The weight of a source is its token share raised to an
+exponent, scaled to the size of the mix between two limits: it gets what is wanted of it at
+least, unless its repetition limit, which it never exceeds, is lower. The exponent is
+bisected so that the mix has the entropy of the wanted shares. Where every source can give
+what is wanted, the limits meet the size of the mix and no exponent changes anything. The
+weights are realised as blocks: whole passes over a source, then a budgeted prefix of a
+hashed permutation.
 """
 
 from __future__ import annotations
@@ -21,8 +23,8 @@ from .base import bounded_rows, materialise, true_source
 #: Rows of a table of targets; it is written by hand.
 MAX_TARGETS = 100_000
 
-#: Parts of a source whose sizes are summed before any item is ordered.
-BUCKETS = 4096
+#: Largest exponent of the token shares on either side.
+EXPONENT = 8.0
 
 
 @dataclass
@@ -35,7 +37,6 @@ class Share:
     max_repeat: int
     size: int
     wanted: float
-    reachable: bool
     budget: float
 
 
@@ -44,44 +45,50 @@ def entropy(weights: list[float]) -> float:
     return -sum(w / total * math.log(w / total) for w in weights if w > 0) if total else 0.0
 
 
-def poured(amount: float, sizes: list[float], room: list[float], exponent: float) -> list[float]:
-    """`amount` spread in proportion to sizes ** exponent, no more than `room` for each; the rest flows on to those with room."""
-    got = [0.0] * len(sizes)
-    top = max((s for s in sizes if s > 0), default=1.0)
-    while amount > 1e-9:
-        open_ = [i for i in range(len(sizes)) if sizes[i] > 0 and room[i] - got[i] > 1e-9]
-        if not open_:
-            break
-        weight = {i: max((sizes[i] / top) ** exponent, 1e-300) for i in open_}
-        unit = amount / sum(weight.values())
-        given = {i: min(room[i] - got[i], unit * w) for i, w in weight.items()}
-        for i, g in given.items():
-            got[i] += g
-        amount -= sum(given.values())
-        if all(given[i] == unit * weight[i] for i in open_):
+def at_exponent(exponent: float, total: float, low: list[float], high: list[float], sizes: list[float]) -> list[float]:
+    """Budgets in proportion to sizes ** exponent, each kept between its limits, with the sum `total`.
+
+    The sum grows with the common factor of the weights in straight pieces, which end where a budget
+    reaches a limit, so the factor is found exactly. low adds up to `total` at most, high to `total` at least.
+    """
+    open_ = [i for i, s in enumerate(sizes) if s > 0 and high[i] > low[i]]
+    top = max((sizes[i] for i in open_), default=1.0)
+    weight = {i: max((sizes[i] / top) ** exponent, 1e-250) for i in open_}
+    factor, ends = 0.0, sorted({limit[i] / weight[i] for i in open_ for limit in (low, high)})
+    clamped = lambda f: [min(max(f * weight[i], low[i]), high[i]) if i in weight else low[i] for i in range(len(sizes))]
+    for end in ends:
+        if sum(clamped(end)) >= total:
+            free = [i for i in open_ if low[i] / weight[i] <= factor and high[i] / weight[i] >= end]
+            fixed = sum(x for i, x in enumerate(clamped((factor + end) / 2)) if i not in free)
+            factor = (total - fixed) / sum(weight[i] for i in free) if free else end
             break
-    return got
+        factor = end
+    return clamped(factor)
 
 
 def tempered(wanted: list[float], caps: list[float], sizes: list[float], steps: int = 60) -> list[float]:
-    """Budgets: what is wanted, at most the cap, and the deficit refilled at the exponent that keeps the entropy of `wanted`.
+    """Budgets of the sources of a mix: as wanted if no cap is below that, else those whose entropy is nearest to that of `wanted`.
 
-    Entropy falls as the exponent grows (large sources take more); where no exponent
-    reaches the wanted entropy the nearer end is taken. Without a deficit the
-    wanted budgets are returned as they are.
+    Among budgets within the limits an exponent of 0 gives the highest entropy (equal budgets as far as the limits allow),
+    and it falls on both sides of 0: a larger exponent favours large sources, a smaller one small sources. If the
+    wanted entropy isn't below the highest, 0 is the exponent; otherwise it is bisected between 0 and EXPONENT, or
+    between 0 and -EXPONENT where only that side reaches it; where none does, the nearer end is taken.
     """
-    base = [min(w, c) for w, c in zip(wanted, caps)]
-    deficit = sum(wanted) - sum(base)
-    if deficit <= 1e-9:
-        return base
-    room = [c - b for b, c in zip(base, caps)]
-    low, high = -8.0, 8.0
+    low = [min(w, c) for w, c in zip(wanted, caps)]
+    total = min(sum(wanted), sum(caps))
+    budgets = lambda exponent: at_exponent(exponent, total, low, caps, sizes)
+    reached = lambda exponent: entropy(budgets(exponent))
     goal = entropy(wanted)
+    if sum(wanted) - sum(low) <= 1e-9:
+        return low
+    if reached(0.0) <= goal:
+        return budgets(0.0)
+    ends = sorted((EXPONENT, -EXPONENT), key=lambda e: (reached(e) > goal, reached(e) if reached(e) > goal else 0.0, -e))
+    near, far = 0.0, ends[0]
     for _ in range(steps):
-        middle = (low + high) / 2
-        filled = [b + g for b, g in zip(base, poured(deficit, sizes, room, middle))]
-        low, high = (middle, high) if entropy(filled) > goal else (low, middle)
-    return [b + g for b, g in zip(base, poured(deficit, sizes, room, (low + high) / 2))]
+        middle = (near + far) / 2
+        near, far = (middle, far) if reached(middle) > goal else (near, middle)
+    return budgets(far)
 
 
 def sized_items(items: DataFrame) -> DataFrame:
@@ -105,8 +112,8 @@ def plan_mixes(sized: DataFrame, targets: DataFrame) -> list[Share]:
         caps = [float(s * r["max_repeat"]) for s, r in zip(sizes, own)]
         budgets = tempered(amount, caps, [float(s) for s in sizes])
         plan += [
-            Share(mix, r["source"], r["target_share"], r["max_repeat"], s, a, not c < a, b)
-            for r, s, a, c, b in zip(own, sizes, amount, caps, budgets)
+            Share(mix, r["source"], r["target_share"], r["max_repeat"], s, a, b)
+            for r, s, a, b in zip(own, sizes, amount, budgets)
         ]
     return plan
 
@@ -114,7 +121,7 @@ def plan_mixes(sized: DataFrame, targets: DataFrame) -> list[Share]:
 def plan_frame(items: DataFrame, plan: list[Share]) -> DataFrame:
     return items.sparkSession.createDataFrame(
         [tuple(vars(p).values()) for p in plan],
-        "mix_id int, source string, target_share double, max_repeat int, size long, wanted double, reachable boolean, budget double",
+        "mix_id int, source string, target_share double, max_repeat int, size long, wanted double, budget double",
     )
 
 
@@ -123,7 +130,8 @@ def mixed(sized: DataFrame, plan: DataFrame, seed: int = 42) -> DataFrame:
 
     A source gets budget div size whole passes; the rest of its budget is the prefix of
     its items in hashed order, so that the characters reached differ from the budget by
-    half an item at most. Items without characters aren't used.
+    half an item at most. Items without characters aren't used. The hash is the first 60 bits of the MD5 of
+    seed, mix and item, which other engines have too.
     """
     share = plan.where("size > 0 and budget > 0").select(
         "mix_id", "source", "max_repeat",
@@ -131,10 +139,11 @@ def mixed(sized: DataFrame, plan: DataFrame, seed: int = 42) -> DataFrame:
         (F.col("budget") - F.floor(F.col("budget") / F.col("size")) * F.col("size")).alias("rest"),
     )
     rows = sized.where("n_chars > 0").join(F.broadcast(share), "source")  # bounded by MAX_TARGETS
-    rows = rows.withColumn("_h", F.xxhash64(F.lit(seed), "mix_id", "passes", "item_id"))
+    named = F.concat_ws(":", F.lit(str(seed)), F.col("mix_id").cast("string"), F.col("item_id"))
+    rows = rows.withColumn("_h", F.conv(F.left(F.md5(named.cast("binary")), F.lit(15)), 16, 10).cast("long"))
     rows = running_total(
         rows, ["mix_id", "source"], [F.col("_h"), F.col("item_id")],
-        F.shiftrightunsigned("_h", 52).cast("int"), F.col("n_chars"), "before",
+        F.shiftright("_h", 48).cast("int"), F.col("n_chars"), "before",
     )
     extra = ((F.col("before") + F.col("n_chars") / 2) <= F.col("rest")) & (F.col("passes") < F.col("max_repeat"))
     uses = (F.col("passes") + extra.cast("long")).cast("int")
@@ -142,7 +151,10 @@ def mixed(sized: DataFrame, plan: DataFrame, seed: int = 42) -> DataFrame:
 
 
 def mix_report(mix: DataFrame, plan: DataFrame) -> DataFrame:
-    """Shares reached next to those wanted, one row for each row of the plan."""
+    """Shares reached next to those wanted, one row for each row of the plan.
+
+    exhausted: every item was used max_repeat times and the wanted characters weren't reached.
+    """
     reached = mix.groupBy("mix_id", "source").agg(
         F.sum(F.col("n_chars") * F.col("uses")).alias("chars"), F.count("*").alias("n_items"), F.max("uses").alias("most_uses")
     )
@@ -150,13 +162,14 @@ def mix_report(mix: DataFrame, plan: DataFrame) -> DataFrame:
     planned = plan.groupBy("mix_id").agg(F.sum("wanted").alias("mix_size"))
     joined = plan.join(reached, ["mix_id", "source"], "left").join(total, "mix_id", "left").join(planned, "mix_id")
     return joined.select(
-        "mix_id", "source", "target_share", "reachable",
+        "mix_id", "source", "target_share",
+        (F.coalesce("chars", F.lit(0)) >= F.col("size") * F.col("max_repeat")).alias("_all"), "wanted",
         F.coalesce("chars", F.lit(0)).cast("long").alias("reached_chars"),
         F.round(F.coalesce(F.col("chars") / F.col("total"), F.lit(0.0)), 6).alias("reached_share"),
         F.round(F.coalesce(F.col("total") / F.col("mix_size"), F.lit(0.0)), 6).alias("size_reached"),
         F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
         F.coalesce("most_uses", F.lit(0)).cast("int").alias("most_uses"),
-    )
+    ).withColumn("exhausted", F.col("_all") & (F.col("reached_chars") < F.col("wanted"))).drop("_all", "wanted")
 
 
 @dataclass
