@@ -1,8 +1,8 @@
 """Splits that keep related records together.
 
 Method: min-cost flow allocation. Components (works with all their records, or a
-single record without a work) are bundled by size and label profile; the flow from
-bundles to splits respects the quotas, deviations from them and records that
+single record without a work) are bundled by identical size and label profile; the flow
+from bundles to splits respects the quotas, deviations from them and records that
 change their split cost; flows are rounded to whole components and these are
 assigned inside a bundle by hash.
 """
@@ -11,22 +11,20 @@ from __future__ import annotations
 
 import heapq
 import math
-import unicodedata
+import warnings
 from collections import defaultdict
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..operators.ranking import running_total
 from .base import bounded_rows, canonical_subset, materialise
 
-#: Distinct label profiles (records in each split). n records have less than n ** 0.75 of them; should they be more than this,
-#: components are bundled by size and most frequent split: n records have less than sqrt(2 n) distinct sizes, and sizes
-#: above EXACT_SIZE are put into classes of 1/64 of their magnitude, so this holds for any table.
-MAX_BUNDLES = 1_000_000
-EXACT_SIZE = 4096
+#: Bundles that take part in the flow, those with most records first. Components of any further bundle stay where most of
+#: their records are; their records count in the quotas all the same.
+MAX_BUNDLES = 200_000
 
 #: Changes of the flow after the first whole solution; some seconds.
 SEARCH = 50_000
@@ -34,70 +32,59 @@ SEARCH = 50_000
 SPLITS = ("train", "validation", "test")
 
 
-def fold_reference(text: str) -> str:
-    """A reference without width forms, blanks and case."""
-    return "".join(unicodedata.normalize("NFKC", text).split()).casefold()
+def folded(col: Column) -> Column:
+    """A reference without width forms, blanks and case, by the JVM's Unicode library; null stays null.
 
-
-def _fold_values(values: pd.Series) -> pd.Series:
-    known = {v: fold_reference(v) for v in values.dropna().unique()}
-    return values.map(known).astype(object).where(values.notna(), None)
-
-
-def _folded(col: Column | str) -> Column:
-    return F.pandas_udf(_fold_values, "string")(col)
+    Calls by reflection stand in a projection only, so each value is folded once.
+    """
+    plain = F.regexp_replace(X.nfkc(col), r"(?U)\s+", "")
+    folds = F.call_function("reflect", F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), F.coalesce(plain, F.lit("")), F.lit(True))
+    return F.when(col.isNotNull(), folds)
 
 
 def works(items: DataFrame) -> DataFrame:
-    """(name, work_key): every folded name of a work: its key and the attributions of its items.
+    """(name, work_key, known): every folded name of a work: its key and the attributions of its items.
 
-    An attribution that several works share names the least of them.
+    A name that is the key of a work is that work's, whoever else is attributed by it; an attribution
+    that several works share names the least of them.
     """
     parts = F.split("item_id", ":")
-    keyed = items.where(F.col("item_id").isNotNull()).select(
-        F.concat_ws(":", F.get(parts, F.lit(0)), F.get(parts, F.lit(1))).alias("work_key"), "attribution"
-    ).distinct()
-    own = keyed.select(_folded("work_key").alias("name"), "work_key").distinct()
-    named = keyed.where(F.col("attribution").isNotNull()).select(_folded("attribution").alias("name"), "work_key")
-    named = named.where("name != ''").join(own.select("name"), "name", "left_anti")
-    return own.unionByName(named).groupBy("name").agg(F.min("work_key").alias("work_key"))
-
-
-def reference_name(source_ref: Column) -> Column:
-    """Folded `<source>:<doc>` of an item id, work or web address; other references as they are, folded."""
-    folded = _folded(source_ref)
-    address = F.regexp_extract(folded, r"^[a-z][a-z0-9+.-]*://[^/]+/([^/?#]+/[^/?#]+)", 1)
-    plain = F.when(address != "", F.translate(address, "/", ":")).otherwise(folded)
+    key = F.concat_ws(":", F.get(parts, F.lit(0)), F.get(parts, F.lit(1)))
+    keyed = items.where(F.col("item_id").isNotNull()).select(key.alias("work_key"), "attribution").distinct()
+    names = keyed.select("work_key", F.posexplode(F.array("work_key", "attribution")).alias("rank", "raw")).where("raw is not null")
+    named = names.distinct().select("work_key", "rank", folded(F.col("raw")).alias("name")).where("name != ''")
+    best = named.groupBy("name").agg(F.min(F.struct("rank", "work_key")).alias("m"))
+    return best.select("name", "m.work_key", F.lit(True).alias("known"))
+
+
+def reference_name(ref: Column) -> Column:
+    """`<source>:<doc>` of a folded item id, work or web address; other folded references as they are."""
+    address = F.regexp_extract(ref, r"^[a-z][a-z0-9+.-]*://[^/]+/([^/?#]+/[^/?#]+)", 1)
+    plain = F.when(address != "", F.translate(address, "/", ":")).otherwise(ref)
     code = F.regexp_extract(plain, r"^([a-z0-9_.-]+:[a-z0-9_.-]+)(:[a-z0-9_.-]+)?/?$", 1)
     return F.when(code != "", code).otherwise(plain)
 
 
 def resolved(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, subset, work_key) of every document, once for each doc_id.
+    """(doc_id, subset, work_key, known) of every document, once for each doc_id.
 
-    work_key is null for a null or blank source_ref; a reference that no item
-    explains keeps its folded name as key, so that records with the same one stay together.
+    work_key is null for a null or blank source_ref; a reference that no item explains keeps its
+    folded name as key and isn't known, so that records with the same one stay together. Of rows with one id
+    and different contents the largest (subset, source_ref) counts.
     """
-    once = docs.select("doc_id", canonical_subset(F.col("subset")).alias("subset"), "source_ref").where(F.col("doc_id").isNotNull())
-    once = once.dropDuplicates(["doc_id"])
-    named = once.withColumn("name", reference_name(F.col("source_ref")))
+    rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", canonical_subset(F.col("subset")).alias("subset"), "source_ref")
+    once = rows.groupBy("doc_id").agg(F.max(F.struct("subset", "source_ref")).alias("r"))
+    named = once.select("doc_id", "r.subset", folded(F.col("r.source_ref")).alias("ref"))
+    named = named.select("doc_id", "subset", reference_name(F.col("ref")).alias("name"))
     named = named.withColumn("name", F.when(F.col("name") != "", F.col("name")))
-    # each distinct name is resolved once; a name with a large share of the records is split by adaptive execution
-    names = named.where("name is not null").select("name").distinct().join(works(items), "name", "left")
-    names = names.select("name", F.coalesce("work_key", "name").alias("work_key"))
-    return named.join(names, "name", "left").select("doc_id", "subset", "work_key")
-
-
-def broken_works(records: DataFrame) -> DataFrame:
-    """(work_key, doc_id) of records in train, validation or test whose work is in more than one of them."""
-    counted = records.where(F.col("work_key").isNotNull() & F.col("subset").isin(*SPLITS))
-    spread = counted.groupBy("work_key").agg(F.min("subset").alias("x"), F.max("subset").alias("y")).where("x != y")
-    return counted.join(spread.select("work_key"), "work_key", "left_semi").select("work_key", "doc_id").distinct()
+    # a name with a large share of the records is split by adaptive execution
+    joined = named.join(works(items), "name", "left")
+    return joined.select("doc_id", "subset", F.coalesce("work_key", "name").alias("work_key"), F.coalesce("known", F.lit(False)).alias("known"))
 
 
 @dataclass(frozen=True)
 class Bundle:
-    """n components of `size` records each, `stay` of them (on average) in each split now."""
+    """n components of `size` records each, `stay` of them in each split now."""
 
     size: int
     n: int
@@ -110,23 +97,26 @@ def whole_quotas(quotas: list[float]) -> list[int]:
     return [b - a for a, b in zip(ends, ends[1:])]
 
 
-def allocation_cost(bundles: list[Bundle], quotas: list[float], flow: list[list[int]], deviation: float = 10.0) -> float:
-    """Records that change split + deviation x (records over or under the whole quotas)."""
+def allocation_cost(
+    bundles: list[Bundle], quotas: list[float], flow: list[list[int]], deviation: float = 10.0, settled: tuple[int, ...] = ()
+) -> float:
+    """Records that change split + deviation x (records over or under the whole quotas); `settled` records are in each split anyway."""
     moved = sum(n * (b.size - s) for b, f in zip(bundles, flow) for n, s in zip(f, b.stay))
-    loads = [sum(b.size * f[t] for b, f in zip(bundles, flow)) for t in range(len(quotas))]
+    there = settled or (0,) * len(quotas)
+    loads = [there[t] + sum(b.size * f[t] for b, f in zip(bundles, flow)) for t in range(len(quotas))]
     return moved + deviation * sum(abs(x - q) for x, q in zip(loads, whole_quotas(quotas)))
 
 
 class _Flow:
     """Records of every bundle in every split, those of fixed components apart; each change can be taken back."""
 
-    def __init__(self, bundles: list[Bundle], quotas: list[float], deviation: float):
+    def __init__(self, bundles: list[Bundle], quotas: list[float], deviation: float, settled: tuple[int, ...] = ()):
         self.k, self.bundles, self.deviation = len(quotas), bundles, deviation
         self.quotas = whole_quotas(quotas)
         self.unit = [[(b.size - s) / b.size for s in b.stay] for b in bundles]
         self.free = [[0] * self.k for _ in bundles]
         self.fixed = [[0] * self.k for _ in bundles]
-        self.load = [0] * self.k
+        self.load = list(settled) or [0] * self.k
         self.moved = 0.0
         self.changes = 0
         self.log: list[tuple[int, int, int, int, int]] = []
@@ -219,17 +209,17 @@ class _Flow:
         return [[x // b.size + n for x, n in zip(free, fixed)] for b, free, fixed in zip(self.bundles, self.free, self.fixed)]
 
 
-def allocate(bundles: list[Bundle], quotas: list[float], deviation: float = 10.0) -> list[list[int]]:
-    """Components of each bundle for each split.
+def allocate(bundles: list[Bundle], quotas: list[float], deviation: float = 10.0, settled: tuple[int, ...] = ()) -> list[list[int]]:
+    """Components of each bundle for each split; `settled` records are in each split already and stay.
 
     The flow of records minimises (records that change split) + deviation x (records over or under
     quota). All records start in their cheapest split and go along the cheapest chain of residual
     arcs between splits as long as that lowers the cost, which is exact for records. A component that the flow
     divides is fixed as a whole, the largest first, where the flow of the rest costs least; then the other splits
     are tried, the last one first, unless their flow costs as much as the best whole solution. Whole components are a
-    packing problem: the result is the best one unless SEARCH changes of the flow don't suffice, then the best one seen.
+    packing problem: the result is the best one unless SEARCH changes of the flow don't suffice, then the best one seen, with a warning.
     """
-    flow = _Flow(bundles, quotas, deviation)
+    flow = _Flow(bundles, quotas, deviation, settled)
     flow.balance()
     best, cost, limit = None, math.inf, math.inf
     levels: list[tuple[int, list]] = []
@@ -242,7 +232,10 @@ def allocate(bundles: list[Bundle], quotas: list[float], deviation: float = 10.0
             best, cost = flow.whole(), flow.cost()
         while levels and not (levels[-1][1] and levels[-1][1][-1][0] < cost - 1e-6):
             levels.pop()
-        if not levels or flow.changes > limit:
+        if not levels:
+            return best
+        if flow.changes > limit:
+            warnings.warn(f"allocation: the best solution may cost less than the one found, {cost:.0f}", stacklevel=2)
             return best
         mark, open_ = levels[-1]
         flow.undo(mark)
@@ -251,48 +244,70 @@ def allocate(bundles: list[Bundle], quotas: list[float], deviation: float = 10.0
         flow.balance()
 
 
-def size_class(size: Column) -> Column:
-    """The size itself up to EXACT_SIZE, then the lower end of its class of 1/64 of the magnitude."""
-    step = F.pow(F.lit(2.0), F.floor(F.log2(size.cast("double"))) - 6)
-    return F.when(size <= EXACT_SIZE, size).otherwise(F.floor(size / step) * step).cast("long")
+def _home() -> Column:
+    """The split that holds most of a component's records, the first among equals."""
+    most = F.greatest(*SPLITS)
+    return F.when(F.col("train") == most, "train").when(F.col("validation") == most, "validation").otherwise("test")
 
 
-def grouped_split(records: DataFrame, plan: DataFrame, seed: int = 42) -> DataFrame:
-    """(doc_id, work_key, old_subset, new_subset) for every record of resolved().
+def grouped_split(records: DataFrame, plan: DataFrame, seed: int = 42, most: int = MAX_BUNDLES) -> DataFrame:
+    """(doc_id, work_key, old_subset, new_subset, broken) for every record of resolved().
 
     Records in train, validation and test get a new subset, the same for all
-    records of a work; ood and negatives keep theirs and don't count. An empty table gives
-    no rows; `plan` has a target_share for each of the three splits, null or missing is 0.
+    records of a work; ood and negatives keep theirs and don't count. broken: the record's work
+    has records in several of the three now. An empty table gives no rows; `plan` has a target_share for each
+    of the three splits, null or missing is 0. `most` bundles take part in the flow, see MAX_BUNDLES.
     """
+    spark = records.sparkSession
     shares = {r["subset"]: r["target_share"] or 0.0 for r in bounded_rows(plan, 100, "the split plan")}
+    records = materialise(records.select("doc_id", "subset", "work_key"), "records")
     counted = records.where(F.col("subset").isin(*SPLITS))
-    component = F.coalesce("work_key", F.concat(F.lit("\u0000"), F.col("doc_id")))
+    # works are counted, single records are components as they are
     now = [F.sum((F.col("subset") == s).cast("long")).alias(s) for s in SPLITS]
-    parts = counted.groupBy(component.alias("component")).agg(F.count("*").alias("size"), *now)
-    parts = parts.withColumns({"size_class": F.col("size"), "profile": F.concat_ws(":", *SPLITS)})
-    parts = materialise(parts, "components")
-    if parts.select("profile").distinct().count() > MAX_BUNDLES:
-        most = F.greatest(*SPLITS)
-        profile = F.when(F.col("train") == most, "train").when(F.col("validation") == most, "validation").otherwise("test")
-        parts = parts.withColumns({"size_class": size_class(F.col("size")), "profile": profile})
-    bundles = parts.groupBy("size_class", "profile").agg(
-        F.count("*").alias("n"), F.sum("size").alias("total"), *(F.avg(s).alias(s) for s in SPLITS)
-    )
-    rows = bounded_rows(bundles.orderBy(F.desc("size_class"), "profile"), MAX_BUNDLES, "the bundles")
-    total = sum(r["total"] for r in rows)
+    of_works = counted.where("work_key is not null").groupBy("work_key").agg(*now)
+    singles = counted.where("work_key is null").select("doc_id", *((F.col("subset") == s).cast("long").alias(s) for s in SPLITS))
+    parts = materialise(of_works.unionByName(singles, allowMissingColumns=True), "components")
+    size = F.col("train") + F.col("validation") + F.col("test")
+    bundles = materialise(parts.groupBy(*SPLITS).agg(F.count("*").alias("n")).withColumn("total", F.col("n") * size), "bundles")
+    rows = bundles.orderBy(F.desc("total"), *SPLITS).limit(most).collect()  # bounded by MAX_BUNDLES
+    key = F.struct((-F.col("total")).alias("total"), *SPLITS)
+    settled = bundles.where("false")
+    if len(rows) == most:
+        last = rows[-1]
+        settled = bundles.where(key > F.struct(F.lit(-last["total"]).cast("long").alias("total"), *(F.lit(last[s]).cast("long").alias(s) for s in SPLITS)))
+    home = {r["home"]: r["total"] for r in settled.groupBy(_home().alias("home")).agg(F.sum("total").alias("total")).collect()}
+    total = sum(r["total"] for r in rows) + sum(home.values())
     flow = allocate(
-        [Bundle(max(1, round(r["total"] / r["n"])), r["n"], tuple(r[s] for s in SPLITS)) for r in rows],
-        [shares.get(s, 0.0) * total for s in SPLITS],
-    )
-    bounds = [(r["size_class"], r["profile"], f[0], f[0] + f[1]) for r, f in zip(rows, flow)]
-    bounds_frame = records.sparkSession.createDataFrame(bounds, "size_class long, profile string, to_train long, to_validation long")
+        [Bundle(sum(r[s] for s in SPLITS), r["n"], tuple(float(r[s]) for s in SPLITS)) for r in rows],
+        [shares.get(s, 0.0) * total for s in SPLITS], settled=tuple(home.get(s, 0) for s in SPLITS),
+    )
+    bounds = [(*(r[s] for s in SPLITS), f[0], f[0] + f[1], r["n"]) for r, f in zip(rows, flow)]
+    bounds_frame = spark.createDataFrame(bounds, "train long, validation long, test long, to_train long, to_validation long, n long")
+    placed = parts.join(F.broadcast(bounds_frame), list(SPLITS), "left")  # MAX_BUNDLES rows of six numbers
+    whole = (
+        F.when(F.col("n").isNull(), _home()).when(F.col("to_train") == F.col("n"), "train")
+        .when((F.col("to_train") == 0) & (F.col("to_validation") == F.col("n")), "validation").when(F.col("to_validation") == 0, "test")
+    )
+    placed = placed.withColumn("whole", whole).withColumn("_h", F.xxhash64(F.lit(seed), F.coalesce("work_key", "doc_id")))
+    # only components of bundles that the flow divides are ranked
     ranked = running_total(
-        parts.withColumn("_h", F.xxhash64(F.lit(seed), "component")), ["size_class", "profile"],
-        [F.col("_h"), F.col("component")], F.shiftrightunsigned("_h", 52).cast("int"), F.lit(1), "rank",
+        placed.where("whole is null"), list(SPLITS), [F.col("_h"), F.col("work_key"), F.col("doc_id")],
+        F.shiftrightunsigned("_h", 52).cast("int"), F.lit(1), "rank",
     )
     split = F.when(F.col("rank") < F.col("to_train"), "train").when(F.col("rank") < F.col("to_validation"), "validation").otherwise("test")
-    new = ranked.join(bounds_frame, ["size_class", "profile"]).select("component", split.alias("new_subset"))
-    out = counted.withColumn("component", component).join(new, "component")
-    kept = records.where(~F.col("subset").isin(*SPLITS)).withColumn("new_subset", F.col("subset"))
-    columns = ["doc_id", "work_key", F.col("subset").alias("old_subset"), "new_subset"]
-    return out.select(*columns).unionByName(kept.select(*columns))
+    several = sum((F.col(s) > 0).cast("int") for s in SPLITS) > 1
+    columns = ["work_key", "doc_id", several.alias("broken"), _home().alias("home")]
+    new = ranked.select(*columns, split.alias("new_subset")).unionByName(placed.where("whole is not null").select(*columns, F.col("whole").alias("new_subset")))
+    out = ["doc_id", "work_key", "old_subset", "new_subset", "broken"]
+    single = new.where("work_key is null").withColumn("old_subset", F.col("home")).select(*out)
+    members = counted.where("work_key is not null").withColumnRenamed("subset", "old_subset")
+    of_work = members.join(new.where("work_key is not null").select("work_key", "new_subset", "broken"), "work_key").select(*out)
+    kept = records.where(~F.col("subset").isin(*SPLITS)).select(
+        "doc_id", "work_key", F.col("subset").alias("old_subset"), F.col("subset").alias("new_subset"), F.lit(False).alias("broken")
+    )
+    return single.unionByName(of_work).unionByName(kept)
+
+
+def broken_works(split: DataFrame) -> DataFrame:
+    """(work_key, doc_id) of the records of grouped_split whose work is in more than one of train, validation and test now."""
+    return split.where("broken").select("work_key", "doc_id")

@@ -83,9 +83,10 @@ def test_works_stay_together(spark):
     for i, k in keys.items():
         if k and names[i] in groupsplit.SPLITS:
             spread[k].add(names[i])
-    assert {tuple(r) for r in broken_works(records).collect()} == {(k, i) for i, k in keys.items() if k and names[i] in groupsplit.SPLITS and len(spread[k]) > 1}
     plan = spark.createDataFrame([("train", 0.8), ("validation", 0.1), ("test", 0.1)], "subset string, target_share double")
-    new = grouped_split(records, plan).collect()
+    split = grouped_split(records, plan)
+    assert {tuple(r) for r in broken_works(split).collect()} == {(k, i) for i, k in keys.items() if k and names[i] in groupsplit.SPLITS and len(spread[k]) > 1}
+    new = split.collect()
     assert len(new) == 400
     after = defaultdict(set)
     for r in new:
@@ -93,8 +94,59 @@ def test_works_stay_together(spark):
         if r["work_key"] and r["new_subset"] != "ood":
             after[r["work_key"]].add(r["new_subset"])
     assert all(len(s) == 1 for s in after.values())
-    none = docs.where("false")
-    assert broken_works(resolved(none, items)).count() == 0 and grouped_split(resolved(none, items), plan).count() == 0
+    none = grouped_split(resolved(docs.where("false"), items), plan)
+    assert none.count() == 0 and broken_works(none).count() == 0
+
+
+def test_components_beyond_the_flow_stay_and_count(spark):
+    """Seven kinds of components, of which three take part in the flow: all records are placed, works whole, quotas kept."""
+    rng = random.Random(12)
+    rows = [(f"s{i}", rng.choice(["train"] * 8 + ["validation", "test"]), None) for i in range(3000)]
+    rows += [(f"w{i}-{k}", rng.choice(groupsplit.SPLITS), f"w{i}") for i in range(40) for k in range(2 + i % 7)]
+    frame = spark.createDataFrame(rows, "doc_id string, subset string, work_key string")
+    plan = spark.createDataFrame([("train", 0.8), ("validation", 0.1), ("test", 0.1)], "subset string, target_share double")
+    new = grouped_split(frame, plan, most=3).collect()
+    assert {r["doc_id"] for r in new} == {i for i, *_ in rows} and len(new) == len(rows)
+    after, before = defaultdict(set), defaultdict(list)
+    for r in new:
+        if r["work_key"]:
+            after[r["work_key"]].add(r["new_subset"])
+            before[r["work_key"]].append(r["old_subset"])
+    assert all(len(s) == 1 for s in after.values())
+    assert all(before[w].count(min(s)) == max(before[w].count(t) for t in groupsplit.SPLITS) for w, s in after.items())
+    loads = [sum(r["new_subset"] == s for r in new) for s in groupsplit.SPLITS]
+    assert all(abs(x - q * len(rows)) < 1.5 for x, q in zip(loads, (0.8, 0.1, 0.1)))
+
+
+def scanned(wanted, caps, sizes):
+    """Entropies of the budgets for many exponents."""
+    low, total = [min(w, c) for w, c in zip(wanted, caps)], min(sum(wanted), sum(caps))
+    return [mixing.entropy(mixing.at_exponent(e / 100, total, low, caps, sizes)) for e in range(-800, 801)]
+
+
+def test_exponent_at_the_highest_entropy():
+    # the wanted entropy, 0.950, can't be reached; the nearest is that of exponent 0
+    filled = mixing.tempered([100.0, 100.0, 300.0], [5000.0, 500.0, 30.0], [1000.0, 100.0, 10.0])
+    assert [round(x, 6) for x in filled] == [235.0, 235.0, 30.0]
+    assert round(mixing.entropy(filled), 4) == 0.8785
+
+
+def test_exponent_against_a_scan():
+    rng = random.Random(7)
+    for _ in range(300):
+        k = rng.randrange(2, 7)
+        sizes = [float(rng.choice([0, 1, 10, 100, 1000, 10_000]) * rng.randrange(1, 10)) for _ in range(k)]
+        wanted = [float(rng.randrange(1, 5000)) for _ in range(k)]
+        caps = [s * rng.randrange(1, 5) for s in sizes]
+        filled = mixing.tempered(wanted, caps, sizes)
+        low, total = [min(w, c) for w, c in zip(wanted, caps)], min(sum(wanted), sum(caps))
+        assert abs(sum(filled) - total) < 1e-6 * max(total, 1)
+        assert all(a - 1e-6 <= x <= c + 1e-6 for x, a, c in zip(filled, low, caps))
+        if sum(low) < sum(wanted) - 1e-6:
+            goal = mixing.entropy(wanted)
+            assert abs(mixing.entropy(filled) - goal) <= min(abs(h - goal) for h in scanned(wanted, caps, sizes)) + 1e-6
+        else:
+            assert filled == low
 
 
 def test_tempered_budgets():
@@ -120,7 +172,7 @@ def test_mixes(spark):
     assert uses and all(1 <= u["uses"] <= limit[u["mix_id"], u["source"]] for u in uses)
     assert len({(u["mix_id"], u["item_id"]) for u in uses}) == len(uses)
     report = {(r["mix_id"], r["source"]): r for r in mix.report.collect()}
-    assert not report[1, "qa_board"]["reachable"] and not report[2, "gone"]["reachable"] and report[1, "aozora"]["reachable"]
+    assert report[1, "qa_board"]["exhausted"] and report[2, "gone"]["exhausted"] and not report[1, "aozora"]["exhausted"]
     assert abs(report[1, "aozora"]["size_reached"] - 1) < 0.02
     empty = mixing.mix_sources(frame.where("false"), plan)
     assert empty.items.count() == 0 and empty.report.count() == 4
