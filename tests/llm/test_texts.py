@@ -1,6 +1,7 @@
 import random
 import unicodedata
 
+import numpy as np
 import pytest
 import regex
 from hypothesis import given, settings
@@ -79,6 +80,40 @@ def test_ids(spark):
     assert tokens.encoded(df.where("false")).count() == 0
 
 
+def test_wand_against_all_scores():
+    """Every passage whose whole score reaches its threshold is retrieved and no other, with lists of many blocks."""
+    rng = random.Random(31)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(60)]
+    texts = ["".join(rng.choice(words[:3] if rng.random() < 0.3 else words) for _ in range(rng.randrange(6, 14))) for _ in range(700)]
+    index = leakage.build_index(list(range(700)), texts, 5, 20)
+    assert np.diff(index.blocks).max() > 3 and index.blocks[-1] == len(index.block_last)
+    for _ in range(200):
+        query = "".join(rng.choice(words) for _ in range(rng.randrange(2, 30)))
+        *_, hashes = leakage.shingles.grams(*leakage.shingles.code_points([query]), 5)
+        rows = np.flatnonzero(np.isin(index.terms, hashes))
+        score = np.zeros(700)
+        for r in rows:
+            a, b = index.starts[r], index.starts[r + 1]
+            score[index.passage[a:b]] += index.impact[a:b]
+        hit = [p for p in range(700) if score[p] >= index.least[p]]
+        assert leakage.retrieve(index, rows) == hit
+    for p in range(0, 700, 50):  # the threshold is the least weight of a window
+        own = index.codes[index.offsets[p] : index.offsets[p + 1]]
+        weights = []
+        for a in range(len(own) - 19):
+            *_, hashes = leakage.shingles.grams(own[a : a + 20], np.array([0, 20]), 5)
+            lists = [(index.starts[r], index.starts[r + 1]) for r in np.flatnonzero(np.isin(index.terms, hashes))]
+            weights.append(sum(float(index.impact[a:b][index.passage[a:b] == p][0]) for a, b in lists))
+        assert abs(min(weights) - index.least[p]) < 1e-4 * min(weights)
+
+
+def test_index_of_10000_passages_is_small():
+    rng = random.Random(32)
+    texts = ["".join(chr(rng.randrange(0x4E00, 0x5E00)) for _ in range(200)) for _ in range(10_000)]
+    index = leakage.build_index(list(range(10_000)), texts, 15, 30)
+    assert index.nbytes < 200_000_000
+
+
 def test_leaks_against_brute_force(spark):
     rng = random.Random(8)
     letters = "あいうえおかきくけこアイウエオ漢字文章山川"
@@ -104,6 +139,7 @@ def test_leaks_against_brute_force(spark):
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     tests = spark.createDataFrame(list(enumerate(passages)), "passage_id long, text string")
     assert {tuple(r) for r in leakage.leaked_passages(frame, tests).collect()} == truth and truth
+    assert {tuple(r) for r in leakage.leaked_passages(frame, tests, index_chars=300).collect()} == truth  # in many parts
     assert leakage.leaked_passages(frame, tests.where("false")).count() == 0
     assert leakage.leaked_passages(frame.where("false"), tests).count() == 0
 
