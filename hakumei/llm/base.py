@@ -64,6 +64,17 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return table_
 
 
+def put_file(spark: SparkSession, path: str, data: bytes) -> None:
+    """Write a small file to the shared folder; it is removed when the interpreter ends."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).create(jvm_path, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+    atexit.register(_remove, spark, path)
+
+
 def release(table_: DataFrame) -> None:
     """Remove a materialised table that nothing reads any more."""
     _remove(table_.sparkSession, table_._materialised)

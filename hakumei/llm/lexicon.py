@@ -9,8 +9,8 @@ for many words at once.
 
 from __future__ import annotations
 
+import io
 from dataclasses import dataclass
-from pathlib import Path
 
 import numpy as np
 
@@ -29,11 +29,14 @@ class Lexicon:
     offsets: np.ndarray
     ids: np.ndarray
 
-    def save(self, folder: Path) -> list[Path]:
-        folder.mkdir(parents=True, exist_ok=True)
+    def files(self) -> dict[str, bytes]:
+        """The arrays as the contents of .npy files, in the order in which `mapped` takes them."""
+        out = {}
         for name in _FIELDS:
-            np.save(folder / f"{name}.npy", getattr(self, name))
-        return [folder / f"{name}.npy" for name in _FIELDS]
+            buffer = io.BytesIO()
+            np.save(buffer, getattr(self, name))
+            out[name] = buffer.getvalue()
+        return out
 
     @classmethod
     def mapped(cls, paths: list[str]) -> Lexicon:

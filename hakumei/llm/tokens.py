@@ -9,9 +9,7 @@ decides how fast a word is encoded, never its ids.
 from __future__ import annotations
 
 import base64
-import tempfile
-import uuid
-from collections import Counter
+import hashlib
 from collections.abc import Iterator
 from functools import cache
 from pathlib import Path
@@ -24,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
+from .base import put_file, shared_dir
 from .lexicon import Lexicon, compile_lexicon
 
 TOKENIZERS = "/opt/tokenizers"
@@ -48,7 +47,7 @@ def _merger(path: str):
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     encoding = tiktoken.Encoding(Path(path).stem, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return encoding._core_bpe.encode_single_piece
+    return lambda word: encoding.encode_ordinary(word.decode())
 
 
 @cache
@@ -57,46 +56,40 @@ def _lexicon(names: tuple[str, ...]) -> Lexicon:
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, count) of all words of up to WORD_BYTES bytes in the column text; counted per task before the shuffle."""
+    """(word, count) of all words of up to WORD_BYTES bytes in the column text, split and counted in the JVM.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = _words().findall
-        counts: Counter[str] = Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                counts.update(find(text))
-                if len(counts) > 200_000:
-                    yield _counted(counts)
-                    counts = Counter()
-        yield _counted(counts)
-
-    counted = texts.mapInArrow(run, "word string, n long")
-    return counted.groupBy("word").agg(F.sum("n").alias("count"))
-
-
-def _counted(counts: Counter[str]) -> pa.RecordBatch:
-    rows = [(w, n) for w, n in counts.items() if len(w) <= WORD_BYTES and len(w.encode()) <= WORD_BYTES]
-    return pa.RecordBatch.from_arrays(
-        [pa.array([w for w, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], ["word", "n"]
-    )
+    Blanks beyond ASCII are split otherwise than by the tokenizer, which only makes such words rarer in the lexicon.
+    """
+    words = texts.select(F.explode(F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))).alias("word"))
+    return words.where(F.octet_length("word") <= WORD_BYTES).groupBy("word").agg(F.count("*").alias("count"))
 
 
 def frequent_lexicon(texts: DataFrame, vocabulary: str) -> tuple[str, ...]:
-    """Compile the LEXICON_WORDS most frequent words and send the arrays to all workers; names of the files."""
+    """Compile the LEXICON_WORDS most frequent words and send the arrays to all workers; names of the files.
+
+    The files go through the shared folder and are named by their contents, so equal lexicons are sent once.
+    """
     counts = word_counts(texts).where(F.col("count") >= WORD_COUNT)
     top = counts.orderBy(F.desc("count"), "word").limit(LEXICON_WORDS).collect()  # bounded by LEXICON_WORDS
     merge = _merger(vocabulary)
     words = sorted(r["word"].encode() for r in top)
-    lexicon = compile_lexicon(words, [merge(w) for w in words])
-    folder = Path(tempfile.mkdtemp(prefix="hakumei-lexicon-"))
+    spark = texts.sparkSession
     names = []
-    for path in lexicon.save(folder):
-        own = path.rename(folder / f"{uuid.uuid4().hex}-{path.name}")
-        texts.sparkSession.sparkContext.addFile(str(own))
-        names.append(own.name)
+    for field, data in compile_lexicon(words, [merge(w) for w in words]).files().items():
+        name = f"{field}-{hashlib.sha256(data).hexdigest()[:24]}.npy"
+        names.append(name)
+        path = f"{shared_dir(spark)}/hakumei-lexicon/{name}"
+        if (spark.sparkContext.applicationId, path) not in _sent:
+            put_file(spark, path, data)
+            spark.sparkContext.addFile(path)
+            _sent.add((spark.sparkContext.applicationId, path))
     return tuple(names)
 
 
+#: Files of lexicons that an application has sent to its workers.
+_sent: set[tuple[str, str]] = set()
+
+
 def encoded(
     df: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizers: str = TOKENIZERS, vocabulary: str = "byte_bpe_50k.tiktoken"
 ) -> DataFrame:
