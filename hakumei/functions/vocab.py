@@ -79,29 +79,25 @@ PARTICLES = ("より", "から", "は", "が", "の", "を", "に", "へ", "と"
 TRIM_CHARS = " \t\n　、。，．,.:：;；・「」『』（）()[]［］{}｛｝【】〈〉《》!?！？…\"'“”‘’-–—/／|｜*＊#＃@＠&＆+＋=＝_＿"
 REFINED_LABELS = ("NAME", "ADDRESS")
 
-# Kinds of hard negatives, and what tells them by the 24 characters around a false positive.
+# Kinds of hard negatives, and the patterns that tell them by the 24 characters around a false positive.
 NEGATIVE_KINDS = (
     "common_noun_surname", "place_as_person", "company_as_person", "honorific_boundary",
     "phone_like_id", "address_like_facility", "number_like_id", "date_like_nondob",
 )
-KIND_WORDS = (
-    ("phone_like_id", ("型番", "製品コード", "注文番号", "整理番号", "ISBN", "追跡番号", "図面番号", "会議室", "バージョン",
-                       "在庫コード", "試験区分", "測定値", "郵便物番号")),
-    ("date_like_nondob", ("契約日", "次回会議", "発行日", "着工", "施行", "納品期限", "有効期限", "株主総会", "説明会",
-                          "時点の残高", "受付開始", "解散")),
-    ("number_like_id", ("議案第", "法律第", "売上高", "座席番号", "予算額", "定例会", "統計表", "在庫数量", "延べ", "標高",
-                        "投票総数", "欠番")),
-    ("address_like_facility", ("センター", "区役所", "市役所", "県庁", "庁舎", "図書館", "病院", "大学", "会館", "公園",
-                               "ターミナル", "体育館", "博物館", "警察", "フォーラム", "倉庫", "時計台", "事務所", "駅")),
-    ("company_as_person", ("株式会社", "工業", "商事", "製作所", "製菓", "製パン", "建設", "重工", "物産", "証券", "建機",
-                           "ホールディングス", "工務店", "コンストラクション", "ハウス", "電器", "貴金属")),
-    ("honorific_boundary", ("各位", "皆様", "お客様", "神様", "王様", "奥様", "御中", "担当者様", "先方様", "殿様", "様式",
-                            "同様", "多様", "仕様", "模様", "御中元", "氏名欄", "氏族", "君主", "諸君", "先生方", "衛生",
-                            "部長会議", "課長職", "社長就任")),
-    ("place_as_person", ("県", "市内", "支店", "県産", "方面", "地方", "移転", "復興")),
-)
+KIND_PATTERNS = (
+    ("phone_like_id", "型番|製品コード|注文番号|整理番号|ISBN|追跡番号|図面番号|会議室|バージョン|在庫コード|試験区分|測定値|郵便物番号"),
+    ("date_like_nondob", "契約日|次回会議|発行日|着工|施行|納品期限|有効期限|株主総会|説明会|時点の残高|受付開始|解散"),
+    ("number_like_id", "議案第|法律第|売上高|座席番号|予算額|定例会|統計表|在庫数量|延べ|標高|投票総数|欠番"),
+    ("address_like_facility", "センター|区役所|市役所|県庁|庁舎|図書館|病院|大学|会館|公園|ターミナル|体育館|博物館|警察|フォーラム|倉庫|時計台|事務所|駅"),
+    ("company_as_person", "株式会社|工業|商事|製作所|製菓|製パン|建設|重工|物産|証券|建機|ホールディングス|工務店|コンストラクション|ハウス|電器|貴金属"),
+    ("honorific_boundary", "各位|皆様|お客様|神様|王様|奥様|御中|担当者様|先方様|殿様|様式|同様|多様|仕様|模様|御中元|氏名欄|氏族|君主|諸君|先生方|衛生|部長会議|課長職|社長就任"),
+    ("place_as_person", "県|市内|支店|県産|方面|地方|移転|復興"),
+)
 CONTEXT_OF_KIND = 24
-NOUN_SURNAMES = ("森", "林", "泉", "大和", "青木", "石田", "原", "谷", "島")
+NOUN_SURNAMES = (
+    "森", "林", "泉", "大和", "青木", "石田", "原", "谷", "島", "川", "本田", "東", "西", "南", "北", "上田", "小島", "松", "藤", "柳",
+    "岩", "辻", "堀", "関", "高", "新井", "花田",
+)
 
 # Labels of other detectors and the kinds they stand for.
 GINZA_LABELS = (
@@ -123,7 +119,7 @@ BLOCK_NUMBER = r"^[\s　]*((?:\d+[-\d]*)|(?:[一二三四五六七八九十]+丁
 
 # Eras with their first day.
 ERAS = (
-    ("明治", "1868-01-25"), ("大正", "1912-07-30"), ("昭和", "1926-12-25"), ("平成", "1989-01-08"), ("令和", "2019-05-01"),
+    ("明治", "1868-10-23"), ("大正", "1912-07-30"), ("昭和", "1926-12-25"), ("平成", "1989-01-08"), ("令和", "2019-05-01"),
 )
 
 # What makes a chunk of a corpus usable.

@@ -159,3 +159,11 @@ def calibration_errors(pairs: DataFrame, by: list[str], score: str = "score", la
         F.sum("n").alias("n"), (F.sum(F.col("n") * gap) / F.sum("n")).alias("ece"), F.max(gap).alias("mce"),
         (F.sum("sq") / F.sum("n")).alias("brier"), (F.sum("nll") / F.sum("n")).alias("nll"),
     )
+
+
+def gated_error(pairs: DataFrame, by: list[str], score: str = "score", label: str = "label", n: int = 15) -> DataFrame:
+    """(*by, ece, brier): the calibration error only where both labels and more than two scores, rounded to 4 places, occur, else null."""
+    rows = pairs.where(F.col(score).isNotNull() & F.col(label).isNotNull())
+    gate = rows.groupBy(*by).agg(((F.count_distinct(label) > 1) & (F.count_distinct(F.round(score, 4)) > 2)).alias("fit"))
+    errors = calibration_errors(pairs, by, score, label, n).join(gate, by)
+    return errors.select(*by, F.when(F.col("fit"), F.col("ece")).alias("ece"), "brier")

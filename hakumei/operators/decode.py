@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import spans as S
 from ..functions import text as X
 from ..functions import vocab
+from . import kernels
 
 #: O, B-NAME, I-NAME, ... in the order of the label dimension.
 BIO_LABELS = ("O", *(f"{p}-{label}" for label in vocab.LABELS for p in "BI"))
@@ -54,51 +57,16 @@ def scored_tokens(tokens: Column) -> Column:
     return F.transform(tokens, best)
 
 
-def decode_bio(scored: Column, text: Column, threshold: float = 0.05) -> Column:
-    """Spans of scored tokens in order; the score is the least probability of the span's tokens.
+def decode_bio(tokens: Column, text: Column, threshold: float = 0.05) -> Column:
+    """Spans of tokens in order (struct<start_pos, end_pos, probs>, a probability for each of BIO_LABELS); the score is the least of the span's tokens.
 
     A kind opens if its probability is above that of O, also without a beginning token; the
     same kind goes on unless the token begins; any other kind or O closes. Tokens without width or
-    with blanks only are skipped. Blanks at the borders are trimmed, spans below the threshold are dropped.
+    with blanks only are skipped. Blanks at the borders are trimmed, spans below the threshold are dropped. All
+    tokens of a batch are decoded together; null tokens give no spans.
     """
-    state = f"struct<label:string,start_pos:int,end_pos:int,score:double,out:array<{S.SPAN}>>"
-
-    def closed(acc: Column) -> Column:
-        raw = F.substring(text, acc["start_pos"] + 1, acc["end_pos"] - acc["start_pos"])
-        parts = X.let(raw, lambda r: F.struct(r.alias("raw"), F.regexp_replace(r, r"(?U)^\s+", "").alias("tail")))
-
-        def appended(p: Column) -> Column:
-            value = F.regexp_replace(p["tail"], r"(?U)\s+$", "")
-            start = acc["start_pos"] + F.length(p["raw"]) - F.length(p["tail"])
-            span = F.struct(
-                start.alias("start_pos"), (start + F.length(value)).alias("end_pos"), acc["label"].alias("label"),
-                value.alias("text"), acc["score"].alias("score"), F.lit("model").alias("source"),
-            ).cast(S.SPAN)
-            return F.when(value != "", F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
-
-        keep = acc["label"].isNotNull() & (acc["score"] >= threshold)
-        return F.when(keep, X.let(parts, appended)).otherwise(acc["out"])
-
-    def made(label: Column, start: Column, end: Column, score: Column, out: Column) -> Column:
-        return F.struct(
-            label.alias("label"), start.alias("start_pos"), end.alias("end_pos"), score.alias("score"), out.alias("out")
-        ).cast(state)
-
-    nothing = F.lit(None).cast("string")
-    zero = made(nothing, F.lit(0), F.lit(0), F.lit(1.0), S.no_spans())
-
-    def step(acc: Column, t: Column) -> Column:
-        blank = F.regexp_replace(F.substring(text, t["start_pos"] + 1, t["end_pos"] - t["start_pos"]), r"(?U)\s+", "") == ""
-        skip = (t["end_pos"] <= t["start_pos"]) | blank
-        goes_on = acc["label"].eqNullSafe(t["label"]) & ~t["begins"]
-        return (
-            F.when(skip, acc)
-            .when(t["p"] <= t["p_o"], made(nothing, F.lit(0), F.lit(0), F.lit(1.0), closed(acc)))
-            .when(goes_on, made(acc["label"], acc["start_pos"], t["end_pos"], F.least(acc["score"], t["p"]), acc["out"]))
-            .otherwise(made(t["label"], t["start_pos"], t["end_pos"], t["p"], closed(acc)))
-        )
-
-    return F.aggregate(scored, zero, step, closed)
+    run = lambda own, texts: kernels.token_spans(own, texts, vocab.LABELS, threshold)
+    return kernels.arrow_function(run, f"array<{S.SPAN}>")(tokens, text)
 
 
 def bio_tags(spans: Column, tokens: Column) -> Column:
@@ -138,21 +106,23 @@ def refined_borders(text: str, start: int, end: int) -> tuple[int, int]:
 def refined(spans: Column, text: Column) -> Column:
     """Names and addresses with refined borders, all other spans as they are. A fixpoint, so it runs in Python, batch by batch."""
 
-    def run(lists: pd.Series, texts: pd.Series) -> pd.Series:
-        out = []
-        for own, t in zip(lists, texts):
-            new = []
-            for s in own if own is not None else ():
-                s = dict(s)
-                if t is not None and s["label"] in vocab.REFINED_LABELS:
-                    a, b = refined_borders(t, s["start_pos"], min(s["end_pos"], len(t)))
-                    if (a, b) != (s["start_pos"], s["end_pos"]):
-                        s |= {"start_pos": a, "end_pos": b, "text": t[a:b]}
-                new.append(s)
-            out.append(new)
-        return pd.Series(out, dtype=object)
-
-    return F.pandas_udf(run, f"array<{S.SPAN}>")(S.plain(S.present(spans)), text)
+    def run(lists: pa.ListArray, texts: pa.Array) -> pa.ListArray:
+        row, flat = kernels.rows_of(lists)
+        fields = {c: flat.field(c) for c in ("start_pos", "end_pos", "label", "text", "score", "source")}
+        start, end, value = (fields[c].to_pylist() for c in ("start_pos", "end_pos", "text"))
+        body = texts.to_pylist()
+        asked = pc.fill_null(pc.is_in(fields["label"], pa.array(vocab.REFINED_LABELS)), False).to_numpy(zero_copy_only=False)
+        for i in np.flatnonzero(asked).tolist():
+            t = body[row[i]]
+            if t is not None:
+                borders = refined_borders(t, start[i], min(end[i], len(t)))
+                if borders != (start[i], end[i]):
+                    start[i], end[i] = borders
+                    value[i] = t[borders[0] : borders[1]]
+        fields |= {"start_pos": pa.array(start, pa.int32()), "end_pos": pa.array(end, pa.int32()), "text": pa.array(value, pa.string())}
+        return kernels.lists_of(row, len(lists), fields)
+
+    return kernels.arrow_function(run, f"array<{S.SPAN}>")(S.plain(S.present(spans)), text)
 
 
 def agreement(tokens: DataFrame, by: str, a: str, b: str) -> DataFrame:

@@ -3,48 +3,48 @@
 Matching runs inside a document's row on arrays; only the outcome is exploded and
 aggregated. A document without predictions of a run needs no row of that run: what it
 misses follows from the gold counts, so no runs x documents product is ever built.
+
+The sweep over thresholds reads documents and predictions once: `evaluation` keeps, for each
+run, label and score, by how much true and false positives change there. Rates at any threshold, the
+threshold itself and the whole curve are sums of these changes.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import spans as S
 from ..functions import vocab
-from .ranking import running_total
+from ..sources.tables import materialise
+from . import kernels
+from .ranking import running_totals
 
 MODES = ("exact", "partial")
 
 
-def matched(gold: Column, predicted: Column, mode: str = "partial") -> Column:
-    """array<struct<g int, p int>>: indices of spans matched one to one.
+def _bare(spans: Column) -> Column:
+    """What matching needs of spans."""
+    return F.transform(spans, lambda s: F.struct(*(s[f].alias(f) for f in ("start_pos", "end_pos", "label", "score"))))
 
-    exact: equal borders and label. partial: equal label and overlap; conflicts are settled by
-    IoU, score, gold start, predicted start, then by order in the arrays.
-    """
+
+def _checked(mode: str) -> str:
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode!r}")
+    return mode
 
-    def candidate(g: Column, gi: Column) -> Column:
-        def pair(p: Column, pi: Column) -> Column:
-            same = (g["start_pos"] == p["start_pos"]) & (g["end_pos"] == p["end_pos"])
-            fit = (g["label"] == p["label"]) & (same if mode == "exact" else S.overlaps(g, p))
-            return F.struct(
-                (F.lit(-1.0) if mode == "exact" else -S.iou(g, p)).alias("iou"), (-p["score"]).alias("score"),
-                g["start_pos"].alias("gs"), p["start_pos"].alias("ps"), gi.alias("g"), pi.alias("p"), fit.alias("fit"),
-            )
-
-        return F.filter(F.transform(predicted, pair), lambda c: c["fit"])
-
-    pairs = F.sort_array(F.flatten(F.transform(gold, candidate)))
-    kind = "array<struct<g:int,p:int>>"
 
-    def take(kept: Column, c: Column) -> Column:
-        used = F.exists(kept, lambda k: (k["g"] == c["g"]) | (k["p"] == c["p"]))
-        return F.when(used, kept).otherwise(F.concat(kept, F.array(F.struct(c["g"].alias("g"), c["p"].alias("p")))).cast(kind))
+def matched(gold: Column, predicted: Column, mode: str = "partial") -> Column:
+    """array<struct<g int, p int>>: indices of spans matched one to one, sorted by gold span.
 
-    return F.aggregate(pairs, F.array().cast(kind), take)
+    exact: equal borders and label. partial: equal label and overlap; conflicts are settled by
+    IoU, score, gold start, predicted start, then by order in the arrays. Only pairs that overlap are ever built.
+    """
+    _checked(mode)
+    run = lambda g, p: kernels.matches(g, p, mode)
+    return kernels.arrow_function(run, kernels.MATCH)(_bare(gold), _bare(predicted))
 
 
 def first_fit(gold: Column, predicted: Column) -> Column:
@@ -110,14 +110,11 @@ def detection_rates(docs: DataFrame, predicted: DataFrame, mode: str = "partial"
 
     micro sums all labels; macro averages those with gold spans. All documents count for every run.
     """
-    found = outcomes(docs, predicted, mode).where(F.col("outcome").isin("tp", "fp"))
-    counts = found.groupBy("run_name", "label").agg(
-        F.sum((F.col("outcome") == "tp").cast("long")).alias("tp"), F.sum((F.col("outcome") == "fp").cast("long")).alias("fp")
-    )
-    runs = predicted.agg(F.collect_set("run_name").alias("runs"))  # the names of the detectors
-    gold = docs.select(F.explode(S.present(F.col("spans"))).alias("s")).groupBy(F.col("s.label").alias("label")).count()
-    support = gold.select("label", F.col("count").alias("support")).join(F.broadcast(runs), F.lit(True))
-    support = support.select(F.explode("runs").alias("run_name"), "label", "support")
+    return rates(evaluation(docs.select("doc_id", "text", "spans", F.lit(False).alias("negative")), predicted, mode))
+
+
+def _rated(counts: DataFrame, support: DataFrame) -> DataFrame:
+    """Rates from (run_name, label, tp, fp) and (run_name, label, support), with 'micro' and 'macro'."""
     full = counts.join(support, ["run_name", "label"], "full").na.fill(0, ["tp", "fp", "support"])
     full = full.withColumn("fn", F.col("support") - F.col("tp"))
     sums = [F.sum(c).alias(c) for c in ("tp", "fp", "fn", "support")]
@@ -160,8 +157,13 @@ def fp_report(negatives: DataFrame, predicted: DataFrame) -> DataFrame:
         F.sum(F.size("spans")).cast("long").alias("n_fp"), F.sum((F.size("spans") > 0).cast("long")).alias("n_docs_with_fp")
     )
     runs = predicted.select("run_name").distinct().join(on, "run_name", "left").na.fill(0, ["n_fp", "n_docs_with_fp"])
+    return _fp_rated(runs, total)
+
+
+def _fp_rated(counts: DataFrame, total: DataFrame) -> DataFrame:
+    """The three rates from (run_name, n_fp, n_docs_with_fp) and one row (n_docs, n_chars)."""
     rate = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
-    return runs.join(F.broadcast(total), F.lit(True)).withColumns(  # one row
+    return counts.join(F.broadcast(total), F.lit(True)).withColumns(  # one row
         {
             "fp_per_doc": rate(F.col("n_fp"), F.col("n_docs")),
             "fp_per_1000_chars": rate(F.col("n_fp") * 1000.0, F.col("n_chars")),
@@ -186,85 +188,191 @@ def fp_by_negative_kind(negatives: DataFrame, predicted: DataFrame) -> DataFrame
 
 
 FPR_METRICS = ("per_doc", "doc_level", "per_1000_chars")
+FPR_COLUMN = {"per_doc": "fp_per_doc", "doc_level": "doc_level_fp_rate", "per_1000_chars": "fp_per_1000_chars"}
 
+#: Points of a curve; the chosen threshold is drawn beside them.
+CURVE_POINTS = 256
 
-def fixed_fpr_threshold(
-    predicted: DataFrame, positives: DataFrame, negatives: DataFrame, target: float = 0.05, metric: str = "per_doc"
-) -> DataFrame:
-    """(run_name, threshold, degenerate): the least threshold at which the false-positive rate is at most `target`.
+# Rows of an evaluation that aren't about a label.
+_RUN, _DOC, _POSITIVES, _NEGATIVES = "#run", "#doc", "#positives", "#negatives"
+
+
+@dataclass
+class Evaluation:
+    """changes: run_name, negative, label, score, tp, fp (how they change at the score); totals: label, n, n_chars."""
+
+    changes: DataFrame
+    totals: DataFrame
+
+
+def evaluation(docs: DataFrame, predicted: DataFrame, mode: str = "partial") -> Evaluation:
+    """What the sweep needs of documents and predictions, small and materialised.
 
-    Thresholds are the scores, rounded to 12 places, and one above the largest. With n units in the
-    denominator at most floor(target x n) events may reach the threshold, so it lies above the
-    event with the next rank. Ranks are taken by score steps, so no run's scores are sorted in one task.
+    docs: doc_id, text, spans, negative (boolean), each document once. Predictions for other documents are ignored, but their run is known.
+    """
+    _checked(mode)
+    gold = F.when(F.col("negative"), S.no_spans()).otherwise(S.by_position(S.present(F.col("spans"))))
+    sides = docs.select("doc_id", "negative", _bare(gold).alias("gold"))
+    rows = predicted.select("run_name", "doc_id", _bare(F.col("spans")).alias("found")).join(sides, "doc_id", "left")
+    found = F.when(F.col("negative").isNotNull(), F.col("found"))
+    run = lambda g, p: kernels.levels(g, p, mode)
+    rows = rows.withColumn("levels", kernels.arrow_function(run, kernels.LEVEL)(F.col("gold"), found))
+    entry = lambda label, score, fp: F.struct(
+        F.lit(label).alias("label"), score.alias("score"), F.lit(0).alias("tp"), F.lit(fp).alias("fp")
+    )
+    every = F.concat(
+        F.coalesce("levels", F.array().cast(kernels.LEVEL)), F.array(entry(_RUN, F.lit(None).cast("double"), 0)),
+        F.when(F.col("negative") & (F.size("found") > 0), F.array(entry(_DOC, F.array_max("found.score"), 1))).otherwise(F.array().cast(kernels.LEVEL)),
+    )
+    exploded = rows.select("run_name", "negative", F.explode(every).alias("c")).select("run_name", "negative", "c.*")
+    changes = exploded.groupBy("run_name", "negative", "label", "score").agg(*(F.sum(c).cast("long").alias(c) for c in ("tp", "fp")))
+    labels = F.when(F.col("negative"), F.array(F.lit(_NEGATIVES))).otherwise(
+        F.concat(F.array(F.lit(_POSITIVES)), F.transform(S.present(F.col("spans")), lambda s: s["label"]))
+    )
+    counted = docs.select(F.explode(labels).alias("label"), F.coalesce(F.length("text"), F.lit(0)).alias("chars"))
+    totals = counted.groupBy("label").agg(F.count("*").alias("n"), F.sum("chars").cast("long").alias("n_chars"))
+    return Evaluation(materialise(changes, "changes"), materialise(totals, "totals"))
+
+
+def _side(ev: Evaluation, negative: bool) -> DataFrame:
+    return ev.changes.where(F.col("negative") == negative).where(~F.col("label").startswith("#"))
+
+
+def _negatives(ev: Evaluation) -> DataFrame:
+    """One row: n_docs, n_chars of the negatives."""
+    own = ev.totals.where(F.col("label") == _NEGATIVES)
+    return own.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_docs"), F.coalesce(F.sum("n_chars"), F.lit(0)).alias("n_chars"))
+
+
+def _runs(ev: Evaluation) -> DataFrame:
+    return ev.changes.where(F.col("label") == _RUN).select("run_name").distinct()
+
+
+def _at_least(changes: DataFrame, thresholds: DataFrame | None) -> DataFrame:
+    if thresholds is None:
+        return changes
+    return changes.join(F.broadcast(thresholds.select("run_name", "threshold")), "run_name").where("score >= threshold")  # a row per detector
+
+
+def rates(ev: Evaluation, thresholds: DataFrame | None = None) -> DataFrame:
+    """detection_rates of the positives, with only the spans that reach the threshold of their run if there are thresholds."""
+    counts = _at_least(_side(ev, False), thresholds).groupBy("run_name", "label").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"))
+    support = ev.totals.where(~F.col("label").startswith("#")).select("label", F.col("n").alias("support"))
+    names = _runs(ev).agg(F.collect_set("run_name").alias("runs"))  # the names of the detectors
+    support = support.join(F.broadcast(names), F.lit(True)).select(F.explode("runs").alias("run_name"), "label", "support")
+    return _rated(counts, support)
+
+
+def fp_rates(ev: Evaluation, thresholds: DataFrame | None = None) -> DataFrame:
+    """fp_report of the negatives, with only the spans that reach the threshold of their run if there are thresholds."""
+    spans = _at_least(_side(ev, True), thresholds).groupBy("run_name").agg(F.sum("fp").alias("n_fp"))
+    documents = _at_least(ev.changes.where(F.col("label") == _DOC), thresholds).groupBy("run_name").agg(F.sum("fp").alias("n_docs_with_fp"))
+    counts = _runs(ev).join(spans, "run_name", "left").join(documents, "run_name", "left").na.fill(0, ["n_fp", "n_docs_with_fp"])
+    return _fp_rated(counts, _negatives(ev))
+
+
+def operating_points(ev: Evaluation, target: float = 0.05, metric: str = "per_doc") -> DataFrame:
+    """(run_name, threshold, rank, size, fpr, recall, meets) at every threshold of the grid, ranked from 0 upwards.
+
+    The grid of a run are its scores, rounded to 12 places, and one above the largest, at which nothing is left. Sums are taken by score steps,
+    so no run's scores are sorted in one task.
     """
     if metric not in FPR_METRICS:
         raise ValueError(f"unknown metric {metric!r}")
-    ids = positives.select("doc_id").unionByName(negatives.select("doc_id")).distinct()
-    scored = lambda df: df.select("run_name", "doc_id", F.explode("spans.score").alias("raw")).select(
-        "run_name", "doc_id", F.round("raw", 12).alias("score")
+    label = F.col("label")
+    counts = ~label.startswith("#")
+    event = F.col("negative") & ((label == _DOC) if metric == "doc_level" else counts)
+    scored = ev.changes.where(F.col("score").isNotNull() & F.col("negative").isNotNull()).groupBy("run_name", F.round("score", 12).alias("score")).agg(
+        F.sum(F.when(event, F.col("fp")).otherwise(0)).alias("events"), F.sum(F.when(counts & ~F.col("negative"), F.col("tp")).otherwise(0)).alias("tp")
     )
-    every = scored(predicted.join(ids, "doc_id", "left_semi"))
-    events = scored(predicted.join(negatives.select("doc_id"), "doc_id", "left_semi"))
-    if metric == "doc_level":
-        events = events.groupBy("run_name", "doc_id").agg(F.max("score").alias("score"))
-    size = F.count("*").cast("double") if metric != "per_1000_chars" else F.coalesce(F.sum(F.length("text")), F.lit(0)) / 1000.0
-    allowed = negatives.agg(F.floor(F.lit(target) * size + F.lit(1e-9)).alias("allowed"), F.count("*").alias("n_neg"))
-    steps = events.groupBy("run_name", "score").agg(F.count("*").alias("n"))
-    ranked = running_total(
-        steps, ["run_name"], [F.desc("score")], -F.floor(F.col("score") * 1024).cast("int"), F.col("n"), "above"
+    whole = scored.groupBy("run_name").agg(
+        (F.max("score") + 1e-6).alias("above"), F.sum("events").alias("all_events"), F.sum("tp").alias("all_tp"), (F.count("*") + 1).alias("size")
     )
-    over = ranked.join(F.broadcast(allowed), F.lit(True)).where(F.col("above") + F.col("n") > F.col("allowed"))  # one row
-    barred = over.groupBy("run_name").agg(F.max("score").alias("barred"))
-    grid = every.select("run_name", "score").distinct().join(barred, "run_name", "left")
-    best = grid.groupBy("run_name").agg(
-        F.min(F.when(F.col("barred").isNull() | (F.col("score") > F.col("barred")), F.col("score"))).alias("t"),
-        (F.max("score") + 1e-6).alias("above_all"),
+    below = running_totals(
+        scored, ["run_name"], [F.col("score")], F.floor(F.col("score") * 1024).cast("int"),
+        {"rank": F.lit(1), "events_below": F.col("events"), "tp_below": F.col("tp")},
+    )
+    joined = below.join(F.broadcast(whole), "run_name")  # a row per detector
+    inside = joined.select(
+        "run_name", F.col("score").alias("threshold"), "rank", "size",
+        (F.col("all_events") - F.col("events_below")).alias("events"), (F.col("all_tp") - F.col("tp_below")).alias("tp"),
+    )
+    zero = F.lit(0).cast("long")
+    top = whole.select("run_name", F.col("above").alias("threshold"), (F.col("size") - 1).alias("rank"), "size", zero.alias("events"), zero.alias("tp"))
+    support = ev.totals.where(~label.startswith("#")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("support"))
+    points = inside.unionByName(top).join(F.broadcast(_negatives(ev)), F.lit(True)).join(F.broadcast(support), F.lit(True))  # one row each
+    per = F.col("n_chars") / 1000.0 if metric == "per_1000_chars" else F.col("n_docs").cast("double")
+    # counts are compared, so that a rate of exactly the target meets it
+    return points.select(
+        "run_name", "threshold", "rank", "size", F.coalesce(F.try_divide("events", per), F.lit(0.0)).alias("fpr"),
+        F.coalesce(F.try_divide("tp", "support"), F.lit(0.0)).alias("recall"),
+        ((F.col("events") <= F.lit(max(target, 0.0)) * per + 1e-9) | (F.col("n_docs") == 0)).alias("meets"),
+    )
+
+
+def fixed_fpr_threshold(ev: Evaluation, points: DataFrame, target: float = 0.05) -> DataFrame:
+    """(run_name, threshold, degenerate): the least threshold at which the false-positive rate is at most `target`, or 0 if that is negative."""
+    best = points.groupBy("run_name").agg(
+        F.min(F.when(F.col("meets"), F.col("threshold"))).alias("t"), F.max("threshold").alias("above"), F.max("size").alias("size")
     )
-    runs = predicted.select("run_name").distinct().join(best, "run_name", "left").join(F.broadcast(allowed), F.lit(True))
+    runs = _runs(ev).join(best, "run_name", "left").join(F.broadcast(_negatives(ev)), F.lit(True))
     unreachable = F.lit(target) < 0
     reason = (
-        F.when(F.col("above_all").isNull(), "no_predictions").when(F.col("n_neg") == 0, "no_negatives")
-        .when(unreachable, "target_unreachable").when(F.col("t").isNull(), "only_empty_predictions_meet_target")
+        F.when(F.col("above").isNull(), "no_predictions").when(F.col("n_docs") == 0, "no_negatives")
+        .when(unreachable, "target_unreachable").when(F.col("t") == F.col("above"), "only_empty_predictions_meet_target")
     )
-    threshold = F.when(F.col("above_all").isNull(), F.lit(0.0)).when(unreachable, F.col("above_all")).otherwise(F.coalesce("t", "above_all"))
+    threshold = F.when(F.col("above").isNull(), F.lit(0.0)).otherwise(F.coalesce("t", "above"))
     return runs.select("run_name", threshold.alias("threshold"), reason.alias("degenerate"))
 
 
-def above(predicted: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """Predictions at or above the threshold of their run; documents left without any keep an empty array."""
-    joined = predicted.join(F.broadcast(thresholds.select("run_name", "threshold")), "run_name")  # one row per detector
-    return joined.withColumn("spans", F.filter("spans", lambda s: s["score"] >= F.col("threshold"))).drop("threshold")
+@dataclass
+class FixedRate:
+    """overall: a row per run; by_type: detection_rates at the threshold; curve: run_name, threshold, fpr, recall, chosen."""
 
+    overall: DataFrame
+    by_type: DataFrame
+    curve: DataFrame
 
-def recall_at_fixed_fpr(
-    predicted: DataFrame, positives: DataFrame, negatives: DataFrame, target: float = 0.05, metric: str = "per_doc", mode: str = "partial"
-) -> DataFrame:
-    """(run_name, threshold, fpr, recall, precision, f1, achieved, degenerate); matching is done again at the threshold."""
-    chosen = fixed_fpr_threshold(predicted, positives, negatives, target, metric)
-    kept = above(predicted, chosen)
-    rates = detection_rates(positives, kept, mode).where("label = 'micro'")
-    fpr = {"per_doc": "fp_per_doc", "doc_level": "doc_level_fp_rate", "per_1000_chars": "fp_per_1000_chars"}[metric]
-    report = fp_report(negatives, kept).select("run_name", F.col(fpr).alias("fpr"))
-    joined = chosen.join(rates, "run_name", "left").join(report, "run_name", "left")
+
+def at_fixed_fpr(ev: Evaluation, target: float = 0.05, metric: str = "per_doc", points: int = CURVE_POINTS) -> FixedRate:
+    """Recall with the false-positive rate held at `target`: over all, by label, and as a curve.
+
+    overall: run_name, threshold, fpr, recall, precision, f1, macro_recall, n_kept, achieved, degenerate. The curve has every threshold of
+    the grid, or `points` of them evenly by rank and the chosen one.
+    """
+    grid = materialise(operating_points(ev, target, metric), "operating-points")
+    chosen = fixed_fpr_threshold(ev, grid, target)
+    by_type = rates(ev, chosen)
+    micro = by_type.where("label = 'micro'").select("run_name", "recall", "precision", "f1", (F.col("tp") + F.col("fp")).alias("n_kept"))
+    macro = by_type.where("label = 'macro'").select("run_name", F.col("recall").alias("macro_recall"))
+    fpr = fp_rates(ev, chosen).select("run_name", F.col(FPR_COLUMN[metric]).alias("fpr"))
+    joined = chosen.join(micro, "run_name", "left").join(macro, "run_name", "left").join(fpr, "run_name", "left")
     zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
-    return joined.select(
-        "run_name", "threshold", zero("fpr"), zero("recall"), zero("precision"), zero("f1"),
-        (F.coalesce("fpr", F.lit(0.0)) <= target).alias("achieved"), "degenerate",
+    overall = joined.select(
+        "run_name", "threshold", zero("fpr"), zero("recall"), zero("precision"), zero("f1"), zero("macro_recall"),
+        F.coalesce("n_kept", F.lit(0)).alias("n_kept"), (F.coalesce("fpr", F.lit(0.0)) <= target).alias("achieved"), "degenerate",
     )
+    step = (F.col("size") - 1) / F.lit(float(max(points - 1, 1)))
+    near = F.floor(F.col("rank") / step)
+    even = (F.col("size") <= points) | F.exists(F.sequence(near - 1, near + 1), lambda k: F.bround(k * step) == F.col("rank"))
+    is_chosen = F.col("threshold") == F.col("_t")
+    curve = grid.join(F.broadcast(chosen.select("run_name", F.col("threshold").alias("_t"))), "run_name").where(even | is_chosen)
+    return FixedRate(overall, by_type, curve.select("run_name", "threshold", "fpr", "recall", is_chosen.alias("chosen")))
+
+
+def sides(positives: DataFrame, negatives: DataFrame) -> DataFrame:
+    """Documents of both sides as `evaluation` takes them."""
+    fields = ["doc_id", "text", "spans"]
+    return positives.select(*fields, F.lit(False).alias("negative")).unionByName(
+        negatives.select("doc_id", "text", S.no_spans().alias("spans"), F.lit(True).alias("negative"))
+    )
 
 
-def recall_curve(predicted: DataFrame, positives: DataFrame, negatives: DataFrame, thresholds: list[float], mode: str = "partial") -> DataFrame:
-    """(run_name, threshold, fp_per_doc, recall) at the given thresholds; each document is matched once per threshold."""
-    if len(thresholds) > 256:
-        raise ValueError("a curve has 256 points at most")
-    points = F.explode(F.array(*(F.lit(float(t)) for t in thresholds))).alias("threshold")
-    at = predicted.select("run_name", "doc_id", "spans", points)
-    name = F.concat_ws("\u0001", "run_name", F.col("threshold").cast("string"))
-    kept = at.select(name.alias("run_name"), "doc_id", F.filter("spans", lambda s: s["score"] >= F.col("threshold")).alias("spans"))
-    rates = detection_rates(positives, kept, mode).where("label = 'micro'").select("run_name", "recall")
-    both = rates.join(fp_report(negatives, kept).select("run_name", "fp_per_doc"), "run_name")
-    parts = F.split("run_name", "\u0001")
-    return both.select(parts[0].alias("run_name"), parts[1].cast("double").alias("threshold"), "fp_per_doc", "recall")
+def recall_at_fixed_fpr(
+    predicted: DataFrame, positives: DataFrame, negatives: DataFrame, target: float = 0.05, metric: str = "per_doc", mode: str = "partial"
+) -> DataFrame:
+    """The rows `overall` of at_fixed_fpr."""
+    return at_fixed_fpr(evaluation(sides(positives, negatives), predicted, mode), target, metric).overall
 
 
 def type_histogram(spans: DataFrame, column: str = "spans") -> DataFrame:

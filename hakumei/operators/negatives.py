@@ -36,7 +36,7 @@ def kind_of(surface: Column, text: Column, start: Column, end: Column, kinds: Co
     index: map<string, string> from surface to kind, if there is one; null fields never match.
     """
     around = X.context(text, start, end, vocab.CONTEXT_OF_KIND)
-    by_words = [F.when(around.rlike("|".join(words)), F.lit(kind)) for kind, words in vocab.KIND_WORDS]
+    by_words = [F.when(around.rlike(pattern), F.lit(kind)) for kind, pattern in vocab.KIND_PATTERNS]
     distinct = F.array_distinct(F.coalesce(kinds, F.array().cast("array<string>")))
     steps = [
         *([F.try_element_at(index, surface)] if index is not None else []),

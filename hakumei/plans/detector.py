@@ -45,7 +45,7 @@ class TokenProbabilities:
 
     def add_spans(self, df: DataFrame, text: str, out: str) -> DataFrame:
         wide = df.select(self.doc_id, F.col(text).alias("_t")).join(self.table, self.doc_id)
-        spans = decode.decode_bio(decode.scored_tokens(F.col("tokens")), F.col("_t"), self.least)
+        spans = decode.decode_bio(F.col("tokens"), F.col("_t"), self.least)
         one = wide.withColumn("_s", spans).groupBy(self.doc_id).agg(F.flatten(F.collect_list("_s")).alias("_s"), F.first("_t").alias("_t"))
         once = S.merged_windows(decode.refined(S.merged_windows(F.col("_s"), F.col("_t")), F.col("_t")), F.col("_t"))
         return df.join(one.select(self.doc_id, once.alias(out)), self.doc_id, "left")

@@ -41,8 +41,18 @@ def subset_name(col: Column) -> Column:
 
 
 def documents(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
-    """Annotated documents once each: doc_id, text, spans, subset and the further columns asked for."""
-    rows = table(spark, sf_dir, "annotated_docs").dropDuplicates(["doc_id"])
+    """Annotated documents once each, the row loaded last: doc_id, text, spans, subset and the further columns asked for.
+
+    Only the columns a query uses are moved for it.
+    """
+    fields = ("text", "spans", "subset", *more)
+    rows = table(spark, sf_dir, "annotated_docs").groupBy("doc_id").agg(*(F.max_by(c, "loaded_at").alias(c) for c in fields))
+    return rows.select("doc_id", "text", F.coalesce("spans", S.no_spans()).alias("spans"), subset_name(F.col("subset")).alias("subset"), *more)
+
+
+def deliveries(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """Annotated documents as often as they were delivered, without a shuffle: for what is done row by row."""
+    rows = table(spark, sf_dir, "annotated_docs")
     return rows.select("doc_id", "text", F.coalesce("spans", S.no_spans()).alias("spans"), subset_name(F.col("subset")).alias("subset"), *more)
 
 
@@ -54,6 +64,12 @@ def negatives(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     return documents(spark, sf_dir, *more).where("subset = 'negatives'")
 
 
+def evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positives and negatives in one table, read once: doc_id, text, spans, negative."""
+    docs = documents(spark, sf_dir).where(F.col("subset").isin("validation", "test", "ood", "negatives"))
+    return docs.select("doc_id", "text", "spans", (F.col("subset") == "negatives").alias("negative"))
+
+
 def predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(run_name, doc_id, spans)"""
     return match.spans_by_document(table(spark, sf_dir, "predictions"))

@@ -18,7 +18,9 @@ _OUTCOME = ("run_name", "doc_id", "outcome", "start_pos", "end_pos", "label", "s
 
 #: Knots of a fixed piecewise-linear calibrator, and a fixed temperature.
 KNOTS_X, KNOTS_Y, TEMPERATURE = [0.1, 0.4, 0.6, 0.9], [0.05, 0.3, 0.7, 0.95], 1.7
-THRESHOLDS = [i / 10 for i in range(11)]
+
+#: Points of the curve that is asked for.
+POINTS = 40
 
 
 def match_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,16 +74,25 @@ def reweight(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shaped(negatives.reweighted(table(spark, sf_dir, "kind_weights"), counts, 1.5))
 
 
+def _evaluation(spark: SparkSession, sf_dir: str) -> match.Evaluation:
+    return match.evaluation(V.evaluated(spark, sf_dir), predicted(spark, sf_dir))
+
+
 def _fixed(metric: str, target: float):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return shaped(match.recall_at_fixed_fpr(predicted(spark, sf_dir), positive_docs(spark, sf_dir), negative_docs(spark, sf_dir), target, metric))
+        return shaped(match.at_fixed_fpr(_evaluation(spark, sf_dir), target, metric).overall)
 
     query.__name__ = f"recall_at_fpr_{metric}"
     return query
 
 
+def recall_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates by label, micro and macro, at the threshold with 0.05 false positives a document."""
+    return shaped(match.at_fixed_fpr(_evaluation(spark, sf_dir)).by_type)
+
+
 def recall_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shaped(match.recall_curve(predicted(spark, sf_dir), positive_docs(spark, sf_dir), negative_docs(spark, sf_dir), THRESHOLDS))
+    return shaped(match.at_fixed_fpr(_evaluation(spark, sf_dir), points=POINTS).curve)
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,11 +149,21 @@ def type_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def score_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per run: rates, false positives, calibration."""
-    rates = detection_rates(spark, sf_dir).where("label = 'micro'").select("run_name", "precision", "recall", "f1")
-    fp = fp_report(spark, sf_dir).select("run_name", "fp_per_doc", "doc_level_fp_rate")
-    errors = calibration_errors(spark, sf_dir).select("run_name", "ece", "brier")
-    return rates.join(fp, "run_name", "left").join(errors, "run_name", "left")
+    """One row per run: rates, false positives and their kinds, recall at 0.05 false positives a document, calibration.
+
+    The calibration error is null unless both outcomes and more than two scores, rounded to 4 places, occur.
+    """
+    ev = _evaluation(spark, sf_dir)
+    micro = match.rates(ev).where("label = 'micro'").select("run_name", "precision", "recall", "f1")
+    fp = match.fp_rates(ev).select("run_name", "fp_per_doc", "fp_per_1000_chars", "doc_level_fp_rate")
+    fixed = match.at_fixed_fpr(ev).overall.select(
+        "run_name", "threshold", F.col("fpr").alias("fixed_fpr"), F.col("recall").alias("fixed_recall"), "degenerate"
+    )
+    kinds = fp_by_kind(spark, sf_dir).groupBy("run_name").agg(F.sort_array(F.collect_list(F.struct((-F.col("n_fp")).alias("n"), "kind"))).alias("k"))
+    listed = F.array_join(F.transform("k", lambda x: F.concat_ws(" ", x["kind"], (-x["n"]).cast("string"))), ", ")
+    errors = calibrate.gated_error(_pairs(spark, sf_dir), ["run_name"])
+    joined = micro.join(fp, "run_name").join(fixed, "run_name").join(kinds.select("run_name", listed.alias("fp_kinds")), "run_name", "left")
+    return shaped(joined.join(errors, "run_name", "left"))
 
 
 def dataset_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -236,7 +257,7 @@ _BASE = f"WITH {DOCS_SQL}, {POS_SQL}, {NEG_SQL}, {PRED_SQL}"
 _CTX = "substring(text, greatest(start_pos - 24, 0) + 1, end_pos + 24 - greatest(start_pos - 24, 0))"
 _SURF = "substring(text, start_pos + 1, end_pos - start_pos)"
 _KIND_SQL = (
-    "CASE " + " ".join(f"WHEN regexp_matches({_CTX}, '{'|'.join(words)}') THEN '{kind}'" for kind, words in vocab.KIND_WORDS)
+    "CASE " + " ".join(f"WHEN regexp_matches({_CTX}, '{pattern}') THEN '{kind}'" for kind, pattern in vocab.KIND_PATTERNS)
     + f" WHEN {_SURF} IN ({', '.join(repr(w) for w in vocab.NOUN_SURNAMES)}) THEN 'common_noun_surname'"
     + f" WHEN {_SURF} IN ({', '.join(repr(w) for w in vocab.PLACE_SURNAMES)}) THEN 'place_as_person'"
     + " WHEN len(list_distinct(coalesce(negative_kinds, []::VARCHAR[]))) = 1 THEN list_distinct(negative_kinds)[1] ELSE 'other' END"
@@ -245,20 +266,27 @@ _KINDS = f"""{_BASE}, f AS (SELECT p.run_name, coalesce(n.text, '') AS text, n.n
   k AS (SELECT run_name, {_KIND_SQL} AS kind FROM (SELECT run_name, text, negative_kinds, s.start_pos AS start_pos, s.end_pos AS end_pos FROM f))"""
 
 
-def _fixed_sql(metric: str, target: float) -> str:
-    col = {"per_doc": "fp_per_doc", "doc_level": "doc_level_fp_rate", "per_1000_chars": "fp_per_1000_chars"}[metric]
+def _threshold_sql(metric: str, target: float) -> str:
+    """Views up to thr: the threshold of each run by trying all of the grid; evl: the rate at every threshold of the grid."""
     size = "coalesce(sum(length(text)), 0) / 1000.0::DOUBLE" if metric == "per_1000_chars" else "count(*)::DOUBLE"
     event = "SELECT run_name, max(score) AS score FROM ev0 GROUP BY run_name, doc_id" if metric == "doc_level" else "SELECT run_name, score FROM ev0"
-    return f"""{_BASE}, allp AS (SELECT run_name, doc_id, unnest(list_transform(spans, lambda s: round(s.score, 12))) AS score FROM pred WHERE doc_id IN (SELECT doc_id FROM pos UNION ALL SELECT doc_id FROM neg)),
+    return f"""allp AS (SELECT run_name, doc_id, unnest(list_transform(spans, lambda s: round(s.score, 12))) AS score FROM pred WHERE doc_id IN (SELECT doc_id FROM pos UNION ALL SELECT doc_id FROM neg)),
       ev0 AS (SELECT run_name, doc_id, unnest(list_transform(spans, lambda s: round(s.score, 12))) AS score FROM pred WHERE doc_id IN (SELECT doc_id FROM neg)), ev AS ({event}),
-      den AS (SELECT {size} AS n, count(*) AS n_neg FROM neg), grid AS (SELECT DISTINCT run_name, score AS t FROM allp),
-      rate AS (SELECT g.run_name, g.t, (SELECT count(*) FROM ev WHERE ev.run_name = g.run_name AND ev.score >= g.t) AS n FROM grid g),
-      best AS (SELECT run_name, min(t) FILTER (n_neg = 0 OR rate.n <= {target}::DOUBLE * den.n + 1e-9::DOUBLE) AS t, max(t) + 1e-6::DOUBLE AS above_all, any_value(n_neg) AS n_neg FROM rate, den GROUP BY run_name),
-      thr AS (SELECT r.run_name, CASE WHEN above_all IS NULL THEN 0.0::DOUBLE ELSE coalesce(t, above_all) END AS threshold,
-        CASE WHEN above_all IS NULL THEN 'no_predictions' WHEN n_neg = 0 THEN 'no_negatives' WHEN t IS NULL THEN 'only_empty_predictions_meet_target' END AS degenerate FROM (SELECT DISTINCT run_name FROM pred) r LEFT JOIN best USING (run_name)),
-      cut AS (SELECT p.run_name, p.doc_id, list_filter(p.spans, lambda s: s.score >= t.threshold) AS spans FROM pred p JOIN thr t ON t.run_name = p.run_name), {_rates_sql("partial", "cut")}, {_report_sql("cut")}
-      SELECT thr.run_name, round(threshold, 9) AS threshold, round(coalesce({col}, 0), 9) AS fpr, round(coalesce(recall, 0), 9) AS recall, round(coalesce(precision, 0), 9) AS precision, round(coalesce(f1, 0), 9) AS f1,
-        coalesce({col}, 0) <= {target} AS achieved, degenerate FROM thr LEFT JOIN (SELECT * FROM rates WHERE label = 'micro') m ON m.run_name = thr.run_name LEFT JOIN rep ON rep.run_name = thr.run_name"""
+      den AS (SELECT {size} AS n, count(*) AS n_neg FROM neg), grid AS (SELECT DISTINCT run_name, score AS t FROM allp UNION SELECT run_name, max(score) + 1e-6::DOUBLE FROM allp GROUP BY 1),
+      evl AS (SELECT run_name, t, n_ev, n_ev / nullif(den.n, 0) AS fpr, n_neg = 0 OR n_ev <= {target}::DOUBLE * den.n + 1e-9::DOUBLE AS meets, n_neg FROM
+        (SELECT g.run_name, g.t, (SELECT count(*) FROM ev WHERE ev.run_name = g.run_name AND ev.score >= g.t) AS n_ev FROM grid g), den),
+      best AS (SELECT run_name, min(t) FILTER (meets) AS t, max(t) AS above, any_value(n_neg) AS n_neg FROM evl GROUP BY run_name),
+      thr AS (SELECT r.run_name, CASE WHEN above IS NULL THEN 0.0::DOUBLE ELSE t END AS threshold,
+        CASE WHEN above IS NULL THEN 'no_predictions' WHEN n_neg = 0 THEN 'no_negatives' WHEN t = above THEN 'only_empty_predictions_meet_target' END AS degenerate FROM (SELECT DISTINCT run_name FROM pred) r LEFT JOIN best USING (run_name)),
+      cut AS (SELECT p.run_name, p.doc_id, list_filter(p.spans, lambda s: s.score >= t.threshold) AS spans FROM pred p JOIN thr t ON t.run_name = p.run_name)"""
+
+
+def _fixed_sql(metric: str, target: float) -> str:
+    col = {"per_doc": "fp_per_doc", "doc_level": "doc_level_fp_rate", "per_1000_chars": "fp_per_1000_chars"}[metric]
+    return f"""{_BASE}, {_threshold_sql(metric, target)}, {_rates_sql("partial", "cut", x="c_")}, {_report_sql("cut")}
+      SELECT thr.run_name, round(threshold, 9) AS threshold, round(coalesce({col}, 0), 9) AS fpr, round(coalesce(m.recall, 0), 9) AS recall, round(coalesce(m.precision, 0), 9) AS precision, round(coalesce(m.f1, 0), 9) AS f1,
+        round(coalesce(q.recall, 0), 9) AS macro_recall, coalesce(m.tp + m.fp, 0)::BIGINT AS n_kept, coalesce({col}, 0) <= {target} AS achieved, degenerate
+      FROM thr LEFT JOIN (SELECT * FROM rates WHERE label = 'micro') m ON m.run_name = thr.run_name LEFT JOIN (SELECT * FROM rates WHERE label = 'macro') q ON q.run_name = thr.run_name LEFT JOIN rep ON rep.run_name = thr.run_name"""
 
 
 _EVAL = f"{_BASE}, ev AS (SELECT * FROM docs WHERE subset != 'train'), {_matched_sql('ev', 'partial')}, prs AS (SELECT run_name, s.score AS score, (outcome = 'tp')::INT AS label FROM o WHERE outcome IN ('tp', 'fp'))"
@@ -292,22 +320,33 @@ SQL = {
     "recall_at_fpr_per_doc": _fixed_sql("per_doc", 0.05),
     "recall_at_fpr_doc_level": _fixed_sql("doc_level", 0.05),
     "recall_at_fpr_per_1000_chars": _fixed_sql("per_1000_chars", 0.5),
-    "recall_curve": f"""{_BASE}, th AS (SELECT unnest([{", ".join(f"{t}::DOUBLE" for t in THRESHOLDS)}]) AS t), cut AS (SELECT run_name || chr(1) || t::VARCHAR AS run_name, doc_id, list_filter(spans, lambda s: s.score >= t) AS spans FROM pred, th),
-      {_rates_sql("partial", "cut")}, {_report_sql("cut")} SELECT split_part(rates.run_name, chr(1), 1) AS run_name, split_part(rates.run_name, chr(1), 2)::DOUBLE AS threshold, round(fp_per_doc, 9) AS fp_per_doc, round(recall, 9) AS recall FROM rates JOIN rep ON rep.run_name = rates.run_name WHERE label = 'micro'""",
+    "recall_by_type": f"""{_BASE}, {_threshold_sql("per_doc", 0.05)}, {_rates_sql("partial", "cut", x="c_")} {_RATES_OUT}""",
+    "recall_curve": f"""{_BASE}, {_threshold_sql("per_doc", 0.05)}, rk AS (SELECT *, row_number() OVER (PARTITION BY run_name ORDER BY t) - 1 AS r, count(*) OVER (PARTITION BY run_name) AS g FROM evl),
+      pt AS (SELECT run_name, unnest(range(0, {POINTS})) AS k FROM thr), want AS (SELECT DISTINCT pt.run_name, round_even(k * ((g - 1) / {POINTS - 1}.0::DOUBLE), 0)::BIGINT AS r FROM pt JOIN (SELECT DISTINCT run_name, g FROM rk) USING (run_name)),
+      sel AS (SELECT rk.*, thr.threshold = rk.t AS chosen FROM rk JOIN thr USING (run_name) WHERE g <= {POINTS} OR thr.threshold = rk.t OR (rk.run_name, r) IN (SELECT run_name, r FROM want)),
+      ct AS (SELECT p.run_name || chr(1) || s.r::VARCHAR AS run_name, p.doc_id, list_filter(p.spans, lambda x: x.score >= s.t) AS spans FROM pred p JOIN sel s ON s.run_name = p.run_name), {_rates_sql("partial", "ct", x="c_")}
+      SELECT sel.run_name, round(t, 9) AS threshold, round(fpr, 9) AS fpr, round(recall, 9) AS recall, chosen FROM sel JOIN rates ON rates.run_name = sel.run_name || chr(1) || sel.r::VARCHAR WHERE label = 'micro'""",
     "calibration_pairs": f"{_EVAL} SELECT run_name, label::BIGINT AS label, count(*) AS n, round(sum(score), 6) AS score_sum FROM prs GROUP BY 1, 2",
     "ece_bins": f"{_EVAL} SELECT run_name, least(floor({_CLIP} * 15), 14)::BIGINT AS bin, count(*) AS n, round(avg({_CLIP}), 9) AS confidence, round(avg(label), 9) AS accuracy FROM prs GROUP BY 1, 2",
     "calibration_errors": f"{_EVAL}, {_ERR} SELECT * FROM err",
     "temperature_transform": f"SELECT DISTINCT round(score, 9) AS score, round(1 / (1 + exp(-ln({_Q} / (1 - {_Q})) / {TEMPERATURE}::DOUBLE)), 9) AS calibrated FROM predictions",
     "isotonic_transform": f"SELECT DISTINCT round(score, 9) AS score, round({_KNOT}, 9) AS calibrated FROM (SELECT score, {_CLIP} AS s FROM predictions)",
     "type_histogram": f"WITH {DOCS_SQL} SELECT s.label AS label, count(*) AS n FROM (SELECT unnest(spans) AS s FROM docs) GROUP BY 1",
-    "score_axes": f"{_EVAL}, {_ERR}, {_report_sql()}, {_rates_sql('partial', x='r_')} "
-    "SELECT rates.run_name, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1, round(fp_per_doc, 9) AS fp_per_doc, round(doc_level_fp_rate, 9) AS doc_level_fp_rate, ece, brier FROM rates LEFT JOIN rep ON rep.run_name = rates.run_name LEFT JOIN err ON err.run_name = rates.run_name WHERE label = 'micro'",
+    "score_axes": f"""{_KINDS}, {_threshold_sql("per_doc", 0.05)}, {_rates_sql("partial", "cut", x="c_")}, fixed AS (SELECT rates.run_name, threshold, recall AS fixed_recall, degenerate FROM rates JOIN thr ON thr.run_name = rates.run_name WHERE label = 'micro'),
+      {_report_sql()}, {_report_sql("cut", "frep")}, {_rates_sql("partial", x="w_").replace(", cnt AS", ", w_cnt AS").replace("FROM cnt", "FROM w_cnt").replace("sup AS (", "w_sup AS (").replace("JOIN sup", "JOIN w_sup").replace("fll AS (", "w_fll AS (").replace("FROM fll", "FROM w_fll").replace(" u AS (", " w_u AS (").replace("FROM u)", "FROM w_u)").replace(" pr AS (", " w_pr AS (").replace("FROM pr)", "FROM w_pr)").replace(" rt AS (", " w_rt AS (").replace("FROM rt ", "FROM w_rt ").replace("rates AS (", "w_rates AS (")},
+      kk AS (SELECT run_name, string_agg(kind || ' ' || n::VARCHAR, ', ' ORDER BY n DESC, kind) AS fp_kinds FROM (SELECT run_name, kind, count(*) AS n FROM k GROUP BY 1, 2) GROUP BY 1),
+      evd AS (SELECT * FROM docs WHERE subset != 'train'), {_matched_sql("evd", "partial", x="e_")}, prs AS (SELECT run_name, s.score AS score, (outcome = 'tp')::INT AS label FROM e_o WHERE outcome IN ('tp', 'fp')), {_ERR},
+      gate AS (SELECT run_name FROM prs GROUP BY 1 HAVING count(DISTINCT label) > 1 AND count(DISTINCT round(score, 4)) > 2)
+      SELECT w.run_name, round(w.precision, 9) AS precision, round(w.recall, 9) AS recall, round(w.f1, 9) AS f1, round(rep.fp_per_doc, 9) AS fp_per_doc, round(rep.fp_per_1000_chars, 9) AS fp_per_1000_chars, round(rep.doc_level_fp_rate, 9) AS doc_level_fp_rate,
+        round(threshold, 9) AS threshold, round(frep.fp_per_doc, 9) AS fixed_fpr, round(fixed_recall, 9) AS fixed_recall, degenerate, fp_kinds, CASE WHEN gate.run_name IS NOT NULL THEN err.ece END AS ece, err.brier AS brier
+      FROM w_rates w LEFT JOIN rep ON rep.run_name = w.run_name LEFT JOIN frep ON frep.run_name = w.run_name LEFT JOIN fixed ON fixed.run_name = w.run_name LEFT JOIN kk ON kk.run_name = w.run_name
+        LEFT JOIN err ON err.run_name = w.run_name LEFT JOIN gate ON gate.run_name = w.run_name WHERE w.label = 'micro'""",
     "surface_index": f"{_BASE}, a AS (SELECT list_distinct(negative_kinds)[1] AS kind, text FROM neg WHERE len(list_distinct(negative_kinds)) = 1) SELECT surface, min(kind) AS kind FROM (SELECT kind, unnest({_SURFACE_SQL}) AS surface FROM a) GROUP BY 1",
 }
 
 QUERIES = (
     match_exact, match_partial, detection_rates, detection_rates_exact, span_scores, fp_report, fp_by_type, fp_by_negative_kind, fp_by_kind, reweight,
-    _fixed("per_doc", 0.05), _fixed("doc_level", 0.05), _fixed("per_1000_chars", 0.5), recall_curve, calibration_pairs, ece_bins, calibration_errors,
+    _fixed("per_doc", 0.05), _fixed("doc_level", 0.05), _fixed("per_1000_chars", 0.5), recall_by_type, recall_curve, calibration_pairs, ece_bins, calibration_errors,
     temperature_transform, isotonic_transform, temperature_fit, isotonic_fit, type_histogram, score_axes, dataset_verify, surface_index,
     negative_documents, inject_negatives, synth_documents, ood_documents,
 )

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import spans as S
 from ..functions import text as X
 from ..functions import vocab
-from ..operators import compare, decode, egress, mask
+from ..operators import compare, decode, egress, kernels, mask
 from ..sources.files import broken_spans
 from . import frames as V
 from .frames import DOCS_SQL, PRED_SQL, SPAN_SQL, documents, exploded, predicted, shaped, spread, table
@@ -120,26 +123,34 @@ def llm_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens of three characters with deterministic probabilities around the gold spans: (doc_id, text, tokens)."""
-    n = F.length("text")
-    docs = documents(spark, sf_dir).where(n > 0)
-
-    def token(i: Column) -> Column:
-        start, end = i * 3, F.least(i * 3 + 3, n)
-        hit = F.get(F.filter("spans", lambda s: (s["start_pos"] < end) & (start < s["end_pos"])), F.lit(0))
-        p = F.pmod(start * 7919 + n * 31, F.lit(1000)) / 1000.0
-        place = F.array_position(F.array(*map(F.lit, vocab.LABELS)), hit["label"])
-        column = X.let(place, lambda k: 2 * k - F.when(F.pmod(start, F.lit(7)) == 0, 1).otherwise(0))
-
-        def probs(c: Column) -> Column:
-            share = lambda i: F.when(i == 0, 1.0 - F.when(c["k"].isNotNull(), c["p"]).otherwise(0.0)).when(i == c["k"], c["p"]).otherwise(0.0)
-            return F.transform(F.sequence(F.lit(0), F.lit(20)), share)
-
-        made = X.let(F.struct(column.alias("k"), p.alias("p")), probs)
-        return F.struct(start.cast("int").alias("start_pos"), end.cast("int").alias("end_pos"), made.alias("probs"))
-
-    count = F.ceil(n / 3).cast("int")
-    return spread(docs).withColumn("tokens", F.transform(F.sequence(F.lit(0), count - 1), token))
+    """Tokens of three characters with deterministic probabilities around the gold spans: (doc_id, text, spans, tokens)."""
+    rows = spread(documents(spark, sf_dir).where(F.length("text") > 0))
+    kind = "array<struct<start_pos:int,end_pos:int,probs:array<double>>>"
+    return rows.withColumn("tokens", kernels.arrow_function(_invented_tokens, kind)("text", "spans"))
+
+
+def _invented_tokens(text: pa.Array, spans: pa.ListArray) -> pa.ListArray:
+    """Each token has probability p for the first span it overlaps and the rest for O; all for O where there is none."""
+    n = pc.utf8_length(text).to_numpy(zero_copy_only=False).astype(np.int64)
+    count = -(-n // 3)
+    row = np.repeat(np.arange(len(n)), count)
+    begin = np.cumsum(count) - count
+    start = 3 * (np.arange(len(row)) - begin[row])
+    code = np.zeros(len(row), np.int64)
+    own, flat = kernels.rows_of(spans)
+    found = zip(own.tolist(), *(flat.field(c).to_pylist() for c in ("start_pos", "end_pos", "label")))
+    for r, a, b, label in reversed(list(found)):
+        code[begin[r] + a // 3 : begin[r] + min(-(-b // 3), count[r])] = 1 + vocab.LABELS.index(label)
+    k = np.where(code > 0, 2 * code - (start % 7 == 0), 0)
+    p = (start * 7919 + n[row] * 31) % 1000 / 1000.0
+    probs = np.zeros((len(row), 21))
+    probs[:, 0] = np.where(k > 0, 1.0 - p, 1.0)
+    some = np.flatnonzero(k)
+    probs[some, k[some]] = p[some]
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1, dtype=np.int32) * 21), pa.array(probs.ravel()))
+    ends = np.minimum(start + 3, n[row])
+    fields = {"start_pos": pa.array(start.astype(np.int32)), "end_pos": pa.array(ends.astype(np.int32)), "probs": lists}
+    return kernels.lists_of(row, len(n), fields)
 
 
 def token_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,7 +161,7 @@ def token_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decode_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _tokens(spark, sf_dir).withColumn("out", decode.decode_bio(decode.scored_tokens(F.col("tokens")), F.col("text"), 0.05))
+    rows = _tokens(spark, sf_dir).withColumn("out", decode.decode_bio(F.col("tokens"), F.col("text"), 0.05))
     return shaped(exploded(rows, ["doc_id"], "out", ("start_pos", "end_pos", "label", "text", "score")))
 
 

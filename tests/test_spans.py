@@ -85,7 +85,7 @@ def tokens(spark, text, rows, threshold):
     """rows: (start, end, {tag: probability})"""
     full = [(a, b, [p.get(tag, 0.0) for tag in decode.BIO_LABELS]) for a, b, p in rows]
     df = spark.createDataFrame([(text, full)], "t string, k array<struct<start_pos int, end_pos int, probs array<double>>>")
-    return df.select(decode.decode_bio(decode.scored_tokens(F.col("k")), F.col("t"), threshold).alias("x")).first()["x"]
+    return df.select(decode.decode_bio(F.col("k"), F.col("t"), threshold).alias("x")).first()["x"]
 
 
 def test_decode(spark):
