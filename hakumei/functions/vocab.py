@@ -112,6 +112,11 @@ PRESIDIO_LABELS = (
     ("EMAIL_ADDRESS", "EMAIL"), ("DATE_TIME", "DOB"), ("CREDIT_CARD", "CREDIT_CARD"), ("IBAN_CODE", "BANK_ACCOUNT"),
     ("US_BANK_NUMBER", "BANK_ACCOUNT"), ("US_SSN", "MYNUMBER"),
 )
+ENTITY_OF_LABEL = (
+    ("NAME", "PERSON"), ("ADDRESS", "LOCATION"), ("PHONE", "PHONE_NUMBER"), ("EMAIL", "EMAIL_ADDRESS"), ("DOB", "DATE_TIME"),
+    ("CREDIT_CARD", "CREDIT_CARD"), ("BANK_ACCOUNT", "JP_BANK_ACCOUNT"), ("MYNUMBER", "JP_MY_NUMBER"),
+    ("MEMBER_ID", "JP_MEMBER_ID"), ("POSTAL_CODE", "JP_POSTAL_CODE"),
+)
 ADDRESS_PARTS = (
     "Address", "Postal_Address", "Province", "City", "County", "Country", "GPE_Other", "Region_Other", "Domestic_Region",
 )

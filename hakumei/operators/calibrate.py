@@ -9,6 +9,8 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import materialise, release
+
 EPS, LOW, HIGH = 1e-6, 1e-2, 1e2
 
 
@@ -16,6 +18,13 @@ def sigmoid(z: Column) -> Column:
     return F.when(z >= 0, 1 / (1 + F.exp(-z))).otherwise(F.exp(z) / (1 + F.exp(z)))
 
 
+def softmax(logits: Column) -> Column:
+    """Probabilities of an array of logits; the largest is taken off first, so none overflows. Null and empty stay as they are."""
+    shifted = F.transform(logits, lambda z: F.exp(z.cast("double") - F.array_max(logits).cast("double")))
+    total = F.aggregate(shifted, F.lit(0.0), lambda a, x: a + x)
+    return F.transform(shifted, lambda x: x / total)
+
+
 def clipped(score: Column) -> Column:
     return F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0))
 
@@ -80,39 +89,40 @@ class Calibrator:
         return cls(**{k: v for k, v in raw.items() if k in cls.__dataclass_fields__})
 
 
-def fit_temperature(pairs: DataFrame, score: str = "score", label: str = "label", rounds: int = 60) -> Calibrator:
-    """Golden-section search of the temperature with the least negative log-likelihood.
+def fit_temperature(pairs: DataFrame, score: str = "score", label: str = "label", rounds: int = 40) -> Calibrator:
+    """The temperature with the least negative log-likelihood, by Newton steps on its inverse.
 
-    Pairs are first counted by score rounded to 6 places and label, so every evaluation reads
+    The likelihood is convex in the inverse, so a root of its slope is kept between bounds and a step that leaves them
+    is a bisection instead. Pairs are first counted by score rounded to 6 places and label, so every evaluation, one job, reads
     at most two million rows however many pairs there are. Null scores or labels are left out; no pairs raise.
     """
     counted = pairs.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(
         F.round(clipped(F.col(score)), 6).alias("s"), F.col(label).cast("double").alias("y")
     ).agg(F.count("*").alias("n"))
-    counted = counted.persist()
+    counted = materialise(counted, "scores")
     total = counted.agg(F.sum("n")).first()[0]
     if not total:
-        counted.unpersist()
+        release(counted)
         raise ValueError("cannot fit a calibrator without scores")
+    z = logit(F.col("s"))
 
-    def losses(temperatures: list[float]) -> list[float]:
-        def loss(t: float) -> Column:
-            p = F.least(F.greatest(sigmoid(logit(F.col("s")) / t), F.lit(EPS)), F.lit(1 - EPS))
-            return F.sum(F.col("n") * -(F.col("y") * F.ln(p) + (1 - F.col("y")) * F.ln(1 - p)))
-
-        return list(counted.agg(*(loss(t).alias(f"l{i}") for i, t in enumerate(temperatures))).first())
+    def slopes(inverse: float) -> tuple[float, float]:
+        p = sigmoid(z * inverse)
+        return tuple(counted.agg(F.sum(F.col("n") * z * (p - F.col("y"))), F.sum(F.col("n") * z * z * p * (1 - p))).first())
 
-    # each round evaluates a grid of 15 temperatures in one job and keeps the bracket around the best
-    low, high = math.log(LOW), math.log(HIGH)
+    low, high = 1 / HIGH, 1 / LOW
+    at = 1.0
     for _ in range(rounds):
-        grid = [low + (high - low) * i / 14 for i in range(15)]
-        values = losses([math.exp(t) for t in grid])
-        k = min(range(15), key=values.__getitem__)
-        low, high = grid[max(0, k - 1)], grid[min(14, k + 1)]
-        if high - low < 1e-7:
+        slope, curve = slopes(at)
+        low, high = (low, at) if slope > 0 else (at, high)
+        step = at - slope / curve if curve > 0 else low
+        after = step if low < step < high else math.sqrt(low * high)
+        done = abs(after - at) < 1e-9 * at or high - low < 1e-9 * low
+        at = after
+        if done:
             break
-    counted.unpersist()
-    return Calibrator("temperature", temperature=math.exp((low + high) / 2), n_fit=int(total))
+    release(counted)
+    return Calibrator("temperature", temperature=1 / at, n_fit=int(total))
 
 
 def fit_isotonic(pairs: DataFrame, score: str = "score", label: str = "label", most: int = 512) -> Calibrator:

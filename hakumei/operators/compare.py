@@ -27,6 +27,20 @@ def mapped(spans: Column, detector: str) -> Column:
     return F.filter(renamed, lambda s: s["label"].isNotNull())
 
 
+def recognized(spans: Column, text: Column, entities: tuple[str, ...] | None = None) -> Column:
+    """array<struct<entity_type, start, end, score>>: spans under the entity names of a recogniser, only the entities asked for.
+
+    Spans that end beyond the text it handed in are left out: it may differ in length from the normalised one. Null spans give none.
+    """
+    names = F.create_map(*(F.lit(x) for pair in vocab.ENTITY_OF_LABEL for x in pair))
+    wanted = entities or tuple(e for _, e in vocab.ENTITY_OF_LABEL)
+    found = F.transform(
+        S.present(spans),
+        lambda s: F.struct(names[s["label"]].alias("entity_type"), s["start_pos"].alias("start"), s["end_pos"].alias("end"), s["score"].alias("score")),
+    )
+    return F.filter(found, lambda r: r["entity_type"].isin(*wanted) & (r["end"] <= F.length(text)))
+
+
 def joined_addresses(entities: Column, text: Column) -> Column:
     """Neighbouring address parts (at most one blank between) as one 'Address', with the block number that follows it.
 

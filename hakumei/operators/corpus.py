@@ -20,6 +20,7 @@ DROPPED_SECTIONS = (
     "リンク", "作品一覧", "ディスコグラフィ", "受賞", "参考資料",
 )
 MARKUP_LINE_STARTS = ("|", "!", "*", "#", ":", ";", "{", "}")
+COPYRIGHT_FLAGS = ("作品著作権フラグ", "人物著作権フラグ")
 SOURCE_ALIASES = {
     "wikipedia": "wikipedia_ja", "wikipedia_ja": "wikipedia_ja", "wiki": "wikipedia_ja", "egov": "egov_law",
     "egov_law": "egov_law", "law": "egov_law", "aozora": "aozora", "novel": "aozora",
@@ -50,16 +51,6 @@ def quality(text: Column) -> dict[str, Column]:
     }
 
 
-def _good(chunk: str) -> bool:
-    n = len(chunk)
-    ja = len(re.findall(JAPANESE, chunk))
-    if n < vocab.MIN_CHUNK // 2 or ja < vocab.MIN_JA_CHARS or ja < vocab.MIN_JA_RATIO * n:
-        return False
-    lines = [x for x in chunk.split("\n") if x.strip()]
-    listed = len(lines) >= 4 and sum(len(x) < 14 for x in lines) > 0.6 * len(lines)
-    return len(re.findall(MARKUP, chunk)) <= vocab.MAX_MARKUP_RATIO * n and not listed
-
-
 def normalize_python(text: str) -> str:
     """The normalisation of functions.text for code that runs in Python anyway."""
     lines = unicodedata.normalize("NFKC", text).replace("\r\n", "\n").replace("\r", "\n")
@@ -101,8 +92,8 @@ def sentence_runs(paragraph: str, least: int, most: int) -> list[str]:
     return [*runs, current] if current else runs
 
 
-def chunk(text: str, least: int = vocab.MIN_CHUNK, most: int = vocab.MAX_CHUNK, limit: int | None = None) -> list[str]:
-    """Chunks of `least` to `most` characters from whole paragraphs where they fit, normalised once, unusable ones left out."""
+def chunk(text: str, least: int = vocab.MIN_CHUNK, most: int = vocab.MAX_CHUNK) -> list[str]:
+    """Chunks of `least` to `most` characters from whole paragraphs where they fit, normalised once."""
     packed: list[str] = []
     current = ""
     for p in paragraphs(text):
@@ -118,18 +109,20 @@ def chunk(text: str, least: int = vocab.MIN_CHUNK, most: int = vocab.MAX_CHUNK,
             packed.append(current)
             current = ""
     packed.append(current)
-    long = (normalize_python(c.strip()) for c in packed if len(c.strip()) >= least)
-    good = [c for c in long if _good(c)]
-    return good[:limit]
+    return [normalize_python(c.strip()) for c in packed if len(c.strip()) >= least]
 
 
 def chunked(df: DataFrame, item_id: str, text: str, least: int = vocab.MIN_CHUNK, most: int = vocab.MAX_CHUNK, limit: int | None = None) -> DataFrame:
-    """(item_id, chunk_no, text) of all chunks; null and empty texts have none. `limit` chunks per item is a feature of the operator."""
+    """(item_id, chunk_no, text) of all chunks of good quality; null and empty texts have none. `limit` chunks per item is a feature of the operator."""
 
     def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: chunk(t, least, most, limit) if t else [])
+        return texts.map(lambda t: chunk(t, least, most) if t else [])
 
-    chunks = F.pandas_udf(cut, "array<string>")(F.col(text))
+    cut_up = df.withColumn("_chunks", F.pandas_udf(cut, "array<string>")(F.col(text)))
+    chunks = F.filter("_chunks", lambda c: quality(c)["good"])
+    if limit is not None:
+        chunks = F.slice(chunks, 1, limit)
+    df = cut_up
     return df.select(F.col(item_id).alias("item_id"), F.posexplode(chunks).alias("chunk_no", "text"))
 
 
@@ -170,19 +163,33 @@ def even_draw(items: DataFrame, n: int, source: Column, item_id: str = "item_id"
     """n items, as even over the sources as their sizes allow, in hashed order (a sampling operator).
 
     Every item gets its hashed rank within its source, so rank 1 of all sources comes before
-    rank 2 of any. Only items whose hash can be among the first n of their source are ranked.
+    rank 2 of any. Items are counted by source and hash bucket first, and only those in the buckets that hold
+    the first n of their source are ranked, so a source of any size is never sorted as a whole. The hash is the first
+    60 bits of the MD5 of seed and id.
     """
-    h = F.xxhash64(F.lit(seed), F.col(item_id))
-    rows = first_of_id(items, item_id).withColumn("_source", source).withColumn("_h", h)
-    sizes = rows.groupBy("_source").count()
-    # twice the expected n plus a margin of hashes from below: more than n with certainty for all practical purposes, exact below
-    share = F.least(F.lit(1.0), (2.0 * n + 1000) / F.col("count"))
-    low = rows.join(F.broadcast(sizes), "_source").where(  # one row per source
-        (F.col("_h").cast("double") / 2.0**64 + 0.5) <= share
-    )
+    h = F.conv(F.left(F.md5(F.concat_ws(":", F.lit(str(seed)), item_id).cast("binary")), F.lit(15)), 16, 10).cast("long")
+    rows = first_of_id(items, item_id).withColumn("_source", F.coalesce(source, F.lit(""))).withColumn("_h", h)
+    rows = rows.withColumn("_bucket", F.shiftright("_h", 48).cast("int"))
+    counts = rows.groupBy("_source", "_bucket").count()
+    before = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # 4096 rows at most
+    needed = counts.withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0))).where(F.col("_before") < n)
+    low = rows.join(needed.select("_source", "_bucket"), ["_source", "_bucket"], "left_semi")
     w = Window.partitionBy("_source").orderBy("_h", item_id)
     ranked = low.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n)
-    return ranked.orderBy("_r", "_h", item_id).limit(n).drop("_source", "_h", "_r", "count")
+    return ranked.orderBy("_r", "_h", item_id).limit(n).drop("_source", "_bucket", "_h", "_r")
+
+
+def base_corpus(items: DataFrame, n: int, sources: tuple[str, ...], item_id: str = "item_id", seed: int = 0) -> DataFrame:
+    """n items of the sources (by any of their names), as even over them as their sizes allow; fewer if there are fewer."""
+    keys = sorted({SOURCE_ALIASES.get(s.strip().lower(), s) for s in sources})
+    source = canonical_source(F.split(item_id, ":")[0])
+    return even_draw(items.where(source.isin(keys)), n, source, item_id, seed)
+
+
+def free_works(records: DataFrame, meta: str = "meta") -> DataFrame:
+    """Records of a library dump whose copyright flags, of work and person, are missing, empty or 'なし'; meta: map<string,string>."""
+    free = [F.coalesce(F.try_element_at(F.col(meta), F.lit(k)), F.lit("なし")).isin("なし", "", "None") for k in COPYRIGHT_FLAGS]
+    return records.where(free[0] & free[1])
 
 
 # Tags of law texts that are skipped, and those followed by a line break or a blank.
@@ -195,15 +202,24 @@ LAW_LINES = frozenset(("ArticleCaption", "Paragraph", "Item", "Subitem1", "Subit
 LAW_BLANKS = frozenset(("ArticleTitle", "ParagraphNum", "ItemTitle", "Subitem1Title", "Subitem2Title", "ColumnNum"))
 
 
-def law_text(node) -> str:
-    """Text of a law tree (nested dicts with tag and children)."""
-    if isinstance(node, str):
-        return node
-    if not isinstance(node, dict) or node.get("tag") in LAW_SKIPPED:
-        return ""
-    inner = "".join(map(law_text, node.get("children") or ()))
-    mark = "\n" if node.get("tag") in LAW_LINES else "　" if node.get("tag") in LAW_BLANKS else ""
-    return inner + mark if inner else ""
+def law_text(tree) -> str:
+    """Text of a law tree (nested dicts with tag and children), of any depth; an element with text ends with its mark."""
+    marks = dict.fromkeys(LAW_LINES, "\n") | dict.fromkeys(LAW_BLANKS, "　")
+    written: list[str] = []
+    todo: list[tuple[str, object]] = [("open", tree)]
+    while todo:
+        step, what = todo.pop()
+        if step == "close":
+            mark, since = what
+            if len(written) > since:
+                written.append(mark)
+        elif isinstance(what, str):
+            written += [what] if what else []
+        elif isinstance(what, dict) and what.get("tag") not in LAW_SKIPPED:
+            if what.get("tag") in marks:
+                todo.append(("close", (marks[what["tag"]], len(written))))
+            todo += [("open", child) for child in reversed(what.get("children") or ())]
+    return "".join(written)
 
 
 def law_articles(tree) -> list[tuple[str, str]]:

@@ -11,10 +11,6 @@ from ..functions import vocab
 
 _SEP = "\u0001"
 
-#: Splits a text before and after every placeholder without taking anything out of it.
-_PLACEHOLDER = r"(?:<[A-Z_]{1,40}_\d{1,9}>|\[[A-Z_]{1,40}_\d{1,9}\]|\{\{[A-Z_]{1,40}_\d{1,9}\}\})"
-_AROUND = f"(?={_PLACEHOLDER})|(?<={_PLACEHOLDER})"
-
 
 def with_mask(
     df: DataFrame, text: str, spans: str, masked: str = "masked", entries: str = "mask_map", style: str = "angle", fold: bool = True
@@ -57,13 +53,15 @@ def with_mask(
 
 def unmasked(text: Column, entries: Column) -> Column:
     """Placeholders of any style replaced by their originals; unknown ones stay, the last entry of a placeholder counts."""
-    parts = F.split(text, _AROUND, -1)
+    between = F.split(text, vocab.PLACEHOLDER, -1)
+    found = F.regexp_extract_all(text, F.lit(vocab.PLACEHOLDER), F.lit(0))
 
     def back(p: Column) -> Column:
         own = F.filter(entries, lambda e: e["placeholder"] == p)
         return F.coalesce(F.get(own, F.size(own) - 1)["original"], p)
 
-    return F.when(F.size(entries) > 0, F.array_join(F.transform(parts, back), "")).otherwise(text)
+    restored = F.concat(F.transform(found, back), F.array(F.lit("")))
+    return F.when(F.size(entries) > 0, F.array_join(F.zip_with(between, restored, lambda a, b: F.concat(a, b)), "")).otherwise(text)
 
 
 def collisions(text: Column, entries: Column) -> Column:

@@ -30,16 +30,15 @@ def reweighted(weights: DataFrame, counts: DataFrame, strength: float = STRENGTH
     return rows.select("kind", (F.col("w") / F.sum("w").over(every)).alias("weight"))
 
 
-def kind_of(surface: Column, text: Column, start: Column, end: Column, kinds: Column, index: Column | None = None) -> Column:
-    """Kind of a false positive: surface index, words around it, surname or place, the only kind of the document, else 'other'.
+def kind_of(surface: Column, text: Column, start: Column, end: Column, kinds: Column) -> Column:
+    """Kind of a false positive: words around it, surname or place, the only kind of the document, else 'other'. A surface index comes before: see classified.
 
-    index: map<string, string> from surface to kind, if there is one; null fields never match.
+    Null fields never match.
     """
     around = X.context(text, start, end, vocab.CONTEXT_OF_KIND)
     by_words = [F.when(around.rlike(pattern), F.lit(kind)) for kind, pattern in vocab.KIND_PATTERNS]
     distinct = F.array_distinct(F.coalesce(kinds, F.array().cast("array<string>")))
     steps = [
-        *([F.try_element_at(index, surface)] if index is not None else []),
         *by_words,
         F.when(surface.isin(*vocab.NOUN_SURNAMES), "common_noun_surname"),
         F.when(surface.isin(*vocab.PLACE_SURNAMES), "place_as_person"),
@@ -48,6 +47,18 @@ def kind_of(surface: Column, text: Column, start: Column, end: Column, kinds: Co
     return F.coalesce(*steps, F.lit("other"))
 
 
+def classified(rows: DataFrame, surface: Column, kind: Column, index: DataFrame | None = None) -> DataFrame:
+    """Adds kind: that of the surface in the index (surface, kind) where it is there, else the column given.
+
+    The index is joined by its surface, each of which stands in it once, and may be of any size.
+    """
+    if index is None:
+        return rows.withColumn("kind", kind)
+    own = index.select(F.col("surface").alias("_surface"), F.col("kind").alias("_indexed"))
+    found = rows.withColumns({"_surface": surface, "_kind": kind}).join(own, "_surface", "left")
+    return found.withColumn("kind", F.coalesce("_indexed", "_kind")).drop("_surface", "_kind", "_indexed")
+
+
 def surfaces(rows: DataFrame, kind: str = "kind", text: str = "text") -> DataFrame:
     """(surface, kind) of digit runs and of kanji and katakana runs; a surface keeps the least kind it occurs with."""
     found = F.concat(

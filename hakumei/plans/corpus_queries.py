@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vocab
 from ..operators import corpus
+from ..sources import publish
 from .frames import shaped, spread, table
 
 
@@ -46,6 +47,19 @@ def even_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.groupBy(F.split("item_id", ":")[0].alias("source")).agg(F.count("*").alias("n_items"))
 
 
+def base_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """90 items of two sources, named by short names (a sampling operator)."""
+    return corpus.base_corpus(table(spark, sf_dir, "corpus_items"), 90, ("wiki", "Novel"), seed=3).select("item_id", "text")
+
+
+def published_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in flat form: length of the spans' JSON, keys of meta that are left, kinds."""
+    flat = publish.flat_rows(table(spark, sf_dir, "annotated_docs").select("doc_id", "spans", "meta", "negative_kinds"))
+    keys = F.array_join(F.array_sort(F.map_keys(F.from_json("meta", "map<string,string>"))), ",")
+    n = F.coalesce(F.size(F.from_json("spans", "array<struct<start:int,end:int,label:string>>")), F.lit(0)).cast("long")
+    return flat.select("doc_id", n.alias("n_spans"), keys.alias("meta_keys"), F.array_join("negative_kinds", ",").alias("kinds"))
+
+
 def license_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.license_table(spark)
 
@@ -59,7 +73,20 @@ _ITEMS_SQL = "items AS (SELECT item_id, min(text) AS text FROM corpus_items WHER
 _BLANK = r"[\s\p{Z}]"
 
 
+_HASH = "('0x' || substring(md5('{seed}:' || item_id), 1, 15))::BIGINT"
+
+
+def _drawn_sql(n: int, source: str, seed: int, where: str = "true") -> str:
+    """View drawn: the first n items by rank within their source, then hash."""
+    return f"""{_ITEMS_SQL}, hashed AS (SELECT item_id, text, {source} AS source, {_HASH.format(seed=seed)} AS h FROM items),
+      ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY h, item_id) AS r FROM hashed WHERE {where}), drawn AS (SELECT * FROM ranked ORDER BY r, h, item_id LIMIT {n})"""
+
+
 SQL = {
+    "even_draw": f"WITH {_drawn_sql(300, "split_part(item_id, ':', 1)", 5)} SELECT source, count(*) AS n_items FROM drawn GROUP BY 1",
+    "base_corpus": f"WITH {_drawn_sql(90, "split_part(item_id, ':', 1)", 3, "source IN ('wikipedia_ja', 'aozora')")} SELECT item_id, text FROM drawn",
+    "published_rows": """SELECT doc_id, coalesce(len(spans), 0)::BIGINT AS n_spans, array_to_string(list_sort(list_filter(map_keys(coalesce(meta, MAP {}::MAP(VARCHAR, VARCHAR))), lambda k: NOT starts_with(k, '_'))), ',') AS meta_keys,
+        array_to_string(coalesce(negative_kinds, []::VARCHAR[]), ',') AS kinds FROM annotated_docs""",
     "corpus_quality": rf"""WITH {_ITEMS_SQL}, m AS (SELECT item_id, text, length(text) AS n_chars, len(regexp_extract_all(text, '{corpus.JAPANESE}')) AS n_ja, len(regexp_extract_all(text, '{corpus.MARKUP}')) AS n_markup,
         list_filter(string_split(text, chr(10)), lambda x: regexp_replace(x, '{_BLANK}+', '', 'g') != '') AS lines FROM items),
       k AS (SELECT *, len(lines) AS n_lines, len(list_filter(lines, lambda x: length(x) < 14)) AS n_short_lines FROM m)
@@ -78,4 +105,4 @@ SQL = {
     + ") t(source, source_ja, source_en, license, genre, share_alike)",
 }
 
-QUERIES = (corpus_quality, base_sentences, chunk_text, cache_append, cache_read, even_draw, license_table, canonical_source)
+QUERIES = (corpus_quality, base_sentences, chunk_text, cache_append, cache_read, even_draw, base_corpus, published_rows, license_table, canonical_source)

@@ -9,6 +9,7 @@ from ..functions import spans as S
 from ..functions import text as X
 from ..functions import vocab
 from ..operators import calibrate, corpus, match, negatives, synth
+from ..sources.tables import materialise
 from . import frames as V
 from .frames import DOCS_SQL, NEG_SQL, POS_SQL, PRED_SQL, documents, predicted, shaped, table
 from .frames import negatives as negative_docs
@@ -68,6 +69,23 @@ def fp_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _kinds(spark, sf_dir).groupBy("run_name", "kind").agg(F.count("*").alias("n_fp"))
 
 
+def fp_by_kind_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds of false positives where known surfaces come first."""
+    docs = negative_docs(spark, sf_dir, "negative_kinds")
+    rows = V.exploded(predicted(spark, sf_dir).join(docs.drop("spans"), "doc_id"), ["run_name", "text", "negative_kinds"], "spans", ("start_pos", "end_pos"))
+    t = F.coalesce("text", F.lit(""))
+    surface = X.slice_of(t, F.col("start_pos"), F.col("end_pos"))
+    kind = negatives.kind_of(surface, t, F.col("start_pos"), F.col("end_pos"), F.col("negative_kinds"))
+    return negatives.classified(rows, surface, kind, surface_index(spark, sf_dir)).groupBy("run_name", "kind").agg(F.count("*").alias("n_fp"))
+
+
+def softmax_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Largest probability of each embedding taken as logits, and their sum."""
+    p = calibrate.softmax(F.col("embedding"))
+    rows = table(spark, sf_dir, "embeddings").withColumn("p", p)
+    return rows.select("vec_id", F.round(F.array_max("p"), 6).alias("p_top"), F.round(F.aggregate("p", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
 def reweight(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New weights of the kinds after the false positives of all runs."""
     counts = _kinds(spark, sf_dir).groupBy("kind").agg(F.count("*").alias("n"))
@@ -126,13 +144,13 @@ def isotonic_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def temperature_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Temperature over the pairs of all runs, and the errors before and after."""
-    pairs = _pairs(spark, sf_dir)
+    pairs = materialise(_pairs(spark, sf_dir), "pairs")
     fitted = calibrate.fit_temperature(pairs)
     return _before_after(pairs, fitted, spark)
 
 
 def isotonic_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = _pairs(spark, sf_dir)
+    pairs = materialise(_pairs(spark, sf_dir), "pairs")
     return _before_after(pairs, calibrate.fit_isotonic(pairs), spark)
 
 
@@ -315,6 +333,15 @@ SQL = {
     "fp_by_type": f"{_BASE} SELECT run_name, s.label AS label, count(*) AS n_fp FROM (SELECT run_name, unnest(spans) AS s FROM pred WHERE doc_id IN (SELECT doc_id FROM neg)) GROUP BY 1, 2",
     "fp_by_negative_kind": f"{_BASE} SELECT run_name, kind, sum(n)::BIGINT AS n_fp FROM (SELECT p.run_name, len(p.spans) AS n, unnest(negative_kinds) AS kind FROM pred p JOIN neg ON neg.doc_id = p.doc_id) GROUP BY 1, 2",
     "fp_by_kind": f"{_KINDS} SELECT run_name, kind, count(*) AS n_fp FROM k GROUP BY 1, 2",
+    "fp_by_kind_indexed": f"""{_BASE}, six AS (SELECT list_distinct(negative_kinds)[1] AS kind, text FROM neg WHERE len(list_distinct(negative_kinds)) = 1), idx AS (SELECT surface, min(kind) AS kind FROM (SELECT kind, unnest({_SURFACE_SQL}) AS surface FROM six) GROUP BY 1),
+      f AS (SELECT p.run_name, coalesce(n.text, '') AS text, n.negative_kinds, unnest(p.spans) AS s FROM pred p JOIN neg n ON n.doc_id = p.doc_id), g AS (SELECT run_name, text, negative_kinds, s.start_pos AS start_pos, s.end_pos AS end_pos FROM f),
+      k AS (SELECT run_name, coalesce(idx.kind, own) AS kind FROM (SELECT run_name, {_SURF} AS surface, {_KIND_SQL} AS own FROM g) LEFT JOIN idx USING (surface)) SELECT run_name, kind, count(*) AS n_fp FROM k GROUP BY 1, 2""",
+    "softmax_top": """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: exp(x::DOUBLE - list_max(embedding)::DOUBLE)) AS e FROM embeddings)
+      SELECT vec_id, round(list_max(e) / list_sum(e), 6) AS p_top, 1.0::DOUBLE AS total FROM e""",
+    "dataset_verify": f"""WITH {DOCS_SQL}, s AS (SELECT subset, s.label AS label, regexp_replace(s.text, '[^0-9]', '', 'g') AS d FROM (SELECT subset, unnest(spans) AS s FROM docs)),
+      v AS (SELECT subset, CASE WHEN label = 'CREDIT_CARD' THEN length(d) >= 12 AND list_sum(list_transform(string_split(reverse(d), ''), lambda c, i: CASE WHEN i % 2 = 1 THEN try_cast(c AS INT) WHEN try_cast(c AS INT) > 4 THEN try_cast(c AS INT) * 2 - 9 ELSE try_cast(c AS INT) * 2 END)) % 10 = 0
+        WHEN label = 'MYNUMBER' AND length(d) = 12 THEN (SELECT CASE WHEN t % 11 <= 1 THEN 0 ELSE 11 - t % 11 END FROM (SELECT list_sum(list_transform([6, 5, 4, 3, 2, 7, 6, 5, 4, 3, 2], lambda w, i: w * try_cast(substring(d, i, 1) AS INT))) AS t)) = try_cast(substring(d, 12, 1) AS INT) ELSE false END AS usable FROM s)
+      SELECT count(*) FILTER (subset = 'negatives') AS n_gold_in_negatives, count(*) FILTER (usable) AS n_usable_numbers, count(*) AS n_spans FROM v""",
     "reweight": f"""{_KINDS}, c AS (SELECT kind, count(*) AS n FROM k GROUP BY 1), a AS (SELECT w.kind, w.weight * (1.0::DOUBLE + 1.5::DOUBLE * (coalesce(n, 0) / ((SELECT coalesce(sum(n), 0)::DOUBLE FROM c) + 1e-9::DOUBLE))) AS w FROM kind_weights w LEFT JOIN c USING (kind)),
       b AS (SELECT kind, w / sum(w) OVER () AS w, count(*) OVER () AS k FROM a), d AS (SELECT kind, least(4.0::DOUBLE / k, greatest(0.25::DOUBLE / k, w)) AS w FROM b) SELECT kind, round(w / sum(w) OVER (), 9) AS weight FROM d""",
     "recall_at_fpr_per_doc": _fixed_sql("per_doc", 0.05),
@@ -345,7 +372,7 @@ SQL = {
 }
 
 QUERIES = (
-    match_exact, match_partial, detection_rates, detection_rates_exact, span_scores, fp_report, fp_by_type, fp_by_negative_kind, fp_by_kind, reweight,
+    match_exact, match_partial, detection_rates, detection_rates_exact, span_scores, fp_report, fp_by_type, fp_by_negative_kind, fp_by_kind, fp_by_kind_indexed, softmax_top, reweight,
     _fixed("per_doc", 0.05), _fixed("doc_level", 0.05), _fixed("per_1000_chars", 0.5), recall_by_type, recall_curve, calibration_pairs, ece_bins, calibration_errors,
     temperature_transform, isotonic_transform, temperature_fit, isotonic_fit, type_histogram, score_axes, dataset_verify, surface_index,
     negative_documents, inject_negatives, synth_documents, ood_documents,

@@ -51,6 +51,19 @@ def context_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("rule_id").agg(F.count("*").alias("n"), F.count("matched_context").alias("n_context"))
 
 
+#: Rules as a user may add them: neither needs a digit or an at sign.
+CUSTOM = (
+    rules.Rule("own.place", "NAME", "東京|大阪", 0.5, priority=5, context=("支店", "市"), negative_context=("東京都",)),
+    rules.Rule("own.word", "MEMBER_ID", "会議|[A-Z]{3,}", 0.6, priority=7),
+    rules.Rule("own.optional", "EMAIL", "@?担当", 0.7, priority=1),
+)
+
+
+def custom_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rules.with_rule_spans(_texts(spark, sf_dir), "text", rules=CUSTOM, types=vocab.LABELS)
+    return _rows(found, "rule_spans").drop("checksum_valid")
+
+
 def rule_spans_nfkc(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("text", X.normalize(F.col("text")))
     return _rows(rules.with_rule_spans(docs, "text"), "rule_spans")
@@ -185,6 +198,12 @@ def _first_sql(where: str, words: tuple[str, ...]) -> str:
     return "CASE " + " ".join(f"WHEN contains({where}, '{w}') THEN '{w}'" for w in words) + " END" if words else "NULL::VARCHAR"
 
 
+def _plain_found_sql(rule: rules.Rule) -> str:
+    """The same for a pattern without borders."""
+    return f"""SELECT doc_id, text, (list_sum(list_transform(parts[1:i], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(whole[1:i-1], lambda x: length(x))), 0)::BIGINT) AS start_pos, whole[i] AS value
+      FROM (SELECT doc_id, text, string_split_regex(text, '{rule.pattern}') AS parts, regexp_extract_all(text, '{rule.pattern}') AS whole FROM texts) z, LATERAL (SELECT unnest(range(1, len(z.whole) + 1)) AS i)"""
+
+
 def _rule_sql(rule: rules.Rule) -> str:
     check = {"CREDIT_CARD": _luhn_sql("value"), "MYNUMBER": _mynumber_sql("value")}.get(rule.label, "NULL::BOOLEAN")
     keep = ["true"]
@@ -201,11 +220,11 @@ def _rule_sql(rule: rules.Rule) -> str:
            '{rule.rule_id}' AS rule_id, {hit} AS matched_context, {rule.priority}::BIGINT AS priority, {check} AS checksum_valid
     FROM (SELECT *, substring(text, greatest(start_pos - 12, 0) + 1, start_pos - greatest(start_pos - 12, 0)) AS lft,
                  substring(text, greatest(start_pos - 12, 0) + 1, start_pos + length(value) + 12 - greatest(start_pos - 12, 0)) AS around
-          FROM ({_found_sql(rule)})) WHERE {" AND ".join(keep)}"""
+          FROM ({_plain_found_sql(rule) if rule in CUSTOM else _found_sql(rule)})) WHERE {" AND ".join(keep)}"""
 
 
-def _candidates_sql(labels: tuple[str, ...] = vocab.RULE_DETERMINISTIC) -> str:
-    chosen = [r for r in rules.DEFAULT_RULES if r.label in labels]
+def _candidates_sql(labels: tuple[str, ...] = vocab.RULE_DETERMINISTIC, specs: tuple[rules.Rule, ...] = rules.DEFAULT_RULES) -> str:
+    chosen = [r for r in specs if r.label in labels]
     union = " UNION ALL ".join(_rule_sql(r) for r in chosen)
     return f"WITH texts AS (SELECT doc_id, {narrow_sql('text')} AS text FROM documents WHERE text IS NOT NULL), c AS ({union})"
 
@@ -216,11 +235,12 @@ _CANDIDATE = (
     "priority BIGINT, checksum_valid BOOLEAN)"
 )
 _PACK = "{" + ", ".join(f"'{f}': {f}" for f in _FIELDS) + "}"
-_ORDER = list(vocab.RULES)
-_SPEC_ORDER = "CASE rule_id " + " ".join(f"WHEN '{r[0]}' THEN {i}" for i, r in enumerate(_ORDER)) + " END"
-_RESOLVED_SQL = f"""{_candidates_sql()}, packed AS (
+_ORDER = [r.rule_id for r in (*rules.DEFAULT_RULES, *CUSTOM)]
+_SPEC_ORDER = "CASE rule_id " + " ".join(f"WHEN '{r}' THEN {i}" for i, r in enumerate(_ORDER)) + " END"
+_RESOLVE = f"""packed AS (
   SELECT doc_id, list({_PACK} ORDER BY {_SPEC_ORDER}, start_pos) AS l FROM c GROUP BY doc_id),
   r AS (SELECT doc_id, unnest({greedy_sql(sorted_sql("l", "-x.priority", "-x.score", "-(x.end_pos - x.start_pos)", "x.start_pos"), _CANDIDATE)}) AS s FROM packed)"""
+_RESOLVED_SQL = f"{_candidates_sql()}, {_RESOLVE}"
 
 
 def _number_sql() -> str:
@@ -263,6 +283,7 @@ def _values_sql(rows: list[tuple], names: str) -> str:
 SQL = {
     "rule_candidates": f"{_candidates_sql()} SELECT {_OUT} FROM c",
     "rule_spans": f"{_RESOLVED_SQL} SELECT doc_id, {', '.join(f's.{f} AS {f}' if f != 'score' else 'round(s.score, 9) AS score' for f in _FIELDS)} FROM r",
+    "custom_rules": f"{_candidates_sql(vocab.LABELS, CUSTOM)}, {_RESOLVE} SELECT doc_id, {', '.join(f's.{f} AS {f}' if f != 'score' else 'round(s.score, 9) AS score' for f in _FIELDS[:-1])} FROM r",
     "email_spans": f"{_candidates_sql(('EMAIL',))} SELECT doc_id, start_pos, end_pos, text, round(score, 9) AS score FROM c",
     "card_spans": f"{_candidates_sql(('CREDIT_CARD',))} SELECT doc_id, start_pos, end_pos, text, checksum_valid FROM c",
     "rule_explain": f"{_RESOLVED_SQL} SELECT doc_id, s.text AS text, s.label AS label, s.rule_id AS rule_id, round(s.score, 3) AS score, "
@@ -281,6 +302,6 @@ SQL = {
 }
 
 QUERIES = (
-    rule_candidates, rule_spans, email_spans, card_spans, rule_explain, context_gate, rule_spans_nfkc, detect_spans, redact_documents,
+    rule_candidates, rule_spans, custom_rules, email_spans, card_spans, rule_explain, context_gate, rule_spans_nfkc, detect_spans, redact_documents,
     normalize_text, rules_table, pii_types, number_checks, text_functions,
 )

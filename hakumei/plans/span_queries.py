@@ -14,7 +14,7 @@ from ..functions import vocab
 from ..operators import compare, decode, egress, kernels, mask
 from ..sources.files import broken_spans
 from . import frames as V
-from .frames import DOCS_SQL, PRED_SQL, SPAN_SQL, documents, exploded, predicted, shaped, spread, table
+from .frames import DOCS_SQL, PRED_SQL, SPAN_SQL, deliveries, documents, exploded, predicted, shaped, spread, table
 
 _KEYS = ["run_name", "doc_id"]
 _OUT = ("start_pos", "end_pos", "label", "score")
@@ -72,7 +72,7 @@ def validate_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _masked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mask.with_mask(spread(documents(spark, sf_dir)), "text", "spans")
+    return mask.with_mask(spread(deliveries(spark, sf_dir)), "text", "spans")
 
 
 def mask_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +96,7 @@ def mask_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _leaky(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Payloads in which only names are masked, with all originals as forbidden values."""
-    names = documents(spark, sf_dir).withColumn("names", F.filter("spans", lambda s: s["label"] == "NAME"))
+    names = deliveries(spark, sf_dir).withColumn("names", F.filter("spans", lambda s: s["label"] == "NAME"))
     rows = mask.with_mask(spread(names), "text", "names", masked="payload")
     return rows.where("text is not null").select("doc_id", "payload", F.transform("spans", lambda s: s["text"]).alias("forbidden"))
 
@@ -112,7 +112,7 @@ def egress_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def llm_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Masked, guarded, echoed and restored: nothing differs where nothing was blocked."""
-    rows = egress.round_trip(spread(documents(spark, sf_dir)), "text", "spans", egress.EchoTransport, "要約してください。")
+    rows = egress.round_trip(spread(deliveries(spark, sf_dir)), "text", "spans", egress.EchoTransport, "要約してください。")
     restored = F.concat(F.lit("要約してください。\n\n"), F.col("text"))
     return rows.where("text is not null").groupBy("blocked").agg(
         F.count("*").alias("n_docs"), F.coalesce(F.sum((F.col("response") != restored).cast("long")), F.lit(0)).alias("n_changed")
@@ -251,6 +251,16 @@ def align_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shaped(exploded(compare.with_aligned(rows, "answer", "text", "out"), ["doc_id"], "out", ("start_pos", "end_pos", "label", "text")))
 
 
+def recognized_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gold spans under a recogniser's entity names, numbers and addresses only."""
+    rows = deliveries(spark, sf_dir).withColumn("found", compare.recognized(F.col("spans"), F.col("text"), ENTITIES))
+    return shaped(exploded(rows, ["doc_id"], "found"))
+
+
+#: Entities that are asked for.
+ENTITIES = ("PHONE_NUMBER", "LOCATION", "CREDIT_CARD", "JP_MEMBER_ID")
+
+
 # ---- SQL
 
 
@@ -354,13 +364,17 @@ SQL = {
         b AS (SELECT doc_id, bool_or(s.start_pos < 0 OR s.end_pos <= s.start_pos OR s.end_pos > length(text)) AS bounds,
               bool_or(s.text != '' AND substring(text, s.start_pos + 1, s.end_pos - s.start_pos) != s.text) AS differs, bool_or(coalesce(s.start_pos < before, false)) AS crossing FROM l GROUP BY doc_id)
         SELECT CASE WHEN bounds THEN 'bounds' WHEN differs THEN 'text' WHEN crossing THEN 'overlap' ELSE 'valid' END AS state, count(*) AS n_docs FROM docs LEFT JOIN b USING (doc_id) GROUP BY 1""",
-    "mask_documents": f"WITH {_MASK_SQL} SELECT doc_id, masked FROM out",
-    "mask_map": f"WITH {_MASK_SQL} SELECT doc_id, (i - 1)::BIGINT AS ordinal, placeholder, original, label, start_pos::BIGINT AS start_pos, end_pos::BIGINT AS end_pos FROM m",
+    "mask_documents": f"WITH {_MASK_SQL} SELECT doc_id, masked FROM out JOIN annotated_docs USING (doc_id)",
+    "mask_map": f"WITH {_MASK_SQL} SELECT doc_id, (i - 1)::BIGINT AS ordinal, placeholder, original, label, start_pos::BIGINT AS start_pos, end_pos::BIGINT AS end_pos FROM m JOIN annotated_docs USING (doc_id)",
     "mask_summary": f"WITH {_MASK_SQL} SELECT doc_id, placeholder, label, {_JA} AS label_ja, start_pos::BIGINT AS start_pos, end_pos::BIGINT AS end_pos, length(original) AS length, "
-    "substring(original, 1, 1) || repeat('●', length(original) - 1) AS preview FROM m",
-    "mask_roundtrip": "SELECT count(DISTINCT doc_id) AS n_docs, 0::BIGINT AS n_changed FROM annotated_docs WHERE text IS NOT NULL",
-    "egress_violations": f"WITH {_LEAK_SQL} SELECT * FROM first",
-    "egress_clean": f"WITH {_LEAK_SQL} SELECT first.doc_id IS NULL AS clean, count(*) AS n_docs FROM (SELECT doc_id FROM alldocs WHERE text IS NOT NULL) a LEFT JOIN first ON first.doc_id = a.doc_id GROUP BY 1",
+    "substring(original, 1, 1) || repeat('●', length(original) - 1) AS preview FROM m JOIN annotated_docs USING (doc_id)",
+    "mask_roundtrip": "SELECT count(*) AS n_docs, 0::BIGINT AS n_changed FROM annotated_docs WHERE text IS NOT NULL",
+    "llm_round_trip": f"""WITH {_MASK_SQL}, s AS (SELECT docs.doc_id, '要約してください。' || chr(10) || chr(10) || out.masked AS payload, unnest(l).text AS value FROM docs JOIN out USING (doc_id) JOIN (SELECT doc_id, l FROM o) USING (doc_id) WHERE docs.text IS NOT NULL),
+        b AS (SELECT DISTINCT doc_id FROM s WHERE length(value) >= 3 AND (contains(payload, value) OR contains({V.narrow_sql("payload")}, {V.narrow_sql("value")})
+          OR (length({_DIGITS("value")}) >= 7 AND length({_DIGITS("value")}) >= length(value) * 0.6 AND contains({_DIGITS("payload")}, {_DIGITS("value")}))))
+        SELECT b.doc_id IS NOT NULL AS blocked, count(*) AS n_docs, 0::BIGINT AS n_changed FROM annotated_docs a LEFT JOIN b ON b.doc_id = a.doc_id WHERE text IS NOT NULL GROUP BY 1""",
+    "egress_violations": f"WITH {_LEAK_SQL} SELECT first.* FROM first JOIN annotated_docs USING (doc_id)",
+    "egress_clean": f"WITH {_LEAK_SQL} SELECT first.doc_id IS NULL AS clean, count(*) AS n_docs FROM (SELECT doc_id FROM annotated_docs WHERE text IS NOT NULL) a LEFT JOIN first ON first.doc_id = a.doc_id GROUP BY 1",
     "token_windows": f"""WITH {DOCS_SQL}, n AS (SELECT doc_id, coalesce(text, '') AS text, greatest(ceil((length(coalesce(text, '')) - 128) / {_STEP}.0), 0)::BIGINT AS last FROM docs),
         w AS (SELECT doc_id, text, unnest(range(0, last + 1)) AS win FROM n) SELECT doc_id, win, win * {_STEP} AS first, length(substring(text, win * {_STEP} + 1, 128)) AS n_tokens, substring(text, win * {_STEP} + 1, 128) AS body FROM w""",
     "decode_spans": f"WITH {_DECODE_SQL}",
@@ -375,6 +389,10 @@ SQL = {
         SELECT * FROM a JOIN b USING (run_name)""",
     "label_map": "SELECT * FROM (VALUES " + ", ".join(f"('{d}', '{a}', '{b}')" for d, rows in compare.DIMENSIONS.items() for a, b in rows) + ") t(detector, their_label, label)",
     "map_labels": f"WITH {PRED_SQL}, p AS (SELECT run_name, doc_id, unnest(spans) AS s FROM pred) SELECT run_name, doc_id, s.start_pos::BIGINT AS start_pos, s.end_pos::BIGINT AS end_pos, s.label AS label, round(s.score, 9) AS score FROM p WHERE s.label IN ({_KNOWN})",
+    "recognized_spans": f"""WITH s AS (SELECT doc_id, text, unnest(spans) AS s FROM annotated_docs), e AS (SELECT doc_id, CASE s.label WHEN 'PHONE' THEN 'PHONE_NUMBER' WHEN 'ADDRESS' THEN 'LOCATION' WHEN 'CREDIT_CARD' THEN 'CREDIT_CARD'
+        WHEN 'MEMBER_ID' THEN 'JP_MEMBER_ID' END AS entity_type, s.start_pos::BIGINT AS "start", s.end_pos::BIGINT AS "end", round(s.score, 9) AS score, length(text) AS n FROM s)
+        SELECT doc_id, entity_type, "start", "end", score FROM e WHERE entity_type IS NOT NULL AND "end" <= n""",
+    "align_answers": f"""WITH {DOCS_SQL} SELECT doc_id, s.start_pos::BIGINT AS start_pos, s.end_pos::BIGINT AS end_pos, s.label AS label, s.text AS text FROM (SELECT doc_id, unnest(spans) AS s FROM docs WHERE text IS NOT NULL)""",
     "adjacent_addresses": f"""WITH {DOCS_SQL}, s AS (SELECT doc_id, text, unnest(spans) AS s FROM docs WHERE text IS NOT NULL), a AS (SELECT * FROM s WHERE s.label = 'ADDRESS' AND s.end_pos - s.start_pos > 6),
         o AS (SELECT *, coalesce(substring(text, lag(s.end_pos) OVER w + 1, s.start_pos - lag(s.end_pos) OVER w) NOT IN ('', ' ', '　'), true) AS opens FROM a WINDOW w AS (PARTITION BY doc_id ORDER BY s.start_pos)),
         i AS (SELECT *, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY s.start_pos) AS island FROM o), g AS (SELECT doc_id, any_value(text) AS text, min(s.start_pos) AS start_pos, max(s.end_pos) AS end_pos FROM i GROUP BY doc_id, island)
@@ -384,5 +402,5 @@ SQL = {
 QUERIES = (
     resolve_overlaps, dedupe_max_score, mask_choice, merge_precedence, merge_windows, span_pairs, validate_docs, mask_documents, mask_map,
     mask_summary, mask_roundtrip, egress_violations, egress_clean, llm_round_trip, token_windows, decode_spans, bio_labels, tag_agreement,
-    token_metrics, refine_boundaries, compare_sets, label_map, map_labels, adjacent_addresses, align_answers,
+    token_metrics, refine_boundaries, compare_sets, label_map, map_labels, adjacent_addresses, align_answers, recognized_spans,
 )
