@@ -107,8 +107,10 @@ def fit_temperature(pairs: DataFrame, score: str = "score", label: str = "label"
     z = logit(F.col("s"))
 
     def slopes(inverse: float) -> tuple[float, float]:
-        p = sigmoid(z * inverse)
-        return tuple(counted.agg(F.sum(F.col("n") * z * (p - F.col("y"))), F.sum(F.col("n") * z * z * p * (1 - p))).first())
+        """First and second derivative. The value is data of the job, not part of its code, which so is compiled once."""
+        rows = counted.withColumn("b", F.explode(F.array(F.lit(inverse), F.lit(inverse)))).withColumn("p", sigmoid(z * F.col("b")))
+        found = rows.agg(F.sum(F.col("n") * z * (F.col("p") - F.col("y"))), F.sum(F.col("n") * z * z * F.col("p") * (1 - F.col("p")))).first()
+        return found[0] / 2, found[1] / 2
 
     low, high = 1 / HIGH, 1 / LOW
     at = 1.0
@@ -117,7 +119,7 @@ def fit_temperature(pairs: DataFrame, score: str = "score", label: str = "label"
         low, high = (low, at) if slope > 0 else (at, high)
         step = at - slope / curve if curve > 0 else low
         after = step if low < step < high else math.sqrt(low * high)
-        done = abs(after - at) < 1e-9 * at or high - low < 1e-9 * low
+        done = abs(after - at) < 1e-7 * at or high - low < 1e-9 * low
         at = after
         if done:
             break
