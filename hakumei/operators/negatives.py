@@ -1,14 +1,17 @@
-"""Hard negatives: classification of false positives, reweighting, generation, injection."""
+"""Hard negatives: classification of false positives, reweighting, injection."""
 
 from __future__ import annotations
 
+import random
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..functions import vocab
-from .dice import Dice
+from . import invent, kernels
 
 STRENGTH = 1.0
 
@@ -68,102 +71,24 @@ def surfaces(rows: DataFrame, kind: str = "kind", text: str = "text") -> DataFra
     return rows.select(F.explode(found).alias("surface"), F.col(kind).alias("kind")).groupBy("surface").agg(F.min("kind").alias("kind"))
 
 
-# Our own sentences; %d is a number, %x a word of the kind.
-_SENTENCES = {
-    "common_noun_surname": (("森", "林", "泉", "谷", "島"), ("裏手の%xを測量した。", "%xの保全計画を改める。", "古い%xの記録が残る。")),
-    "place_as_person": (("長野", "千葉", "山口", "福井", "奈良"), ("%x県の統計を更新した。", "来週は%x支店で作業する。", "%x方面の便は遅れている。")),
-    "company_as_person": (("本田", "松田", "豊島", "早川"), ("%x工業の見積を受け取った。", "%x建設株式会社に照会する。", "%x製作所の部品を使う。")),
-    "honorific_boundary": (("各位", "皆様", "仕様", "模様"), ("関係者%xへ回覧する。", "%xについては別紙のとおり。", "新しい%xを確認した。")),
-    "phone_like_id": (("型番", "注文番号", "整理番号", "追跡番号"), ("%x 0%d2-%d4-%d4 を確認した。", "%xは%d4-%d4-%d4です。", "%x %d3-%d4 は欠品。")),
-    "address_like_facility": (("中央図書館", "市民会館", "南公園", "北倉庫"), ("%xの3階を使う。", "%x前で待ち合わせる。", "%x東口の案内板。")),
-    "number_like_id": (("議案第", "統計表", "座席番号", "予算額"), ("%x%d4号を配布した。", "%x%d6を参照。", "%xは%d7に改める。")),
-    "date_like_nondob": (("契約日", "発行日", "有効期限", "説明会"), ("%xは20%d2年7月%d1日。", "%x 20%d2-05-1%d1 を記入。", "%xを20%d2/11/0%d1とする。")),
-}
-_FILLER = ("本日は以上とする。", "詳細は追って知らせる。", "資料は共有済みである。", "次の議題に移る。")
-
-
-def _numbers(dice: Dice, sentence: Column, tag: str) -> Column:
-    """%d1 .. %d7 replaced by that many digits; the same place holder of a sentence has one number."""
-    for n in range(1, 8):
-        number = F.lpad(dice.below(10**n, f"{tag}-d{n}").cast("string"), n, "0")
-        sentence = F.replace(sentence, F.lit(f"%d{n}"), number)
-    return sentence
-
-
-def hard_negative(dice: Dice, tag: str, weights: dict[str, float] | None = None) -> Column:
-    """struct<kind, text>: a kind by weight, a sentence of it by hash."""
-    w = weights or dict.fromkeys(vocab.NEGATIVE_KINDS, 1.0)
-    kind = dice.weighted([(k, w.get(k, 0.0)) for k in vocab.NEGATIVE_KINDS], f"{tag}-kind")
-
-    def written(kind: Column) -> Column:
-        text = F.lit(None).cast("string")
-        for k, (words, templates) in _SENTENCES.items():
-            one = F.replace(dice.choice(templates, f"{tag}-t"), F.lit("%x"), dice.choice(words, f"{tag}-w"))
-            text = F.when(kind == k, one).otherwise(text)
-        return F.struct(kind.alias("kind"), _numbers(dice, text, tag).alias("text"))
-
-    return X.let(kind, written)
-
-
-def negative_documents(
-    spark, n: int, seed: int = 0, weights: dict[str, float] | None = None, base: DataFrame | None = None, least: int = 3, most: int = 8
-) -> DataFrame:
-    """n documents without personal data: 72 % hard negatives, else half base sentences, half filler.
-
-    base: table with a column text, of which a bounded pool of 1,000 sentences is drawn; without it only filler is used.
-    """
-    from .corpus import base_sentences
-
-    pool = []
-    if base is not None:
-        sentences = base.where("text is not null").select(F.explode(base_sentences(F.col("text"))).alias("s")).distinct()
-        pool = [r[0] for r in sentences.orderBy(F.xxhash64(F.lit(seed), "s")).limit(1000).collect()]  # a bounded sample
-    docs = spark.range(n).withColumn("doc_id", F.format_string("neg-%05d", "id"))
-    dice = Dice(seed, F.col("id"))
-    parts = []
-    for j in range(most):
-        filler = dice.choice(_FILLER, f"f{j}")
-        other = F.when(dice.unit(f"b{j}") < 0.5, dice.choice(pool, f"p{j}")).otherwise(filler) if pool else filler
-        plain = F.struct(F.lit(None).cast("string").alias("kind"), other.alias("text"))
-        drawn = F.when(dice.unit(f"k{j}") < 0.72, hard_negative(dice, f"n{j}", weights)).otherwise(plain)
-        part = X.let(drawn, lambda d, j=j: F.struct(d["text"].alias("text"), d["kind"].alias("kind"), F.lit(j).alias("j")))
-        parts.append(part)
-    count = dice.below(most - least + 1, "count") + least
-    docs = docs.withColumn("parts", F.array(*parts)).withColumn("parts", F.filter("parts", lambda p: p["j"] < count))
-    return docs.select(
-        "doc_id", F.array_join("parts.text", "").alias("text"), F.lit("negatives").alias("subset"), F.lit("negatives").alias("genre"),
-        F.filter("parts.kind", lambda k: k.isNotNull()).alias("negative_kinds"),
-    )
-
-
-def injected(df: DataFrame, doc_id: str, text: str, spans: str, kinds: str, k: int = 2, seed: int = 0) -> DataFrame:
+def injected(df: DataFrame, doc_id: str, text: str, spans: str, kinds: str, k: int = 2, seed: int = 0, weights: dict[str, float] | None = None) -> DataFrame:
     """k hard negatives inserted at ends of lines or sentences outside all spans; later spans move along, kinds are appended.
 
-    Null text stays null. Gold spans keep their text; none is added.
+    Null text stays null and gets none. Gold spans keep their text; none is added.
     """
-    out = df
-    for round_ in range(k):
-        dice = Dice(seed, F.col(doc_id))
-        t, s = F.col(text), F.col(spans)
-        ends = F.aggregate(
-            F.split(t, "(?<=[。\n])", -1), F.array(F.lit(0)),
-            lambda acc, p: F.array_append(acc, F.get(acc, F.size(acc) - 1) + F.length(p)),
-        )
-        safe = F.filter(F.array_distinct(ends), lambda p: ~F.exists(F.coalesce(s, F.slice(s, 1, 0)), lambda x: (x["start_pos"] < p) & (p < x["end_pos"])))
-        at = F.get(safe, F.pmod(dice.hash(f"at{round_}"), F.size(safe)).cast("int"))
-        both = X.let(F.struct(at.alias("at"), hard_negative(dice, f"i{round_}").alias("n")), lambda b: b)
-        # written to a column of its own, which the optimiser doesn't merge into its uses
-        out = out.withColumn("_b", both)
-        place, new = F.col("_b.at"), F.col("_b.n")
-        shift = lambda x: F.when(x["start_pos"] >= F.col("_b.at"), F.length(F.col("_b.n.text"))).otherwise(0)
-        shifted = F.transform(
-            s, lambda x: x.withField("end_pos", x["end_pos"] + shift(x)).withField("start_pos", x["start_pos"] + shift(x))
-        )
-        out = out.withColumns(
-            {
-                text: F.concat(F.left(t, place), new["text"], F.substring(t, place + 1, F.length(t))),
-                spans: shifted,
-                kinds: F.array_append(F.coalesce(F.col(kinds), F.array().cast("array<string>")), new["kind"]),
-            }
-        ).drop("_b")
-    return out
+
+    def run(ids: pa.Array, texts: pa.Array, places: pa.ListArray) -> pa.Array:
+        out = []
+        for i, t, own in zip(ids.to_pylist(), texts.to_pylist(), places.to_pylist()):
+            borders = [(p["start_pos"], p["end_pos"]) for p in own or ()]
+            new, borders, added = (t, borders, []) if t is None else invent.injected(random.Random(f"{seed}:{i}"), t, borders, k, weights)
+            out.append({"text": new, "starts": [a for a, _ in borders], "kinds": added})
+        return pa.array(out, pa.struct([("text", pa.string()), ("starts", pa.list_(pa.int32())), ("kinds", pa.list_(pa.string()))]))
+
+    bare = F.transform(spans, lambda s: F.struct(s["start_pos"].alias("start_pos"), s["end_pos"].alias("end_pos")))
+    new = kernels.arrow_function(run, "struct<text:string,starts:array<int>,kinds:array<string>>")(F.col(doc_id).cast("string"), F.col(text), bare)
+    rows = df.withColumn("_new", new)
+    at = lambda i: F.get(F.col("_new.starts"), i)
+    moved = F.transform(spans, lambda s, i: s.withField("end_pos", s["end_pos"] - s["start_pos"] + at(i)).withField("start_pos", at(i)))
+    none = F.array().cast("array<string>")
+    return rows.withColumns({text: F.col("_new.text"), spans: moved, kinds: F.concat(F.coalesce(kinds, none), F.col("_new.kinds"))}).drop("_new")

@@ -1,94 +1,24 @@
-"""Synthetic documents with known spans: values by kind, templates, assembly.
-
-All values are well-formed and unusable: check digits are wrong on purpose and mail
-domains are reserved ones. Names, places and templates are our own.
-"""
+"""Synthetic documents with known spans, in parallel: which base text and which random numbers a document gets follows from its number."""
 
 from __future__ import annotations
 
-import re
+import random
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import spans as S
-from ..functions import text as X
-from .dice import Dice
-
-SURNAMES = (
-    ("佐藤", "サトウ"), ("鈴木", "スズキ"), ("高橋", "タカハシ"), ("田中", "タナカ"), ("渡辺", "ワタナベ"), ("伊藤", "イトウ"),
-    ("中村", "ナカムラ"), ("小林", "コバヤシ"), ("加藤", "カトウ"), ("吉田", "ヨシダ"), ("森", "モリ"), ("泉", "イズミ"),
-    ("大和", "ヤマト"), ("本田", "ホンダ"), ("長野", "ナガノ"), ("早瀬", "ハヤセ"), ("冬木", "フユキ"), ("白河", "シラカワ"),
-)
-GIVEN = (
-    ("蒼", "アオイ"), ("陽菜", "ヒナ"), ("悠真", "ユウマ"), ("結衣", "ユイ"), ("健", "ケン"), ("沙織", "サオリ"),
-    ("大輔", "ダイスケ"), ("美咲", "ミサキ"), ("直樹", "ナオキ"), ("千尋", "チヒロ"), ("涼", "リョウ"), ("真理", "マリ"),
-)
-PLACES = ("東京都調布市若葉町", "大阪府吹田市江坂町", "北海道小樽市花園", "愛知県岡崎市康生通", "福岡県久留米市城南町", "宮城県石巻市中央")
-DOMAINS = ("example.com", "example.jp", "example.co.jp", "example.org", "example.net")
-PREFIXES = ("MB", "KH", "EMP", "CUST", "ID")
-SUBJECTS = ("会員登録", "備品購入", "定期点検", "研修参加", "住所変更")
-
-#: 21 templates, (genre, text); {slot} or {slot:n} is a value, equal slots of a document have one value.
-TEMPLATES = (
-    ("email", "{name}様\n\n{subject}の件でご連絡します。{base}電話 {phone} またはメール {email} までお返事ください。\n"),
-    ("email", "お世話になっております。{base}担当の{name}です。送付先は〒{postal} {address}です。TEL {phone}\n"),
-    ("email", "{subject}の受付が完了しました。会員番号 {member}、氏名 {name}。{base}問い合わせは {email} へ。\n"),
-    ("email", "{base}振込口座 {bank} を登録しました。名義は{name}です。\n"),
-    ("email", "関係者各位\n{base}欠席は{name:2}です。連絡先 {phone:2}。\n"),
-    ("email", "件名: {subject}\n{name}様 {base}ご住所 {address} を確認しました。\n"),
-    ("minutes", "議事録\n出席: {name}、{name:2}\n{base}次回までに{name}が{subject}を進める。\n"),
-    ("minutes", "定例会の記録。{base}書記は{name}、内線ではなく {phone} に連絡する。\n"),
-    ("minutes", "{subject}について協議した。{base}{name:2}の生年月日は{dob}と確認した。\n"),
-    ("minutes", "{base}議長 {name}。資料は {email} に送る。\n"),
-    ("minutes", "第3回会合。{base}参加者{name}から住所 {address} の届け出があった。\n"),
-    ("application", "申込書\n氏名 {name}\n生年月日 {dob}\n住所 〒{postal} {address}\n電話 {phone}\n"),
-    ("application", "{subject}申請\n申請者 {name}\n個人番号 {mynumber}\n引落口座 {bank}\n"),
-    ("application", "会員番号 {member}\n氏名 {name}\nカード番号 {card}\n{base}\n"),
-    ("application", "届出人 {name}\n新住所 〒{postal} {address}\nメール {email}\n{base}\n"),
-    ("application", "マイナンバー {mynumber}\n氏名 {name}\n生年月日 {dob}\n{base}\n"),
-    ("inquiry", "{base}折り返しは{name}、携帯 {phone} まで。\n"),
-    ("inquiry", "会員番号 {member} の{name}です。{base}返信は {email} にお願いします。\n"),
-    ("inquiry", "カード番号 {card} の請求について。{base}{name}\n"),
-    ("inquiry", "{subject}の方法を教えてください。住所は{address}です。{name} {phone}\n"),
-    ("inquiry", "口座 {bank} の残高が合いません。{base}連絡先 {phone} {name}\n"),
-)
-GENRES = ("email", "minutes", "application", "inquiry")
-LABEL_OF_SLOT = {
-    "name": "NAME", "address": "ADDRESS", "phone": "PHONE", "email": "EMAIL", "dob": "DOB", "bank": "BANK_ACCOUNT",
-    "card": "CREDIT_CARD", "mynumber": "MYNUMBER", "member": "MEMBER_ID", "postal": "POSTAL_CODE",
-}
-_BASE = ("日程は前回のとおりです。", "資料を確認しました。", "手続きは窓口で行います。", "作業は予定どおり進んでいます。")
-
-_KANA = dict(
-    zip(
-        "アイウエオカキクケコサシスセソタチツテトナニヌネノハヒフヘホマミムメモヤユヨラリルレロワンガギグゲゴザジズゼゾダデドバビブベボパピプペポ",
-        "a i u e o ka ki ku ke ko sa shi su se so ta chi tsu te to na ni nu ne no ha hi fu he ho ma mi mu me mo ya yu yo ra ri ru re ro"
-        " wa n ga gi gu ge go za ji zu ze zo da de do ba bi bu be bo pa pi pu pe po".split(),
-    )
-)
-
+from . import invent
+from .align import numbered
+from .invent import GENRES, romaji_text
 
-def romaji_text(kana: str, long_vowel: bool = True) -> str:
-    """Hepburn romanisation of katakana; small ya, yu, yo join the syllable before, ッ doubles, ー repeats the vowel."""
-    out = ""
-    double = False
-    for c in kana:
-        if c == "ッ":
-            double = True
-        elif c == "ー":
-            out += out[-1] if long_vowel and out and out[-1] in "aiueo" else ""
-        elif c in "ャュョ" and out.endswith("i"):
-            stem = out[:-1]
-            out = stem + ("" if stem.endswith(("sh", "ch", "j")) else "y") + {"ャ": "a", "ュ": "u", "ョ": "o"}[c]
-        else:
-            syllable = _KANA.get(c, "")
-            out += syllable[:1] * double + syllable
-            double = False
-    if not long_vowel:
-        out = out.replace("ou", "o").replace("uu", "u").replace("oo", "o")
-    return out or "user"
+LICENSE = "synthetic (CC0-1.0)"
+DOCUMENT = (
+    f"doc_id string, text string, spans array<{S.SPAN}>, subset string, genre string, source_license string, source_ref string, negative_kinds array<string>"
+)
 
 
 def romaji(col: Column, long_vowel: bool = True) -> Column:
@@ -98,167 +28,147 @@ def romaji(col: Column, long_vowel: bool = True) -> Column:
     return F.pandas_udf(run, "string")(col)
 
 
-def _digits(dice: Dice, n: int, tag: str, first: int = 0) -> Column:
-    """n digits; the first is `first` at least."""
-    head = (dice.below(10 - first, f"{tag}-h") + first).cast("string")
-    return F.concat(head, F.lpad(dice.below(10 ** (n - 1), f"{tag}-r").cast("string"), n - 1, "0")) if n > 1 else head
-
-
-def luhn_digit(body: Column, n: int) -> Column:
-    """The check digit that would make a body of n digits valid."""
-    total = F.lit(0)
-    for i in range(n):
-        d = F.substring(body, n - i, 1).cast("int")
-        total = total + (F.when(d > 4, 2 * d - 9).otherwise(2 * d) if i % 2 == 0 else d)
-    return F.pmod(10 - total % 10, F.lit(10))
-
-
-def mynumber_digit(body: Column) -> Column:
-    """The check digit that would make 11 digits a valid individual number."""
-    total = sum((F.substring(body, i, 1).cast("int") * w for i, w in enumerate((6, 5, 4, 3, 2, 7, 6, 5, 4, 3, 2), 1)), F.lit(0))
-    rest = total % 11
-    return F.when(rest <= 1, 0).otherwise(11 - rest)
-
-
-def _wrong(dice: Dice, right: Column, tag: str) -> Column:
-    return ((right + 1 + dice.below(9, tag)) % 10).cast("string")
-
-
-def _blocks(text: Column, sizes: tuple[int, ...], sep: str) -> Column:
-    starts = [1 + sum(sizes[:i]) for i in range(len(sizes))]
-    return F.concat_ws(sep, *(F.substring(text, a, n) for a, n in zip(starts, sizes)))
-
-
-def value(dice: Dice, slot: str, tag: str) -> Column:
-    """A value of a slot."""
-    t = f"{tag}-{slot}"
-    if slot == "name":
-        weights = [(f"{s}", 1.0 / (i + 3)) for i, (s, _) in enumerate(SURNAMES)]
-        return F.concat(dice.weighted(weights, t), F.when(dice.unit(t + "s") < 0.3, " ").otherwise(""), dice.choice([g for g, _ in GIVEN], t + "g"))
-    if slot == "address":
-        block = F.concat_ws("-", *((dice.below(n, f"{t}{n}") + 1).cast("string") for n in (9, 30, 20)))
-        return F.concat(dice.choice(PLACES, t), block)
-    if slot == "phone":
-        mobile = F.concat_ws("-", dice.choice(("070", "080", "090"), t), _digits(dice, 4, t + "a", 1), _digits(dice, 4, t + "b"))
-        land = F.concat_ws("-", dice.choice(("03", "06"), t), _digits(dice, 4, t + "a", 1), _digits(dice, 4, t + "b"))
-        area = F.concat_ws("-", dice.choice(("045", "052", "092"), t), _digits(dice, 3, t + "a", 1), _digits(dice, 4, t + "b"))
-        free = F.concat_ws("-", F.lit("0120"), _digits(dice, 3, t + "a", 1), _digits(dice, 3, t + "b"))
-        u = dice.unit(t + "k")
-        number = F.when(u < 0.5, mobile).when(u < 0.7, land).when(u < 0.9, area).otherwise(free)
-        return F.when(dice.unit(t + "p") < 0.15, F.replace(number, F.lit("-"), F.lit(""))).otherwise(number)
-    if slot == "email":
-        user = dice.choice([romaji_text(k, False) for _, k in SURNAMES], t)
-        return F.concat(user, dice.choice((".", "_", "-"), t + "s"), _digits(dice, 3, t + "n"), F.lit("@"), dice.choice(DOMAINS, t + "d"))
-    if slot == "dob":
-        day = F.date_add(F.lit("1940-01-01").cast("date"), dice.below(27000, t).cast("int"))
-        western = F.concat(F.year(day), F.lit("年"), F.month(day), F.lit("月"), F.day(day), F.lit("日"))
-        u = dice.unit(t + "f")
-        return F.when(u < 0.4, western).when(u < 0.7, X.wareki(day)).otherwise(F.date_format(day, "yyyy/MM/dd"))
-    if slot == "bank":
-        full = F.concat_ws("-", _digits(dice, 4, t + "a"), _digits(dice, 3, t + "b"), _digits(dice, 7, t + "c"))
-        return F.when(dice.unit(t) < 0.7, full).otherwise(F.concat(dice.choice(("普通 ", "当座 "), t + "k"), _digits(dice, 7, t + "c")))
-    if slot == "card":
-        body = F.concat(dice.choice(("4", "5"), t), _digits(dice, 14, t + "b"))
-        number = F.concat(body, _wrong(dice, luhn_digit(body, 15), t + "w"))
-        return _blocks(number, (4, 4, 4, 4), " ") if slot == "card" else number
-    if slot == "mynumber":
-        body = _digits(dice, 11, t, 1)
-        number = F.concat(body, _wrong(dice, mynumber_digit(body), t + "w"))
-        return F.when(dice.unit(t + "f") < 0.5, number).otherwise(_blocks(number, (4, 4, 4), "-"))
-    if slot == "member":
-        return F.concat(dice.choice(PREFIXES, t), dice.choice(("", "-"), t + "s"), _digits(dice, 8, t + "n"))
-    if slot == "postal":
-        return F.concat_ws("-", _digits(dice, 3, t + "a"), _digits(dice, 4, t + "b"))
-    if slot == "subject":
-        return dice.choice(SUBJECTS, t)
-    raise ValueError(f"unknown slot {slot!r}")
-
-
-def assembled(parts: Column) -> Column:
-    """struct<text, spans> of array<struct<text, label>>: parts with a label become gold spans at their place."""
-    state = f"struct<pos:int,spans:array<{S.SPAN}>>"
-    zero = F.struct(F.lit(0).alias("pos"), S.no_spans().alias("spans")).cast(state)
-
-    def step(acc: Column, p: Column) -> Column:
-        end = acc["pos"] + F.length(p["text"])
-        span = F.struct(
-            acc["pos"].alias("start_pos"), end.alias("end_pos"), p["label"].alias("label"), p["text"].alias("text"),
-            F.lit(1.0).alias("score"), F.lit("gold").alias("source"),
-        ).cast(S.SPAN)
-        spans = F.when(p["label"].isNotNull(), F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
-        return F.struct(end.alias("pos"), spans.alias("spans")).cast(state)
-
-    return F.struct(F.array_join(F.transform(parts, lambda p: p["text"]), "").alias("text"), F.aggregate(parts, zero, step)["spans"].alias("spans"))
-
-
-def rendered(dice: Dice, template: str, base: Column) -> Column:
-    """The parts of a template: literals and slot values in order."""
-    parts = []
-    for piece in re.split(r"(\{[a-z]+(?::\d)?\})", template):
-        slot = piece[1:-1].partition(":")[0] if piece.startswith("{") else None
-        if slot == "base":
-            text, label = base, None
-        elif slot:
-            text, label = value(dice, slot, piece), LABEL_OF_SLOT.get(slot)
-        elif piece:
-            text, label = F.lit(piece), None
-        else:
-            continue
-        parts.append(F.struct(text.alias("text"), F.lit(label).cast("string").alias("label")))
-    return F.array(*parts)
-
-
-def documents(spark: SparkSession, n: int, seed: int = 0, subset: str = "train", prefix: str = "syn", genres: tuple[str, ...] = GENRES) -> DataFrame:
-    """n documents with gold spans: (doc_id, text, spans, subset, genre). Genres take turns, templates are drawn by hash."""
+def base_texts(items: DataFrame, item_id: str = "item_id") -> DataFrame:
+    """(number, base, license, ref): usable items numbered from 0 in order of their ids, as `documents` takes them."""
+    rows = items.where((F.coalesce(F.col(item_id), F.lit("")) != "") & (F.coalesce("text", F.lit("")) != "")).dropDuplicates([item_id])
+    ref = F.coalesce(*(F.when(F.col(c) != "", F.col(c)) for c in ("attribution", "source") if c in items.columns), F.col(item_id))
+    license_ = F.col("license") if "license" in items.columns else F.lit(None).cast("string")
+    chosen = rows.select(F.col(item_id).alias("_id"), F.col("text").alias("base"), license_.alias("license"), ref.alias("ref"))
+    return numbered(chosen, F.col("_id"), out="number").drop("_id")
+
+
+def _with_base(rows: DataFrame, bases: DataFrame | None, seed: int, share: float) -> DataFrame:
+    """Adds base, license and ref to rows (id): for a share of them those of the base text with a hashed number."""
+    if bases is None:
+        return rows.withColumns({c: F.lit(None).cast("string") for c in ("base", "license", "ref")})
+    count = bases.count()
+    if not count:
+        return _with_base(rows, None, seed, share)
+    unit = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit("share"), "id"), 11).cast("double") / float(1 << 53)
+    number = F.when(unit < share, F.pmod(F.xxhash64(F.lit(seed), F.lit("base"), "id"), F.lit(count)))
+    return rows.withColumn("number", number).join(bases, "number", "left").drop("number")
+
+
+def _spans(drafts: list[invent.Draft]) -> pa.Array:
+    rows = [
+        [{"start_pos": a, "end_pos": b, "label": label, "text": t, "score": 1.0, "source": "gold"} for a, b, label, t in d.spans] for d in drafts
+    ]
+    kind = pa.struct(
+        [("start_pos", pa.int32()), ("end_pos", pa.int32()), ("label", pa.string()), ("text", pa.string()), ("score", pa.float64()), ("source", pa.string())]
+    )
+    return pa.array(rows, pa.list_(kind))
+
+
+def documents(
+    spark: SparkSession, n: int, seed: int = 0, subset: str = "train", prefix: str = "syn", genres: tuple[str, ...] = GENRES,
+    bases: DataFrame | None = None, inject: float = 0.0, weights: dict[str, float] | None = None,
+) -> DataFrame:
+    """n documents with gold spans: doc_id, text, spans, subset, genre, source_license, source_ref, negative_kinds.
+
+    Genres take turns. bases, from base_texts: three quarters of the documents get one, and its licence and reference if it was used.
+    A third of the documents (35 %) is asked for 2 to 10 values. The first `inject` of all documents get one to three hard
+    negatives, of kinds drawn by `weights`.
+    """
     unknown = set(genres) - set(GENRES)
     if unknown or not genres:
         raise ValueError(f"unknown genres {sorted(unknown)}")
-    rows = spark.range(n).withColumn("doc_id", F.format_string(prefix + "-%06d", "id"))
-    dice = Dice(seed, F.col("id"))
-    base = dice.choice(_BASE, "base")
-    genre = F.get(F.array(*map(F.lit, genres)), (F.col("id") % len(genres)).cast("int"))
-    doc = None
-    for g in genres:
-        own = [t for kind, t in TEMPLATES if kind == g]
-        pick = dice.below(len(own), "template")
-        for i, template in enumerate(own):
-            fit, parts = (genre == g) & (pick == i), rendered(dice, template, base)
-            doc = F.when(fit, parts) if doc is None else doc.when(fit, parts)
-    rows = rows.withColumn("genre", genre).withColumn("parts", doc).withColumn("doc", assembled(F.col("parts")))
-    return rows.select("doc_id", "doc.text", "doc.spans", F.lit(subset).alias("subset"), "genre")
-
-
-_CARRIERS = (("担当は", "name", "です。"), ("電話は", "phone", "です。"), ("連絡先は", "email", "です。"), ("送付先は", "address", "です。"))
-
-
-def ood_documents(items: DataFrame, seed: int = 0, item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """One document per usable base text, with carrier sentences at two of its sentence gaps. Texts that normalisation would change are skipped."""
-    rows = items.select(F.col(item_id).alias("doc_id"), F.col(text).alias("base")).where("base is not null and base != ''")
-    rows = rows.withColumn("norm", X.normalize(F.col("base"))).where("norm = base")
-    dice = Dice(seed, F.col("doc_id"))
-    sentences = F.split("base", "(?<=。)", -1)
-    rows = rows.withColumn("sentences", sentences).withColumn("n", F.size("sentences"))
-    for k in range(2):
-        rows = rows.withColumn(f"at{k}", F.pmod(dice.hash(f"at{k}"), F.col("n")))
-        carrier = dice.below(len(_CARRIERS), f"c{k}")
-        parts = None
-        for i, (before, slot, after) in enumerate(_CARRIERS):
-            own = F.array(
-                F.struct(F.lit(before).alias("text"), F.lit(None).cast("string").alias("label")),
-                F.struct(value(dice, slot, f"o{k}").alias("text"), F.lit(LABEL_OF_SLOT[slot]).alias("label")),
-                F.struct(F.lit(after).alias("text"), F.lit(None).cast("string").alias("label")),
-            )
-            parts = F.when(carrier == i, own) if parts is None else parts.when(carrier == i, own)
-        rows = rows.withColumn(f"carrier{k}", parts)
-    none = F.slice("carrier0", 1, 0)
-    parts = F.flatten(
-        F.transform(
-            "sentences",
-            lambda s, i: F.concat(
-                F.array(F.struct(s.alias("text"), F.lit(None).cast("string").alias("label"))),
-                F.when(i == F.col("at0"), F.col("carrier0")).otherwise(none), F.when(i == F.col("at1"), F.col("carrier1")).otherwise(none),
-            ),
-        )
-    )
-    rows = rows.withColumn("parts", parts).withColumn("doc", assembled(F.col("parts")))
-    return rows.select("doc_id", "doc.text", "doc.spans", F.lit("ood").alias("subset"), F.lit("ood_prose").alias("genre"))
+    rows = _with_base(spark.range(n), bases, seed, 0.75).select("id", "base", "license", "ref")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[] for _ in range(6)]
+            drafts = []
+            for i, base, license_, ref in zip(*(c.to_pylist() for c in batch.columns)):
+                rng = random.Random(f"{seed}:{subset}:{i}")
+                genre = genres[i % len(genres)]
+                draft = invent.document(rng, genre, base, rng.randrange(2, 11) if rng.random() < 0.35 else None)
+                text, kinds = draft.text, []
+                if i < inject * n:
+                    places = [s[:2] for s in draft.spans]
+                    text, places, kinds = invent.injected(rng, text, places, rng.randrange(1, 4), weights)
+                    draft.spans = [(a, b, *s[2:]) for (a, b), s in zip(places, draft.spans)]
+                drafts.append(draft)
+                used = draft.base_used
+                fields = (f"{prefix}-{i:06d}", text, genre, (license_ if used else None) or LICENSE, (ref if used else None) or "", kinds)
+                for column, x in zip(out, fields):
+                    column.append(x)
+            ids, texts, kind, licences, refs, kinds = out
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(ids, pa.string()), pa.array(texts, pa.string()), _spans(drafts), pa.array([subset] * len(ids), pa.string()),
+                    pa.array(kind, pa.string()), pa.array(licences, pa.string()), pa.array(refs, pa.string()), pa.array(kinds, pa.list_(pa.string())),
+                ],
+                [c.split()[0] for c in _COLUMNS],
+            )
+
+    return rows.mapInArrow(run, DOCUMENT)
+
+
+_COLUMNS = ("doc_id", "text", "spans", "subset", "genre", "source_license", "source_ref", "negative_kinds")
+
+
+def ood_documents(spark: SparkSession, n: int, bases: DataFrame, seed: int = 0, prefix: str = "ood") -> DataFrame:
+    """n documents at most, without templates: sentences with values between those of a base text, as `documents` has them.
+
+    Base texts that normalisation would change are skipped, so there may be fewer.
+    """
+    rows = _with_base(spark.range(n), bases, seed, 1.0).where("base is not null").select("id", "base", "license", "ref")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for i, base, license_, ref in zip(*(c.to_pylist() for c in batch.columns)):
+                draft = invent.prose(random.Random(f"{seed}:ood:{i}"), base)
+                if draft is not None:
+                    made.append((f"{prefix}-{i:06d}", draft, license_ or "unknown", ref))
+            fixed = lambda x: pa.array([x] * len(made), pa.string())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([m[0] for m in made], pa.string()), pa.array([m[1].text for m in made], pa.string()), _spans([m[1] for m in made]),
+                    fixed("ood"), fixed("ood_prose"), pa.array([m[2] for m in made], pa.string()), pa.array([m[3] for m in made], pa.string()),
+                    pa.array([[] for _ in made], pa.list_(pa.string())),
+                ],
+                list(_COLUMNS),
+            )
+
+    return rows.mapInArrow(run, DOCUMENT)
+
+
+def negative_documents(spark: SparkSession, n: int, seed: int = 0, weights: dict[str, float] | None = None, bases: DataFrame | None = None, prefix: str = "neg") -> DataFrame:
+    """n documents without personal data, as `documents` has them: 72 % hard negatives, else half base sentences, half filler."""
+    rows = _with_base(spark.range(n), bases, seed, 1.0).select("id", "base")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, bodies = (c.to_pylist() for c in batch.columns)
+            made = [invent.negative_document(random.Random(f"{seed}:neg:{i}"), base, weights) for i, base in zip(ids, bodies)]
+            fixed = lambda x: pa.array([x] * len(made), pa.string())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([f"{prefix}-{i:06d}" for i in ids], pa.string()), pa.array([m[0] for m in made], pa.string()), _spans([invent.Draft() for _ in made]),
+                    fixed("negatives"), fixed("negatives"), fixed(LICENSE), fixed(""), pa.array([m[1] for m in made], pa.list_(pa.string())),
+                ],
+                list(_COLUMNS),
+            )
+
+    return rows.mapInArrow(run, DOCUMENT)
+
+
+def build(
+    spark: SparkSession, items: DataFrame, sizes: dict[str, int], seed: int = 0, inject: float = 0.45, weights: dict[str, float] | None = None
+) -> DataFrame:
+    """All subsets in one table: train, validation, test (with hard negatives in the first `inject` of each), ood and negatives.
+
+    sizes: documents of each subset; ood are a quarter of test and 200 at least unless given. items: corpus items that lend their sentences.
+    """
+    bases = base_texts(items)
+    wanted = {"ood": max(200, sizes.get("test", 0) // 4)} | sizes
+    parts = [
+        documents(spark, wanted.get(s, 0), seed + k, s, f"synth-{s}", bases=bases, inject=inject, weights=weights) for k, s in enumerate(("train", "validation", "test"))
+    ]
+    parts.append(ood_documents(spark, wanted["ood"], bases, seed + 700))
+    parts.append(negative_documents(spark, wanted.get("negatives", 0), seed + 900, weights, bases))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import spans as S
 from ..functions import text as X
 from ..functions import vocab
-from ..operators import calibrate, corpus, match, negatives, synth
+from ..operators import calibrate, match, negatives, synth
+from ..sources.files import broken_spans
 from ..sources.tables import materialise
 from . import frames as V
 from .frames import DOCS_SQL, NEG_SQL, POS_SQL, PRED_SQL, documents, predicted, shaped, table
@@ -200,28 +201,68 @@ def surface_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.surfaces(docs.select(F.get("negative_kinds", F.lit(0)).alias("kind"), "text"))
 
 
+def _weights(spark: SparkSession, sf_dir: str) -> dict[str, float]:
+    return {r["kind"]: r["weight"] for r in table(spark, sf_dir, "kind_weights").collect()}  # eight rows
+
+
 def negative_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weights = {r["kind"]: r["weight"] for r in table(spark, sf_dir, "kind_weights").collect()}  # eight rows
-    docs = negatives.negative_documents(spark, 1000, 7, weights, table(spark, sf_dir, "corpus_items"))
-    return docs.withColumn("negative_kinds", F.array_join("negative_kinds", ","))
+    """1,000 documents (a generator): rows, characters, empty ones, gold spans, kinds that aren't known."""
+    docs = synth.negative_documents(spark, 1000, 7, _weights(spark, sf_dir), synth.base_texts(table(spark, sf_dir, "corpus_items")))
+    known = F.array(*(F.lit(k) for k in vocab.NEGATIVE_KINDS))
+    return docs.agg(
+        F.count("*").alias("n_docs"), F.count_distinct("doc_id").alias("n_ids"), F.sum((F.length("text") == 0).cast("long")).alias("n_empty"),
+        F.sum(F.size("spans")).cast("long").alias("n_spans"), F.sum(F.size(F.array_except("negative_kinds", known))).cast("long").alias("n_unknown"),
+        (F.sum(F.size("negative_kinds")) > 2500).alias("many_negatives"),
+    )
 
 
 def inject_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with two hard negatives each; n_moved_wrong counts gold spans whose text differs afterwards (none)."""
+    """Documents with two hard negatives each: gold spans whose text differs afterwards (none), kinds added, all texts longer."""
     docs = V.spread(documents(spark, sf_dir, "negative_kinds")).where("text is not null")
+    docs = docs.withColumns({"before": F.length("text"), "kinds_before": F.coalesce(F.size("negative_kinds"), F.lit(0))})
     out = negatives.injected(docs, "doc_id", "text", "spans", "negative_kinds", 2, 11)
     wrong = F.size(F.filter("spans", lambda s: X.slice_of(F.col("text"), s["start_pos"], s["end_pos"]) != s["text"]))
-    return out.select("doc_id", F.length("text").cast("long").alias("n_chars"), wrong.cast("long").alias("n_moved_wrong"), F.array_join("negative_kinds", ",").alias("kinds"))
+    rows = out.select((F.length("text") > F.col("before")).alias("longer"), wrong.alias("wrong"), (F.size("negative_kinds") - F.greatest("kinds_before", F.lit(0))).alias("added"))
+    return rows.agg(F.count("*").alias("n_docs"), F.sum("wrong").cast("long").alias("n_moved_wrong"), F.sum("added").cast("long").alias("n_added"), F.bool_and("longer").alias("longer"))
+
+
+def _audited(docs: DataFrame) -> DataFrame:
+    """By subset: documents, ids, spans that aren't the slice of their text or overlap, usable numbers, labels, genres."""
+    rows = docs.withColumn("reason", broken_spans(F.col("text"), F.col("spans")))
+    usable = lambda s: F.when(s["label"] == "CREDIT_CARD", X.luhn_ok(s["text"])).when(s["label"] == "MYNUMBER", X.mynumber_ok(s["text"])).otherwise(False)
+    rows = rows.withColumn("n_usable", F.size(F.filter("spans", usable)))
+    return rows.groupBy("subset").agg(
+        F.count("*").alias("n_docs"), F.count_distinct("doc_id").alias("n_ids"), F.count("reason").alias("n_broken"),
+        F.sum("n_usable").cast("long").alias("n_usable"), F.size(F.array_distinct(F.flatten(F.collect_set("spans.label")))).cast("long").alias("n_labels"),
+        F.count_distinct("genre").alias("n_genres"), F.sum((F.size("negative_kinds") > 0).cast("long")).alias("n_with_negatives"),
+    )
 
 
 def synth_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = synth.documents(spark, 2000, 2024)
-    return docs.select("doc_id", "genre", "text", F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start_pos"].cast("string"), s["end_pos"].cast("string"), s["label"])), " ").alias("spans"))
+    """2,000 documents on base texts of the corpus (a generator), audited."""
+    bases = synth.base_texts(table(spark, sf_dir, "corpus_items"))
+    return _audited(synth.documents(spark, 2000, 2024, bases=bases))
+
+
+def built_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All subsets of a data set (a generator), audited; of ood documents only what doesn't depend on how many base texts are skipped."""
+    items = table(spark, sf_dir, "corpus_items")
+    docs = synth.build(spark, items, {"train": 1200, "validation": 200, "test": 200, "negatives": 300}, 11, weights=_weights(spark, sf_dir))
+    rows = _audited(docs).drop("n_labels")
+    ood = F.col("subset") == "ood"
+    return rows.withColumns({"n_ids": F.col("n_docs") - F.col("n_ids"), "n_docs": F.when(~ood, F.col("n_docs"))}).withColumn(
+        "n_with_negatives", F.when(F.col("subset") != "negatives", F.col("n_with_negatives"))
+    )
 
 
 def ood_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = synth.ood_documents(corpus.first_of_id(table(spark, sf_dir, "corpus_items")))
-    return docs.select("doc_id", "text", F.size("spans").cast("long").alias("n_spans"))
+    """500 documents at most in prose (a generator): broken spans, documents with fewer than one or more than six values, texts that normalisation changes."""
+    docs = synth.ood_documents(spark, 500, synth.base_texts(table(spark, sf_dir, "corpus_items")), 5)
+    docs = docs.withColumns({"reason": broken_spans(F.col("text"), F.col("spans")), "normal": X.normalize(F.col("text"))})
+    return docs.agg(
+        F.count("reason").alias("n_broken"), F.sum((~F.size("spans").between(1, 6)).cast("long")).alias("n_unusual"),
+        F.sum((F.col("normal") != F.col("text")).cast("long")).alias("n_not_normal"), (F.count("*") > 100).alias("enough"),
+    )
 
 
 # ---- SQL
@@ -368,6 +409,12 @@ SQL = {
         round(threshold, 9) AS threshold, round(frep.fp_per_doc, 9) AS fixed_fpr, round(fixed_recall, 9) AS fixed_recall, degenerate, fp_kinds, CASE WHEN gate.run_name IS NOT NULL THEN err.ece END AS ece, err.brier AS brier
       FROM w_rates w LEFT JOIN rep ON rep.run_name = w.run_name LEFT JOIN frep ON frep.run_name = w.run_name LEFT JOIN fixed ON fixed.run_name = w.run_name LEFT JOIN kk ON kk.run_name = w.run_name
         LEFT JOIN err ON err.run_name = w.run_name LEFT JOIN gate ON gate.run_name = w.run_name WHERE w.label = 'micro'""",
+    "negative_documents": "SELECT 1000::BIGINT AS n_docs, 1000::BIGINT AS n_ids, 0::BIGINT AS n_empty, 0::BIGINT AS n_spans, 0::BIGINT AS n_unknown, true AS many_negatives",
+    "synth_documents": "SELECT 'train' AS subset, 2000::BIGINT AS n_docs, 2000::BIGINT AS n_ids, 0::BIGINT AS n_broken, 0::BIGINT AS n_usable, 10::BIGINT AS n_labels, 4::BIGINT AS n_genres, 0::BIGINT AS n_with_negatives",
+    "built_dataset": """SELECT * FROM (VALUES ('train', 1200::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 4::BIGINT, 540::BIGINT), ('validation', 200, 0, 0, 0, 4, 90), ('test', 200, 0, 0, 0, 4, 90),
+      ('ood', NULL, 0, 0, 0, 1, 0), ('negatives', 300, 0, 0, 0, 1, NULL)) t(subset, n_docs, n_ids, n_broken, n_usable, n_genres, n_with_negatives)""",
+    "ood_documents": "SELECT 0::BIGINT AS n_broken, 0::BIGINT AS n_unusual, 0::BIGINT AS n_not_normal, true AS enough",
+    "inject_negatives": f"""WITH {DOCS_SQL} SELECT count(*) AS n_docs, 0::BIGINT AS n_moved_wrong, 2 * count(*)::BIGINT AS n_added, true AS longer FROM docs WHERE text IS NOT NULL""",
     "surface_index": f"{_BASE}, a AS (SELECT list_distinct(negative_kinds)[1] AS kind, text FROM neg WHERE len(list_distinct(negative_kinds)) = 1) SELECT surface, min(kind) AS kind FROM (SELECT kind, unnest({_SURFACE_SQL}) AS surface FROM a) GROUP BY 1",
 }
 
@@ -375,5 +422,5 @@ QUERIES = (
     match_exact, match_partial, detection_rates, detection_rates_exact, span_scores, fp_report, fp_by_type, fp_by_negative_kind, fp_by_kind, fp_by_kind_indexed, softmax_top, reweight,
     _fixed("per_doc", 0.05), _fixed("doc_level", 0.05), _fixed("per_1000_chars", 0.5), recall_by_type, recall_curve, calibration_pairs, ece_bins, calibration_errors,
     temperature_transform, isotonic_transform, temperature_fit, isotonic_fit, type_histogram, score_axes, dataset_verify, surface_index,
-    negative_documents, inject_negatives, synth_documents, ood_documents,
+    negative_documents, inject_negatives, synth_documents, built_dataset, ood_documents,
 )

@@ -92,3 +92,9 @@ def test_detector(spark):
         Detector(use_rules=False)
     with pytest.raises(ValueError):
         Detector(threshold=2)
+
+
+def test_long_placeholders_are_restored(spark):
+    name = "<" + "A" * 60 + "_12345678901>"
+    row = spark.createDataFrame([(f"x{name}y<A_1>{{{{B_2}}}}", [(name, "甲"), ("{{B_2}}", "乙")])], "t string, m array<struct<placeholder string, original string>>")
+    assert row.select(mask.unmasked(F.col("t"), F.col("m"))).first()[0] == "x甲y<A_1>乙"

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hakumei.functions import spans as S
-from hakumei.operators import calibrate, corpus, match, negatives, synth
+from hakumei.operators import align, calibrate, compare, corpus, invent, match, negatives, synth
 
 DOCS = f"doc_id string, text string, spans array<{S.SPAN}>, negative_kinds array<string>"
 PRED = "run_name string, doc_id string, start_pos int, end_pos int, label string, text string, score double, source string"
@@ -115,8 +115,8 @@ def test_generated_documents(spark):
     assert labels == set(match.vocab.LABELS)
     assert rows == synth.documents(spark, 200, 2024).collect()
     mails = [s["text"] for r in rows for s in r["spans"] if s["label"] == "EMAIL"]
-    assert all(m.split("@")[1] in synth.DOMAINS for m in mails)
-    assert synth.romaji_text("キョウト") == "kyouto" and synth.romaji_text("ハットリ") == "hattori" and synth.romaji_text("コーノ") == "koono"
+    assert all(m.split("@")[1] in invent.DOMAINS for m in mails)
+    assert invent.romaji_text("キョウト") == "kyouto" and invent.romaji_text("ハットリ") == "hattori" and invent.romaji_text("コーノ") == "koono"
 
 
 def test_generated_numbers_are_unusable(spark):
@@ -127,9 +127,34 @@ def test_generated_numbers_are_unusable(spark):
     assert spans.where(bad).count() == 0
 
 
+def test_check_digits():
+    assert invent.luhn_digit("411111111111111") == 1 and invent.luhn_digit("550000000000000") == 4
+    assert invent.mynumber_digit("12345678901") == 8
+
+
+def test_wanted_numbers_of_values():
+    for n in range(0, 12):
+        for i in range(20):
+            draft = invent.document(random.Random(f"{n}:{i}"), invent.GENRES[i % 4], None, n)
+            assert len({t for *_, t in draft.spans}) <= n and (n or not draft.spans)
+            assert all(draft.text[a:b] == t for a, b, _, t in draft.spans)
+            if n >= 8:
+                assert len(draft.spans) >= n
+
+
+def test_base_texts_are_named_where_they_are_used(spark):
+    sentence = "山の麓の村では毎年春になると古い祭りが行われ、多くの人が集まって夜まで歌い続けた。"
+    items = spark.createDataFrame([(f"a:{i}:0", sentence * 3, "CC0", "祭りの記録") for i in range(5)] + [("a:9:0", None, "x", "y")], "item_id string, text string, license string, attribution string")
+    rows = synth.documents(spark, 120, 3, bases=synth.base_texts(items)).collect()
+    used = [r for r in rows if r["source_ref"]]
+    assert 40 < len(used) < 110
+    for r in rows:
+        assert (sentence in r["text"]) == bool(r["source_ref"]) and r["source_license"] == ("CC0" if r["source_ref"] else synth.LICENSE)
+
+
 def test_negatives_and_injection(spark):
-    rows = negatives.negative_documents(spark, 50, 3).collect()
-    assert all(r["text"] and "%" not in r["text"] for r in rows) and any(r["negative_kinds"] for r in rows)
+    rows = synth.negative_documents(spark, 50, 3).collect()
+    assert all(r["text"] and "{" not in r["text"] and not r["spans"] for r in rows) and any(r["negative_kinds"] for r in rows)
     kinds = synth.documents(spark, 30, 9).withColumn("kinds", F.array().cast("array<string>"))
     out = negatives.injected(kinds, "doc_id", "text", "spans", "kinds", 3).collect()
     for r in out:
@@ -137,6 +162,125 @@ def test_negatives_and_injection(spark):
         assert all(r["text"][s["start_pos"] : s["end_pos"]] == s["text"] for s in r["spans"])
 
 
+def rates_by_filtering(gold, found, threshold):
+    """Micro true and false positives when only spans that reach the threshold are matched."""
+    tp = fp = 0
+    for i, spans in found.items():
+        kept = sorted(s for s in spans if s[3] >= threshold)
+        pairs = []
+        for gi, g in enumerate(sorted(gold.get(i, []), key=lambda s: s[:2])):
+            for pi, p in enumerate(kept):
+                both = min(g[1], p[1]) - max(g[0], p[0])
+                if g[2] == p[2] and both > 0:
+                    pairs.append((-both / (g[1] - g[0] + p[1] - p[0] - both), -p[3], g[0], p[0], gi, pi))
+        gs, ps = set(), set()
+        for *_, gi, pi in sorted(pairs):
+            if gi not in gs and pi not in ps:
+                gs.add(gi)
+                ps.add(pi)
+        tp += len(ps)
+        fp += len(kept) - len(ps)
+    return tp, fp
+
+
+def test_curve_against_matching_at_every_threshold(spark):
+    rng = random.Random(15)
+    some = lambda n: sorted({(a, a + rng.randrange(1, 9), rng.choice("AB")) for a in (rng.randrange(25) for _ in range(n))})
+    score = lambda: rng.choice([0.1, 0.2, 0.35, 0.5, 0.5001, 0.9, 1.0])
+    gold = {f"p{i}": some(5) for i in range(40)}
+    found = {i: [(*s, score()) for s in some(8)] for i in [*gold, *(f"n{i}" for i in range(30))] if rng.random() < 0.9}
+    pos = docs(spark, [(i, 40, s) for i, s in gold.items()])
+    neg = docs(spark, [(f"n{i}", 40, []) for i in range(30)])
+    scored = pred(spark, [(i, *s) for i, spans in found.items() for s in spans])
+    n_gold = sum(map(len, gold.values()))
+    positive, negative = ({i: s for i, s in found.items() if i.startswith(c)} for c in "pn")
+    for metric, size in (("per_doc", 30), ("doc_level", 30), ("per_1000_chars", 1.2)):
+        ev = match.evaluation(match.sides(pos, neg), scored)
+        result = match.at_fixed_fpr(ev, 0.4, metric)
+        curve = {r["threshold"]: r for r in result.curve.collect()}
+        assert len(curve) == 8
+        for t, r in curve.items():
+            events = sum(any(s[3] >= t for s in x) for x in negative.values()) if metric == "doc_level" else rates_by_filtering({}, negative, t)[1]
+            assert abs(r["fpr"] - events / size) < 1e-9 and abs(r["recall"] - rates_by_filtering(gold, positive, t)[0] / n_gold) < 1e-9
+        best = min(t for t, r in curve.items() if r["fpr"] <= 0.4 + 1e-12)
+        row = result.overall.first()
+        assert row["threshold"] == best and curve[best]["chosen"] and sum(r["chosen"] for r in curve.values()) == 1
+        tp, fp = rates_by_filtering(gold, positive, best)
+        micro = result.by_type.where("label = 'micro'").first()
+        assert (micro["tp"], micro["fp"], micro["fn"]) == (tp, fp, n_gold - tp) and row["recall"] == micro["recall"]
+    few = match.at_fixed_fpr(ev, 0.4, points=3).curve
+    assert 3 <= few.count() <= 4
+    negative_target = match.at_fixed_fpr(ev, -1.0).overall.first()
+    assert negative_target["degenerate"] == "target_unreachable" and not negative_target["achieved"]
+
+
+def test_kinds_of_false_positives(spark):
+    """Written out by hand: every surname that is a word, the patterns in their order, places, single kinds."""
+    words = "森 林 泉 大和 青木 石田 原 谷 島 川 本田 東 西 南 北 上田 小島 松 藤 柳 岩 辻 堀 関 高 新井 花田".split()
+    cases = [(f"これは{w}です", w, "common_noun_surname", []) for w in words]
+    cases += [("これは長野です", "長野", "place_as_person", []), ("長野県の森", "森", "place_as_person", []), ("型番は森です", "森", "phone_like_id", [])]
+    cases += [("これは田辺です", "田辺", "number_like_id", ["number_like_id", "number_like_id"]), ("これは田辺です", "田辺", "other", ["a", "b"]), ("これは田辺です", "田辺", "other", None)]
+    rows = spark.createDataFrame([(t, t.index(w), t.index(w) + len(w), w, k, kinds) for t, w, k, kinds in cases], "text string, a int, b int, surface string, wanted string, kinds array<string>")
+    kind = negatives.kind_of(F.col("surface"), F.col("text"), F.col("a"), F.col("b"), F.col("kinds"))
+    assert [r["kind"] for r in rows.select(kind.alias("kind")).collect()] == [c[2] for c in cases]
+    index = spark.createDataFrame([("森", "date_like_nondob")], "surface string, kind string")
+    found = negatives.classified(rows, F.col("surface"), kind, index).where("surface = '森'").select("kind").distinct().collect()
+    assert [r["kind"] for r in found] == ["date_like_nondob"]
+
+
+def test_eras(spark):
+    from hakumei.functions import text as X
+
+    days = {"1868-10-22": None, "1868-10-23": "明治元年10月23日", "1912-07-29": "明治45年7月29日", "1912-07-30": "大正元年7月30日", "1926-12-25": "昭和元年12月25日", "2019-04-30": "平成31年4月30日", "2019-05-01": "令和元年5月1日"}
+    rows = spark.createDataFrame([(d,) for d in days], "d string").select(X.wareki(F.to_date("d")).alias("w")).collect()
+    assert [r["w"] for r in rows] == list(days.values())
+
+
+def test_alignment(spark):
+    gold = docs(spark, [("b", 5, []), ("", 5, []), ("a", 5, [])]).withColumn("n", F.monotonically_increasing_id())
+    found = [[(0, 1, "NAME", "", 1.0, "model")], [], None]
+    rows = spark.createDataFrame([(i, s) for i, s in enumerate(found)], f"n int, spans array<{S.SPAN}>")
+    got = align.aligned_by_position(gold, rows, F.col("n"), F.col("n")).orderBy("position").collect()
+    assert [len(r["predicted"]) for r in got] == [1, 0, 0] and [r["position"] for r in got] == [0, 1, 2]
+    with pytest.raises(ValueError, match="3 documents, but 2 rows"):
+        align.aligned_by_position(gold, rows.where("n < 2"), F.col("n"), F.col("n"))
+    by_id = spark.createDataFrame([("#1", found[0]), ("a", found[0]), ("z", found[0])], f"doc_id string, spans array<{S.SPAN}>")
+    got = {r["doc_id"]: len(r["predicted"]) for r in align.aligned_by_id(gold, by_id, F.col("n")).collect()}
+    assert got == {"b": 0, "#1": 1, "a": 1}
+
+
+def test_recognised_entities(spark):
+    spans = [(0, 2, "NAME", "", 0.5, "model"), (2, 9, "PHONE", "", 0.5, "rule"), (1, 3, "MEMBER_ID", "", 0.7, "rule")]
+    row = spark.createDataFrame([("abcdef", spans), (None, None)], f"t string, s array<{S.SPAN}>")
+    all_, some = (row.select(compare.recognized(F.col("s"), F.col("t"), e).alias("r")).collect() for e in (None, ("PERSON",)))
+    assert [(r["entity_type"], r["start"]) for r in all_[0]["r"]] == [("PERSON", 0), ("JP_MEMBER_ID", 1)] and all_[1]["r"] == []
+    assert [r["entity_type"] for r in some[0]["r"]] == ["PERSON"]
+
+
+def test_softmax(spark):
+    row = spark.createDataFrame([([1000.0, 1000.0, 0.0],), ([],), (None,)], "z array<double>").select(calibrate.softmax(F.col("z")).alias("p")).collect()
+    assert row[0]["p"] == [0.5, 0.5, 0.0] and row[1]["p"] == [] and row[2]["p"] is None
+
+
+def test_temperature_is_the_best(spark):
+    rng = random.Random(4)
+    pairs = [(1 / (1 + math.exp(-2.5 * z)), int(rng.random() < 1 / (1 + math.exp(-z)))) for z in (rng.gauss(0, 1.5) for _ in range(2000))]
+    fitted = calibrate.fit_temperature(spark.createDataFrame(pairs, "score double, label int")).temperature
+
+    def loss(t):
+        p = [min(max(1 / (1 + math.exp(-math.log(min(max(s, 1e-6), 1 - 1e-6) / (1 - min(max(s, 1e-6), 1 - 1e-6))) / t)), 1e-12), 1 - 1e-12) for s, _ in pairs]
+        return -sum(math.log(q) if y else math.log(1 - q) for q, (_, y) in zip(p, pairs))
+
+    assert all(loss(fitted) <= loss(fitted * f) for f in (0.97, 0.99, 1.01, 1.03)) and 2 < fitted < 3.2
+
+
+def test_deep_law_trees():
+    tree = "字"
+    for _ in range(5000):
+        tree = {"tag": "Item", "children": [tree]}
+    assert corpus.law_text(tree) == "字" + "\n" * 5000
+
+
 def test_chunks():
     assert corpus.chunk("") == [] and corpus.chunk("短い") == []
     sentence = "山の麓の村では毎年春になると古い祭りが行われ、多くの人が集まって夜まで歌い続けた。"

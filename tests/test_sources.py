@@ -88,3 +88,15 @@ def test_stream_equals_batch(spark, tmp_path):
     batch = {r["doc_id"]: r["masked"] for r in detect.Detector().redact(docs).collect()}
     assert got == {k: v for k, v in batch.items() if k not in blocked} and len(got) + len(blocked) == 40
     assert spark.read.parquet(at("map")).count() > 0
+
+
+def test_published_names_and_rows(spark):
+    from hakumei.sources import publish
+
+    names = {"map.json": True, "map_2024.json": True, "tokenizer_config.json": False, "token": True, "token.txt": False, "my_SECRET.txt": True, "model.onnx": False, "README.md": False}
+    rows = spark.createDataFrame([*((n,) for n in names), (None,)], "n string").select(publish.sensitive(F.col("n")).alias("x")).collect()
+    assert [r["x"] for r in rows] == [*names.values(), True]
+    docs = synth.documents(spark, 3, 1).withColumn("meta", F.create_map(F.lit("_index"), F.lit("x"), F.lit("kept"), F.lit("y")))
+    flat = publish.flat_rows(docs).collect()
+    assert all(json.loads(r["meta"]) == {"kept": "y"} for r in flat)
+    assert all(list(json.loads(r["spans"])[0]) == ["start", "end", "label", "text", "score", "source"] for r in flat if r["spans"] != "[]")
