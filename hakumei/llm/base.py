@@ -1,15 +1,20 @@
-"""Shared plumbing of the training-data operators: reading tables, materialising
-intermediate tables in the cluster's shared folder."""
+"""Shared plumbing of the training-data operators: reading tables, names of sources and subsets.
 
-from __future__ import annotations
+Intermediate tables go to the cluster's shared folder, see sources.tables.
+"""
 
-import atexit
-import tempfile
-import uuid
+from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import materialise, put_file, release, shared_dir
+
+__all__ = [
+    "SOURCE_GENRES", "SUBSETS", "bounded_rows", "canonical_subset", "fold_code", "materialise", "put_file", "release", "shared_dir", "table",
+    "true_genre", "true_source",
+]
+
 #: The six sources with their genre, and the spellings of a source that are
 #: folded to it. Fixed values of the test data's description.
 SOURCE_GENRES = {
@@ -29,57 +34,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; on one machine (tests) one of our own if it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path and not (spark.sparkContext.master + "[").startswith("local["):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="hakumei-checkpoint-")
-        spark.sparkContext.setCheckpointDir(path)
-        path = spark.sparkContext.getCheckpointDir()
-    return path.rstrip("/")
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-        jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
-    except Exception:  # the session may have ended before the interpreter does
-        pass
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it again.
-
-    Cuts the lineage with a table that survives the loss of executors; the
-    table is removed when it is released, or when the interpreter ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/hakumei-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    table_ = spark.read.schema(df.schema).parquet(path)
-    table_._materialised = path
-    return table_
-
-
-def put_file(spark: SparkSession, path: str, data: bytes) -> None:
-    """Write a small file to the shared folder; it is removed when the interpreter ends."""
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    out = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).create(jvm_path, True)
-    try:
-        out.write(bytearray(data))
-    finally:
-        out.close()
-    atexit.register(_remove, spark, path)
-
-
-def release(table_: DataFrame) -> None:
-    """Remove a materialised table that nothing reads any more."""
-    _remove(table_.sparkSession, table_._materialised)
-
-
 def bounded_rows(df: DataFrame, limit: int, what: str) -> list:
     """Rows of a table that is small by definition; more than limit rows are an error, not cut off."""
     rows = df.limit(limit + 1).collect()

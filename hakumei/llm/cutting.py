@@ -79,14 +79,18 @@ def pieces(text: str, most: int, overlap: int) -> list[tuple[int, int]]:
     if len(text) <= most:
         return [(0, len(text))]
     value = strengths(text)
-    index = RangeMaximum(value, most)
+    width = max(16 * most, 65_536)
+    base, index = 0, None  # the table covers `width` places at a time, however long the text is
     out = []
     start = end = 0
     while start + most < len(text):
         first, last = end + 1, start + most
-        cut = index.best(max(first, start + most // 2), last)
+        if index is None or last > base + width:
+            base, index = first, RangeMaximum(value[first : first + width + 1], most)
+        best = lambda low, high: base + index.best(low - base, high - base)  # noqa: B023, E731
+        cut = best(max(first, start + most // 2), last)
         if value[cut] < SENTENCE:
-            wide = index.best(first, last)
+            wide = best(first, last)
             if value[wide] >= SENTENCE or value[cut] == INSIDE:
                 cut = wide
         out.append((start, cut))
