@@ -354,6 +354,20 @@ _Q = f"least(greatest({_CLIP}, 1e-6::DOUBLE), 1 - 1e-6::DOUBLE)"
 _ERR = f"""pb AS (SELECT run_name, least(floor({_CLIP} * 15), 14)::BIGINT AS bin, count(*) AS n, sum({_CLIP}) AS s, sum(label)::DOUBLE AS y, sum(({_CLIP} - label) * ({_CLIP} - label)) AS sq,
     sum(-(label * ln({_Q}) + (1 - label) * ln(1 - {_Q}))) AS nll FROM prs GROUP BY 1, 2),
   err AS (SELECT run_name, sum(n)::BIGINT AS n, round(sum(n * abs(y / n - s / n)) / sum(n), 9) AS ece, round(max(abs(y / n - s / n)), 9) AS mce, round(sum(sq) / sum(n), 9) AS brier, round(sum(nll) / sum(n), 9) AS nll FROM pb GROUP BY 1)"""
+_STAGES = f"""sc AS (SELECT 'before' AS run_name, score, label FROM prs UNION ALL SELECT 'after', after, label FROM aft), """
+_FIT_ERR = _ERR.replace("FROM prs", "FROM sc")
+#: The temperature by bisecting the slope of the likelihood over its inverse.
+_TEMPERATURE_SQL = f"""cn AS (SELECT round({_CLIP}, 6) AS sx, label AS y, count(*) AS n FROM prs GROUP BY 1, 2),
+  ls AS (SELECT list(n) AS n, list(y) AS y, list(ln(least(greatest(sx, 1e-6::DOUBLE), 1 - 1e-6::DOUBLE) / (1 - least(greatest(sx, 1e-6::DOUBLE), 1 - 1e-6::DOUBLE)))) AS z FROM cn),
+  tm AS (SELECT exp(-list_reduce(range(0, 70), lambda e, k: CASE WHEN list_sum(list_transform(z, lambda x, i: n[i] * x * (1 / (1 + exp(-x * exp((e.a + e.b) / 2))) - y[i]))) > 0
+    THEN {{'a': e.a, 'b': (e.a + e.b) / 2}} ELSE {{'a': (e.a + e.b) / 2, 'b': e.b}} END, {{'a': ln(0.01::DOUBLE), 'b': ln(100.0::DOUBLE)}}).a) AS t FROM ls),
+  aft AS (SELECT 1 / (1 + exp(-ln({_Q} / (1 - {_Q})) / t)) AS after, label FROM prs, tm)"""
+#: The monotone fit as the largest over all beginnings of the least over all ends of the average between.
+_ISOTONIC_SQL = f"""cn AS (SELECT {_CLIP} AS x, sum(label)::DOUBLE AS y, count(*) AS n FROM prs GROUP BY 1), rk AS (SELECT *, row_number() OVER (ORDER BY x) AS i FROM cn),
+  av AS (SELECT a.i AS j, b.i AS k, sum(b.y) OVER (PARTITION BY a.i ORDER BY b.i) / sum(b.n) OVER (PARTITION BY a.i ORDER BY b.i) AS m FROM rk a JOIN rk b ON b.i >= a.i),
+  lw AS (SELECT j, k AS i, min(m) OVER (PARTITION BY j ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS m FROM av), ft AS (SELECT i, max(m) AS f FROM lw GROUP BY i),
+  kn AS (SELECT sum(CASE WHEN c = 1 THEN 1 ELSE 2 END)::BIGINT AS n_knots FROM (SELECT round(f, 12), count(*) AS c FROM ft GROUP BY 1)),
+  aft AS (SELECT f AS after, label FROM prs JOIN rk ON rk.x = {_CLIP} JOIN ft USING (i))"""
 _KNOT = "CASE WHEN s IS NULL THEN NULL WHEN s >= {x3} THEN {y3} WHEN s <= {x0} THEN {y0} ".format(x3=KNOTS_X[-1], y3=KNOTS_Y[-1], x0=KNOTS_X[0], y0=KNOTS_Y[0]) + " ".join(
     f"WHEN s <= {b} THEN ({d}::DOUBLE - {c}::DOUBLE) / ({b}::DOUBLE - {a}::DOUBLE) * (s - {a}::DOUBLE) + {c}::DOUBLE" for a, b, c, d in zip(KNOTS_X, KNOTS_X[1:], KNOTS_Y, KNOTS_Y[1:])
 ) + " END"
@@ -399,6 +413,8 @@ SQL = {
     "calibration_errors": f"{_EVAL}, {_ERR} SELECT * FROM err",
     "temperature_transform": f"SELECT DISTINCT round(score, 9) AS score, round(1 / (1 + exp(-ln({_Q} / (1 - {_Q})) / {TEMPERATURE}::DOUBLE)), 9) AS calibrated FROM predictions",
     "isotonic_transform": f"SELECT DISTINCT round(score, 9) AS score, round({_KNOT}, 9) AS calibrated FROM (SELECT score, {_CLIP} AS s FROM predictions)",
+    "temperature_fit": f"{_EVAL}, {_TEMPERATURE_SQL}, {_STAGES}{_FIT_ERR} SELECT run_name AS stage, n, ece, mce, brier, nll, (SELECT round(t, 9) FROM tm) AS temperature, 0::BIGINT AS n_knots FROM err",
+    "isotonic_fit": f"{_EVAL}, {_ISOTONIC_SQL}, {_STAGES}{_FIT_ERR} SELECT run_name AS stage, n, ece, mce, brier, nll, NULL::DOUBLE AS temperature, (SELECT n_knots FROM kn) AS n_knots FROM err",
     "type_histogram": f"WITH {DOCS_SQL} SELECT s.label AS label, count(*) AS n FROM (SELECT unnest(spans) AS s FROM docs) GROUP BY 1",
     "score_axes": f"""{_KINDS}, {_threshold_sql("per_doc", 0.05)}, {_rates_sql("partial", "cut", x="c_")}, fixed AS (SELECT rates.run_name, threshold, recall AS fixed_recall, degenerate FROM rates JOIN thr ON thr.run_name = rates.run_name WHERE label = 'micro'),
       {_report_sql()}, {_report_sql("cut", "frep")}, {_rates_sql("partial", x="w_").replace(", cnt AS", ", w_cnt AS").replace("FROM cnt", "FROM w_cnt").replace("sup AS (", "w_sup AS (").replace("JOIN sup", "JOIN w_sup").replace("fll AS (", "w_fll AS (").replace("FROM fll", "FROM w_fll").replace(" u AS (", " w_u AS (").replace("FROM u)", "FROM w_u)").replace(" pr AS (", " w_pr AS (").replace("FROM pr)", "FROM w_pr)").replace(" rt AS (", " w_rt AS (").replace("FROM rt ", "FROM w_rt ").replace("rates AS (", "w_rates AS (")},
