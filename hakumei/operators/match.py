@@ -193,8 +193,9 @@ FPR_COLUMN = {"per_doc": "fp_per_doc", "doc_level": "doc_level_fp_rate", "per_10
 #: Points of a curve; the chosen threshold is drawn beside them.
 CURVE_POINTS = 256
 
-# Rows of an evaluation that aren't about a label.
-_RUN, _DOC, _POSITIVES, _NEGATIVES = "#run", "#doc", "#positives", "#negatives"
+# Rows of an evaluation that aren't about spans found: a run, a document with false positives, documents of either side, gold spans of a label.
+_RUN, _DOC, _POSITIVES, _NEGATIVES, _GOLD = "#run", "#doc", "#positives", "#negatives", "#gold "
+_ENTRY = "array<struct<run_name:string,label:string,score:double,tp:int,fp:int>>"
 
 
 @dataclass
@@ -206,32 +207,49 @@ class Evaluation:
 
 
 def evaluation(docs: DataFrame, predicted: DataFrame, mode: str = "partial") -> Evaluation:
-    """What the sweep needs of documents and predictions, small and materialised.
+    """What the sweep needs of documents and predictions, from one pass over either; small and materialised.
 
-    docs: doc_id, text, spans, negative (boolean), each document once. Predictions for other documents are ignored, but their run is known.
+    docs: doc_id, spans, negative (boolean) and text or n_chars, each document once. Predictions for other documents are ignored, but their run is known.
     """
     _checked(mode)
-    gold = F.when(F.col("negative"), S.no_spans()).otherwise(S.by_position(S.present(F.col("spans"))))
-    sides = docs.select("doc_id", "negative", _bare(gold).alias("gold"))
-    rows = predicted.select("run_name", "doc_id", _bare(F.col("spans")).alias("found")).join(sides, "doc_id", "left")
-    found = F.when(F.col("negative").isNotNull(), F.col("found"))
+    chars = F.col("n_chars") if "n_chars" in docs.columns else F.length("text")
+    gold = F.when(F.col("negative"), S.no_spans()).otherwise(S.present(F.col("spans")))
+    sides = docs.select("doc_id", "negative", _bare(gold).alias("gold"), F.coalesce(chars, F.lit(0)).cast("int").alias("n_chars"))
+    found = predicted.select("doc_id", F.struct("run_name", _bare(F.col("spans")).alias("spans")).alias("p"))
+    rows = sides.join(found.groupBy("doc_id").agg(F.collect_list("p").alias("runs")), "doc_id", "full")
+    rows = rows.withColumn("gold", S.by_position(F.col("gold"))).select("negative", "gold", "n_chars", F.posexplode_outer("runs").alias("k", "p"))
     run = lambda g, p: kernels.levels(g, p, mode)
-    rows = rows.withColumn("levels", kernels.arrow_function(run, kernels.LEVEL)(F.col("gold"), found))
-    entry = lambda label, score, fp: F.struct(
-        F.lit(label).alias("label"), score.alias("score"), F.lit(0).alias("tp"), F.lit(fp).alias("fp")
-    )
+    spans = F.when(F.col("negative").isNotNull(), F.col("p.spans"))
+    rows = rows.withColumn("levels", kernels.arrow_function(run, kernels.LEVEL)(F.col("gold"), spans))
+
+    def entry(run_name: Column, label: Column, score: Column, tp: Column, fp: Column) -> Column:
+        return F.struct(run_name.alias("run_name"), label.alias("label"), score.alias("score"), tp.alias("tp"), fp.alias("fp"))
+
+    none, name = F.lit(None).cast("double"), F.col("p.run_name")
     every = F.concat(
-        F.coalesce("levels", F.array().cast(kernels.LEVEL)), F.array(entry(_RUN, F.lit(None).cast("double"), 0)),
-        F.when(F.col("negative") & (F.size("found") > 0), F.array(entry(_DOC, F.array_max("found.score"), 1))).otherwise(F.array().cast(kernels.LEVEL)),
+        F.transform("levels", lambda c: entry(name, c["label"], c["score"], c["tp"], c["fp"])),
+        _if(name.isNotNull(), F.array(entry(name, F.lit(_RUN), none, F.lit(0), F.lit(0)))),
+        _if(F.col("negative") & (F.size("p.spans") > 0), F.array(entry(name, F.lit(_DOC), F.array_max("p.spans.score"), F.lit(0), F.lit(1)))),
+        # what a document has without predictions, once
+        _if(
+            F.col("negative").isNotNull() & (F.coalesce("k", F.lit(0)) == 0),
+            F.concat(
+                F.array(entry(F.lit(None).cast("string"), F.when(F.col("negative"), _NEGATIVES).otherwise(_POSITIVES), none, F.lit(1), F.col("n_chars"))),
+                F.transform("gold", lambda g: entry(F.lit(None).cast("string"), F.concat(F.lit(_GOLD), g["label"]), none, F.lit(1), F.lit(0))),
+            ),
+        ),
     )
-    exploded = rows.select("run_name", "negative", F.explode(every).alias("c")).select("run_name", "negative", "c.*")
+    exploded = rows.select("negative", F.explode(every).alias("c")).select("negative", "c.*")
     changes = exploded.groupBy("run_name", "negative", "label", "score").agg(*(F.sum(c).cast("long").alias(c) for c in ("tp", "fp")))
-    labels = F.when(F.col("negative"), F.array(F.lit(_NEGATIVES))).otherwise(
-        F.concat(F.array(F.lit(_POSITIVES)), F.transform(S.present(F.col("spans")), lambda s: s["label"]))
-    )
-    counted = docs.select(F.explode(labels).alias("label"), F.coalesce(F.length("text"), F.lit(0)).alias("chars"))
-    totals = counted.groupBy("label").agg(F.count("*").alias("n"), F.sum("chars").cast("long").alias("n_chars"))
-    return Evaluation(materialise(changes, "changes"), materialise(totals, "totals"))
+    changes = materialise(changes, "changes")
+    label = F.col("label")
+    whole = changes.where(label.isin(_POSITIVES, _NEGATIVES) | label.startswith(_GOLD))
+    name = F.when(label.startswith(_GOLD), F.substring(label, len(_GOLD) + 1, F.length(label))).otherwise(label)
+    return Evaluation(changes, whole.select(name.alias("label"), F.col("tp").alias("n"), F.col("fp").alias("n_chars")))
+
+
+def _if(condition: Column, entries: Column) -> Column:
+    return F.when(condition, entries).otherwise(F.array().cast(_ENTRY))
 
 
 def _side(ev: Evaluation, negative: bool) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterable
 from dataclasses import asdict, dataclass
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -80,10 +81,7 @@ def _of_rule(text: Column, rule: Rule, width: int) -> Column:
     needs = rule.context if rule.require_context else ("@",) if rule in DEFAULT_RULES and "@" in rule.pattern else ()
     if not needs:
         return kept
-    possible = F.contains(text, F.lit(needs[0]))
-    for word in needs[1:]:
-        possible = possible | F.contains(text, F.lit(word))
-    return F.when(possible, kept).otherwise(S.no_spans(CANDIDATE))
+    return F.when(X.any_word(text, needs), kept).otherwise(S.no_spans(CANDIDATE))
 
 
 def with_candidates(
@@ -95,14 +93,20 @@ def with_candidates(
     Null and empty texts have none. Where only default rules are chosen, only texts with a digit or
     an at sign are searched, which none of them can do without; other rules search every text.
     """
-    chosen = selected(rules, types)
-    none = S.no_spans(CANDIDATE)
+    chosen = tuple(selected(rules, types))
     if not chosen:
-        return df.withColumn(out, none)
+        return df.withColumn(out, S.no_spans(CANDIDATE))
+    checks = tuple(VALIDATORS[r.validator] if r.validator else None for r in chosen)
+    return df.withColumn(out, _candidates(df.sparkSession.sparkContext.applicationId, text, chosen, checks, width))
+
+
+@lru_cache(maxsize=64)
+def _candidates(application: str, text: str, chosen: tuple[Rule, ...], checks: tuple, width: int) -> Column:
+    """The expression for a text column by name; it is the same for every table, so an application builds it once for the same rules and checks."""
     col = F.col(text)
     found = F.concat(*(_of_rule(col, r, width) for r in chosen))
     searched = col.rlike(r"(?U)[\d@]") if all(r in DEFAULT_RULES for r in chosen) else col != ""
-    return df.withColumn(out, F.when(searched, found).otherwise(none))
+    return F.when(searched, found).otherwise(S.no_spans(CANDIDATE))
 
 
 def resolved(candidates: Column) -> Column:

@@ -65,9 +65,11 @@ def negatives(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
 
 
 def evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Positives and negatives in one table, read once: doc_id, text, spans, negative."""
-    docs = documents(spark, sf_dir).where(F.col("subset").isin("validation", "test", "ood", "negatives"))
-    return docs.select("doc_id", "text", "spans", (F.col("subset") == "negatives").alias("negative"))
+    """Positives and negatives in one table: doc_id, spans, negative, n_chars. Texts aren't moved."""
+    rows = table(spark, sf_dir, "annotated_docs").select("doc_id", "spans", "subset", F.length("text").alias("n_chars"), "loaded_at")
+    once = rows.groupBy("doc_id").agg(*(F.max_by(c, "loaded_at").alias(c) for c in ("spans", "subset", "n_chars")))
+    docs = once.withColumn("subset", subset_name(F.col("subset"))).where(F.col("subset").isin("validation", "test", "ood", "negatives"))
+    return docs.select("doc_id", F.coalesce("spans", S.no_spans()).alias("spans"), (F.col("subset") == "negatives").alias("negative"), "n_chars")
 
 
 def predicted(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Detection and masking of streams. Documents are independent, so there is no state and no watermark."""
+"""Detection and masking of streams without state, since documents are independent; counts per window with state and a watermark."""
 
 from __future__ import annotations
 
