@@ -114,20 +114,23 @@ def detection_rates(docs: DataFrame, predicted: DataFrame, mode: str = "partial"
 
 
 def _rated(counts: DataFrame, support: DataFrame) -> DataFrame:
-    """Rates from (run_name, label, tp, fp) and (run_name, label, support), with 'micro' and 'macro'."""
-    full = counts.join(support, ["run_name", "label"], "full").na.fill(0, ["tp", "fp", "support"])
-    full = full.withColumn("fn", F.col("support") - F.col("tp"))
-    sums = [F.sum(c).alias(c) for c in ("tp", "fp", "fn", "support")]
-    both = full.select("run_name", "label", "tp", "fp", "fn", "support").unionByName(
-        full.groupBy("run_name").agg(*sums).withColumn("label", F.lit("micro"))
+    """Rates from (run_name, label, tp, fp) and (run_name, label, support), with 'micro' and 'macro'; a run's labels are few."""
+    zero = F.lit(0).cast("long")
+    both = counts.select("run_name", "label", "tp", "fp", zero.alias("support")).unionByName(
+        support.select("run_name", "label", zero.alias("tp"), zero.alias("fp"), "support")
     )
+    sums = ("tp", "fp", "support")
+    full = both.groupBy("run_name", "label").agg(*(F.sum(c).alias(c) for c in sums)).withColumn("fn", F.col("support") - F.col("tp"))
     p, r, f = prf(F.col("tp"), F.col("fp"), F.col("fn"))
-    rated = both.withColumns({"precision": p, "recall": r, "f1": f})
-    macro = rated.where("label != 'micro'").groupBy("run_name").agg(
-        F.lit("macro").alias("label"), *sums,
-        *(F.coalesce(F.avg(F.when(F.col("support") > 0, F.col(c))), F.lit(0.0)).alias(c) for c in ("precision", "recall", "f1")),
-    )
-    return rated.unionByName(macro)
+    numbers, shares = ("tp", "fp", "fn", "support"), ("precision", "recall", "f1")
+    row = F.struct("label", *numbers, *(c.alias(n) for n, c in zip(shares, (p, r, f))))
+    averages = (F.coalesce(F.avg(F.when(F.col("support") > 0, c)), F.lit(0.0)).alias(f"_{n}") for n, c in zip(shares, (p, r, f)))
+    runs = full.groupBy("run_name").agg(F.collect_list(row).alias("rows"), *(F.sum(c).alias(c) for c in numbers), *averages)
+    micro = prf(F.col("tp"), F.col("fp"), F.col("fn"))
+    lines = [F.struct(F.lit("micro").alias("label"), *numbers, *(c.alias(n) for n, c in zip(shares, micro)))]
+    lines.append(F.struct(F.lit("macro").alias("label"), *numbers, *(F.col(f"_{n}").alias(n) for n in shares)))
+    every = runs.withColumn("rows", F.concat("rows", F.array(*lines)))
+    return every.select("run_name", F.explode("rows").alias("s")).select("run_name", "s.*")
 
 
 def span_scores(docs: DataFrame, predicted: DataFrame) -> DataFrame:
@@ -283,9 +286,13 @@ def rates(ev: Evaluation, thresholds: DataFrame | None = None) -> DataFrame:
 
 def fp_rates(ev: Evaluation, thresholds: DataFrame | None = None) -> DataFrame:
     """fp_report of the negatives, with only the spans that reach the threshold of their run if there are thresholds."""
-    spans = _at_least(_side(ev, True), thresholds).groupBy("run_name").agg(F.sum("fp").alias("n_fp"))
-    documents = _at_least(ev.changes.where(F.col("label") == _DOC), thresholds).groupBy("run_name").agg(F.sum("fp").alias("n_docs_with_fp"))
-    counts = _runs(ev).join(spans, "run_name", "left").join(documents, "run_name", "left").na.fill(0, ["n_fp", "n_docs_with_fp"])
+    reach = F.lit(True) if thresholds is None else F.col("score") >= F.col("threshold")
+    count = lambda c: F.coalesce(F.sum(F.when(F.col("negative") & reach & c, F.col("fp"))), F.lit(0))
+    rows = ev.changes.where("run_name is not null")
+    if thresholds is not None:
+        rows = rows.join(F.broadcast(thresholds.select("run_name", "threshold")), "run_name")  # a row per detector
+    label = F.col("label")
+    counts = rows.groupBy("run_name").agg(count(~label.startswith("#")).alias("n_fp"), count(label == _DOC).alias("n_docs_with_fp"))
     return _fp_rated(counts, _negatives(ev))
 
 
@@ -345,37 +352,54 @@ def fixed_fpr_threshold(ev: Evaluation, points: DataFrame, target: float = 0.05)
 
 @dataclass
 class FixedRate:
-    """overall: a row per run; by_type: detection_rates at the threshold; curve: run_name, threshold, fpr, recall, chosen."""
-
-    overall: DataFrame
-    by_type: DataFrame
-    curve: DataFrame
+    """What holds at the threshold of each run, and around it."""
+
+    ev: Evaluation
+    target: float
+    metric: str
+    points: int
+    grid: DataFrame
+    chosen: DataFrame
+
+    @property
+    def by_type(self) -> DataFrame:
+        """detection_rates of the spans that reach the threshold."""
+        return rates(self.ev, self.chosen)
+
+    @property
+    def overall(self) -> DataFrame:
+        """(run_name, threshold, fpr, recall, precision, f1, macro_recall, n_kept, achieved, degenerate)"""
+        of = lambda label, c: F.max(F.when(F.col("label") == label, F.col(c)))
+        rated = self.by_type.groupBy("run_name").agg(
+            *(of("micro", c).alias(c) for c in ("recall", "precision", "f1")), of("macro", "recall").alias("macro_recall"),
+            (of("micro", "tp") + of("micro", "fp")).alias("n_kept"),
+        )
+        fpr = fp_rates(self.ev, self.chosen).select("run_name", F.col(FPR_COLUMN[self.metric]).alias("fpr"))
+        joined = self.chosen.join(rated, "run_name", "left").join(fpr, "run_name", "left")
+        zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
+        return joined.select(
+            "run_name", "threshold", *map(zero, ("fpr", "recall", "precision", "f1", "macro_recall")), F.coalesce("n_kept", F.lit(0)).alias("n_kept"),
+            (F.coalesce("fpr", F.lit(0.0)) <= self.target).alias("achieved"), "degenerate",
+        )
+
+    @property
+    def curve(self) -> DataFrame:
+        """(run_name, threshold, fpr, recall, chosen) at every threshold of the grid, or at `points` of them evenly by rank and the chosen one."""
+        step = (F.col("size") - 1) / F.lit(float(max(self.points - 1, 1)))
+        near = F.floor(F.col("rank") / step)
+        even = (F.col("size") <= self.points) | F.exists(F.sequence(near - 1, near + 1), lambda k: F.bround(k * step) == F.col("rank"))
+        is_chosen = F.col("threshold") == F.col("_t")
+        at = self.chosen.select("run_name", F.col("threshold").alias("_t"))
+        rows = self.grid.join(F.broadcast(at), "run_name").where(even | is_chosen)  # a row per detector
+        return rows.select("run_name", "threshold", "fpr", "recall", is_chosen.alias("chosen"))
 
 
 def at_fixed_fpr(ev: Evaluation, target: float = 0.05, metric: str = "per_doc", points: int = CURVE_POINTS) -> FixedRate:
-    """Recall with the false-positive rate held at `target`: over all, by label, and as a curve.
-
-    overall: run_name, threshold, fpr, recall, precision, f1, macro_recall, n_kept, achieved, degenerate. The curve has every threshold of
-    the grid, or `points` of them evenly by rank and the chosen one.
-    """
-    grid = materialise(operating_points(ev, target, metric), "operating-points")
-    chosen = fixed_fpr_threshold(ev, grid, target)
-    by_type = rates(ev, chosen)
-    micro = by_type.where("label = 'micro'").select("run_name", "recall", "precision", "f1", (F.col("tp") + F.col("fp")).alias("n_kept"))
-    macro = by_type.where("label = 'macro'").select("run_name", F.col("recall").alias("macro_recall"))
-    fpr = fp_rates(ev, chosen).select("run_name", F.col(FPR_COLUMN[metric]).alias("fpr"))
-    joined = chosen.join(micro, "run_name", "left").join(macro, "run_name", "left").join(fpr, "run_name", "left")
-    zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
-    overall = joined.select(
-        "run_name", "threshold", zero("fpr"), zero("recall"), zero("precision"), zero("f1"), zero("macro_recall"),
-        F.coalesce("n_kept", F.lit(0)).alias("n_kept"), (F.coalesce("fpr", F.lit(0.0)) <= target).alias("achieved"), "degenerate",
-    )
-    step = (F.col("size") - 1) / F.lit(float(max(points - 1, 1)))
-    near = F.floor(F.col("rank") / step)
-    even = (F.col("size") <= points) | F.exists(F.sequence(near - 1, near + 1), lambda k: F.bround(k * step) == F.col("rank"))
-    is_chosen = F.col("threshold") == F.col("_t")
-    curve = grid.join(F.broadcast(chosen.select("run_name", F.col("threshold").alias("_t"))), "run_name").where(even | is_chosen)
-    return FixedRate(overall, by_type, curve.select("run_name", "threshold", "fpr", "recall", is_chosen.alias("chosen")))
+    """Recall with the false-positive rate held at `target`: over all, by label, and as a curve. The thresholds, a row per detector, are fixed at once."""
+    grid = operating_points(ev, target, metric)
+    found = fixed_fpr_threshold(ev, grid, target)
+    chosen = ev.changes.sparkSession.createDataFrame(found.collect(), found.schema)  # a row per detector
+    return FixedRate(ev, target, metric, points, grid, chosen)
 
 
 def sides(positives: DataFrame, negatives: DataFrame) -> DataFrame:
