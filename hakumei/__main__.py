@@ -5,13 +5,14 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from collections import Counter
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import mask, match
-from .plans.detector import Detector
+from .plans.detector import Detector, PrecomputedSpans
 from .ship import ship
 from .sources import files
 
@@ -27,17 +28,31 @@ def _put(data: str, name: str) -> None:
         Path(name).write_bytes(data.encode())
 
 
-def _detector(args: argparse.Namespace) -> Detector:
-    return Detector(threshold=args.threshold, use_rules=not args.no_rules)
+def _detector(args: argparse.Namespace, spark: SparkSession) -> Detector:
+    model = calibrator = None
+    if args.model and not args.no_model:
+        if not Path(args.model).exists():
+            raise RuntimeError(f"there are no model spans at {args.model}")
+        model = PrecomputedSpans(spark.read.parquet(args.model))
+        if args.calibrator and not args.no_calibration:
+            calibrator = files.load_calibrator(args.calibrator)
+    return Detector(threshold=args.threshold, use_rules=not args.no_rules, model=model, calibrator=calibrator)
+
+
+def _input(args: argparse.Namespace, spark: SparkSession) -> DataFrame:
+    """The whole file as one document, whose id is the name of the file."""
+    return spark.createDataFrame([(args.input, _text(args.input))], "doc_id string, text string")
 
 
 def redact(args: argparse.Namespace, spark: SparkSession) -> int:
-    df = spark.createDataFrame([(_text(args.input),)], "text string")
-    row = _detector(args).redact(df).select("masked", F.transform("mask_map", lambda e: e).alias("m")).first()
+    row = _detector(args, spark).redact(_input(args, spark)).select("masked", F.transform("mask_map", lambda e: e).alias("m")).first()
     _put(row["masked"], args.out)
     if args.map:
         rename = {"start_pos": "start", "end_pos": "end"}
-        files.save_map([{rename.get(k, k): v for k, v in e.asDict().items()} for e in row["m"]], args.map)
+        files.save_map([{rename.get(k, k): v for k, v in e.asDict().items()} for e in row["m"]], args.map, args.input)
+    if not args.quiet:
+        counts = Counter(e["label"] for e in row["m"])
+        print("".join(f"{label} {n}\n" for label, n in counts.most_common()), end="", file=sys.stderr)
     return 0
 
 
@@ -49,8 +64,7 @@ def restore(args: argparse.Namespace, spark: SparkSession) -> int:
 
 
 def detect(args: argparse.Namespace, spark: SparkSession) -> int:
-    df = spark.createDataFrame([(_text(args.input),)], "text string")
-    spans = [s.asDict() for s in _detector(args).detect(df).select("spans").first()["spans"]]
+    spans = [s.asDict() for s in _detector(args, spark).detect(_input(args, spark)).select("spans").first()["spans"]]
     lines = [json.dumps(spans, ensure_ascii=False)] if args.json else ["\t".join(str(v) for v in s.values()) for s in spans]
     _put("".join(f"{x}\n" for x in lines), "-")
     return 0
@@ -60,8 +74,9 @@ def evaluate(args: argparse.Namespace, spark: SparkSession) -> int:
     gold = files.read_documents(spark, f"{args.data}/test.jsonl")
     negatives = files.read_documents(spark, f"{args.data}/negatives.jsonl")
     if args.limit:
-        gold, negatives = (df.orderBy("doc_id").limit(args.limit) for df in (gold, negatives))
-    detector = _detector(args)
+        place = F.monotonically_increasing_id()  # the order of the files
+        gold, negatives = (df.withColumn("_place", place).orderBy("_place").limit(args.limit).drop("_place") for df in (gold, negatives))
+    detector = _detector(args, spark)
     name = F.lit("engine").alias("run_name")
     found = [detector.detect(df.drop("spans")).select(name, "doc_id", F.col("spans")) for df in (gold, negatives)]
     predicted = found[0].unionByName(found[1]).persist()
@@ -87,6 +102,12 @@ def main(argv: list[str] | None = None) -> int:
         if name != "restore":
             sub.add_argument("--threshold", type=float, default=0.5)
             sub.add_argument("--no-rules", action="store_true")
+            sub.add_argument("--model", default="", help="a table of precomputed spans: doc_id, spans")
+            sub.add_argument("--no-model", action="store_true")
+            sub.add_argument("--calibrator", default="", help="a fitted calibrator for the model's scores")
+            sub.add_argument("--no-calibration", action="store_true")
+        if name == "redact":
+            sub.add_argument("-q", "--quiet", action="store_true", help="no counts of what was masked")
         if name == "detect":
             sub.add_argument("--json", action="store_true")
         if name == "eval":

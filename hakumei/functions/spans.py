@@ -89,8 +89,13 @@ def without_overlap(spans: Column, others: Column) -> Column:
 
 
 def first_from_left(spans: Column) -> Column:
-    """Left to right, the longer first at equal starts, without overlaps (what a mask replaces)."""
-    return greedy(ordered(present(spans), lambda s: s["start_pos"], lambda s: -length(s)))
+    """Left to right, the longer first at equal starts, without overlaps (what a mask replaces). Each span is compared with the last one kept only."""
+
+    def take(kept: Column, s: Column) -> Column:
+        last = F.get(kept, F.size(kept) - 1)
+        return F.when(last.isNotNull() & (last["end_pos"] > s["start_pos"]), kept).otherwise(F.concat(kept, F.array(s)))
+
+    return F.aggregate(ordered(present(spans), lambda s: s["start_pos"], lambda s: -length(s)), no_spans(), take)
 
 
 def _first_of_equal(sorted_spans: Column, same: Callable[[Column, Column], Column]) -> Column:

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import html
 import json
 import re
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import spans as S
 from ..functions import vocab
+from . import kernels
 
 DIMENSIONS = {"ginza": vocab.GINZA_LABELS, "presidio": vocab.PRESIDIO_LABELS}
 
@@ -80,6 +84,38 @@ def compared(ours: Column, theirs: Column) -> dict[str, Column]:
     }
 
 
+#: Style of what both found, ours alone and theirs alone.
+HIGHLIGHTS = {"both": "both", "ours": "ours", "theirs": "theirs"}
+
+
+def highlighted(text: Column, ours: Column, theirs: Column) -> Column:
+    """HTML of a text in which the characters that both, ours alone or theirs alone found stand in a mark of that class.
+
+    Text is escaped; runs of one class, whatever their spans, are one mark. Null text is null.
+    """
+
+    def run(texts: pa.Array, a: pa.ListArray, b: pa.ListArray) -> pa.Array:
+        out = []
+        for t, x, y in zip(texts.to_pylist(), a.to_pylist(), b.to_pylist()):
+            if t is None:
+                out.append(None)
+                continue
+            found = np.zeros(len(t), np.int8)
+            for bit, spans in ((1, x), (2, y)):
+                inside = np.zeros(len(t), bool)
+                for s in spans or ():
+                    inside[s["start_pos"] : s["end_pos"]] = True
+                found += (bit * inside).astype(np.int8)
+            cuts = [0, *(np.flatnonzero(np.diff(found)) + 1).tolist(), len(t)]
+            names = (None, HIGHLIGHTS["ours"], HIGHLIGHTS["theirs"], HIGHLIGHTS["both"])
+            parts = [(names[found[i]], html.escape(t[i:j])) for i, j in zip(cuts, cuts[1:]) if j > i]
+            out.append("".join(f'<mark class="{name}">{part}</mark>' if name else part for name, part in parts))
+        return pa.array(out, pa.string())
+
+    bare = lambda spans: F.transform(S.present(spans), lambda s: F.struct(s["start_pos"].alias("start_pos"), s["end_pos"].alias("end_pos")))
+    return kernels.arrow_function(run, "string")(text, bare(ours), bare(theirs))
+
+
 def parsed_answer(answer: str) -> list[tuple[str, str]]:
     """(type, value) pairs of a language model's answer: a JSON list anywhere in it, else pairs that look like one."""
     body = re.sub(r"<think>.*?</think>|^\s*```(?:json)?|```\s*$", "", answer or "", flags=re.S)

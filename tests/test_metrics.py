@@ -257,6 +257,13 @@ def test_recognised_entities(spark):
     assert [r["entity_type"] for r in some[0]["r"]] == ["PERSON"]
 
 
+def test_highlights(spark):
+    ours, theirs = [(0, 2, "NAME", "", 0.5, "model"), (5, 9, "NAME", "", 0.5, "model")], [(1, 3, "NAME", "", 0.5, "model")]
+    row = spark.createDataFrame([("ab<d&fgh", ours, theirs), ("x", None, []), (None, ours, None)], f"t string, a array<{S.SPAN}>, b array<{S.SPAN}>")
+    got = [r["h"] for r in row.select(compare.highlighted(F.col("t"), F.col("a"), F.col("b")).alias("h")).collect()]
+    assert got == ['<mark class="ours">a</mark><mark class="both">b</mark><mark class="theirs">&lt;</mark>d&amp;<mark class="ours">fgh</mark>', "x", None]
+
+
 def test_softmax(spark):
     row = spark.createDataFrame([([1000.0, 1000.0, 0.0],), ([],), (None,)], "z array<double>").select(calibrate.softmax(F.col("z")).alias("p")).collect()
     assert row[0]["p"] == [0.5, 0.5, 0.0] and row[1]["p"] == [] and row[2]["p"] is None
