@@ -47,7 +47,7 @@ def split_overlaps(
     side = F.when(canonical_subset(subset) == "train", F.lit(TRAIN)).otherwise(F.lit(EVALUATION))
     sketches = materialise(sketched(df, doc_id, text, sim, side, canonical_subset(subset)), "fingerprints")
     classes = text_classes(sketches)
-    pairs = within_radius(colliding_classes(classes, df, doc_id, text, sim), classes, sim.radius)
+    pairs = within_radius(colliding_classes(sketches, classes, df, doc_id, text, sim), classes, sim.radius)
     links = verified(pairs, df, doc_id, text, sim)
     members = sketches.select("doc_id", "side", "subset", "hi", "lo").distinct().join(classes.select("hi", "lo", "rep"), ["hi", "lo"])
     return Overlaps(materialise(members.select("doc_id", "side", "subset", "rep"), "members"), materialise(links, "links"))

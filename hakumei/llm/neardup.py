@@ -37,7 +37,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     sketches = materialise(sketched(df, doc_id, text, sim), "sketches")
     classes = text_classes(sketches)
     # every pair that shares a band is verified
-    links = verified(within_radius(colliding_classes(classes, df, doc_id, text, sim), classes, None), df, doc_id, text, sim)
+    links = verified(within_radius(colliding_classes(sketches, classes, df, doc_id, text, sim), classes, None), df, doc_id, text, sim)
     reps = classes.select("hi", "lo", "rep")
     members = sketches.select("doc_id", "hi", "lo").distinct().join(reps, ["hi", "lo"]).select("doc_id", "rep")
     return NearDuplicates(materialise(members, "members"), materialise(links, "links"))

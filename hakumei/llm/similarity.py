@@ -37,6 +37,10 @@ from .base import materialise, release
 #: Classes under one key that are paired inside one task.
 RUN = 256
 
+#: One class in SAMPLED is looked at to find keys that hold so many classes that no task should even see them all: those with HEAVY of the
+#: classes looked at, the HEAVY_KEYS heaviest at most. This only decides which way their pairs are found.
+SAMPLED, HEAVY, HEAVY_KEYS = 64, 32, 10_000
+
 #: Candidate representatives up to this number are sent to all executors (about 40 bytes each);
 #: beyond, their texts are fetched by a shuffled join.
 BROADCAST_IDS = 200_000
@@ -204,13 +208,28 @@ def paired_by_key(rows: DataFrame, fit: Fit) -> DataFrame:
     return rows.mapInArrow(run, "lo_a long, lo_b long, key long, lo long, side int, size int, rank int")
 
 
-def colliding_classes(classes: DataFrame, df: DataFrame, doc_id: str, text: str, sim: Similarity) -> DataFrame:
+def heavy_keys(sketches: DataFrame, sampled: int = SAMPLED) -> DataFrame | None:
+    """(key): block keys of a large share of all classes, found among one class in `sampled`; None if there are none."""
+    some = sketches.where(F.pmod("lo", F.lit(sampled)) == 0).groupBy("hi", "lo").agg(F.first("keys").alias("keys"))
+    counts = some.select(F.explode("keys").alias("key")).groupBy("key").count().where(F.col("count") >= HEAVY)
+    keys = counts.orderBy(F.desc("count"), "key").limit(HEAVY_KEYS).select("key").collect()  # bounded by HEAVY_KEYS
+    return sketches.sparkSession.createDataFrame(keys, "key long") if keys else None
+
+
+def colliding_classes(
+    sketches: DataFrame, classes: DataFrame, df: DataFrame, doc_id: str, text: str, sim: Similarity, sampled: int = SAMPLED
+) -> DataFrame:
     """Distinct pairs (lo_a < lo_b) of classes on both sides that share a block key, or, where their keys are long, could be similar enough."""
     zero = F.lit(0)
     rows = classes.select("lo", "side", F.explode("keys").alias("key")).withColumns({"size": zero, "rank": zero})
-    found = materialise(paired_by_key(rows, _crossing), "collisions")
+    heavy = heavy_keys(sketches, sampled)
+    light = rows if heavy is None else rows.join(F.broadcast(heavy), "key", "left_anti")  # HEAVY_KEYS rows
+    found = materialise(paired_by_key(light, _crossing), "collisions")
     pairs = found.where("lo_b is not null").select("lo_a", "lo_b")
-    hot = found.where("lo_b is null").select("lo").distinct()
+    hot = found.where("lo_b is null").select("lo")
+    if heavy is not None:
+        hot = hot.unionByName(rows.join(F.broadcast(heavy), "key", "left_semi").select("lo"))
+    hot = hot.distinct()
     if hot.isEmpty():
         return pairs.distinct()
     members = materialise(classes.join(hot, "lo", "left_semi").select("lo", "rep", "side"), "hot-classes")

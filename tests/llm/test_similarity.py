@@ -9,7 +9,7 @@ from hakumei.llm import shingles
 from hakumei.llm.components import connected_components
 from hakumei.llm.crosssplit import crossing_pairs, overlap_report, split_overlaps
 from hakumei.llm.neardup import document_pairs, duplicate_groups, near_duplicates
-from hakumei.llm.similarity import Similarity, _crossing, paired_by_key, prefix_pairs, sketched, text_classes
+from hakumei.llm.similarity import Similarity, _crossing, colliding_classes, heavy_keys, paired_by_key, prefix_pairs, sketched, text_classes, verified, within_radius
 
 CHARS = "あいうえおかきくけこさしすせそたちつてとなにぬねのはひふへほまみむめも"
 
@@ -105,6 +105,11 @@ def test_hot_block_of_unlike_texts_against_brute_force(spark):
     assert paired_by_key(classes.select("lo", "side", F.explode("keys").alias("key")).withColumns({"size": F.lit(0), "rank": F.lit(0)}), _crossing).where("lo_b is null").count() > 256
     got = [tuple(r) for r in document_pairs(near_duplicates(df)).collect()]
     assert len(got) == len(set(got)) and set(got) == expected(data)
+    # keys known to be heavy beforehand give the same pairs
+    sketches = sketched(df, "doc_id", "text", sim)
+    assert heavy_keys(sketches, 1).count() >= 1 and heavy_keys(sketches, 1 << 40) is None
+    candidates = within_radius(colliding_classes(sketches, classes, df, "doc_id", "text", sim, 1), classes, None)
+    assert {tuple(r) for r in verified(candidates, df, "doc_id", "text", sim).select("rep_a", "rep_b").collect()} == set(got)
 
 
 def test_hot_block_of_50000_texts_has_few_candidates(spark):
