@@ -122,6 +122,7 @@ class _Flow:
         self.log: list[tuple[int, int, int, int, int]] = []
         self.partial: set[int] = set()
         self.arcs: dict[tuple[int, int], list] = defaultdict(list)
+        self.single_arcs: dict[tuple[int, int], list] = defaultdict(list)  # of bundles of single records, which are never divided
         for b, bundle in enumerate(bundles):
             s = min(range(self.k), key=lambda t: (self.unit[b][t], t))
             self.change(b, s, bundle.n * bundle.size, 0, bundle.n * bundle.size)
@@ -131,7 +132,10 @@ class _Flow:
         if not x[t] and free > 0:
             for u in range(self.k):
                 if u != t:
-                    heapq.heappush(self.arcs[t, u], (self.unit[b][u] - self.unit[b][t], b))
+                    arc = (self.unit[b][u] - self.unit[b][t], b)
+                    heapq.heappush(self.arcs[t, u], arc)
+                    if size == 1:
+                        heapq.heappush(self.single_arcs[t, u], arc)
         x[t] += free
         self.changes += 1
         self.fixed[b][t] += fixed
@@ -161,17 +165,17 @@ class _Flow:
                 self.shift(b, s, t, min(lack, self.free[b][s]))
         self.change(b, t, -size, 1, 0)
 
-    def _arc(self, s: int, t: int) -> tuple[float, int]:
-        heap = self.arcs[s, t]
+    def _arc(self, s: int, t: int, singles: bool) -> tuple[float, int]:
+        heap = (self.single_arcs if singles else self.arcs)[s, t]
         while heap and not self.free[heap[0][1]][s]:
             heapq.heappop(heap)
         return heap[0] if heap else (math.inf, -1)
 
-    def balance(self) -> None:
-        """The cheapest flow of free records: records go along the cheapest chain of residual arcs until none lowers the cost."""
+    def balance(self, singles: bool = False) -> None:
+        """The cheapest flow of free records, or of single ones only: records go along the cheapest chain of residual arcs until none lowers the cost."""
         k, quotas, load = self.k, self.quotas, self.load
         while True:
-            arc = {(s, t): self._arc(s, t) for s in range(k) for t in range(k) if s != t}
+            arc = {(s, t): self._arc(s, t, singles) for s in range(k) for t in range(k) if s != t}
             far = {st: (c, [st]) for st, (c, _) in arc.items()}
             for via in range(k):
                 for s in range(k):
@@ -205,6 +209,17 @@ class _Flow:
             self.undo(mark)
         return sorted(found, reverse=True)
 
+    def rounded(self) -> tuple[float, list[list[int]]]:
+        """A whole solution near the flow: divided components go where that costs least, and single records make up for it."""
+        mark = len(self.log)
+        while self.partial:
+            _, b, t = self.branches(math.inf)[-1]
+            self.fix(b, t)
+            self.balance(singles=True)
+        found = self.cost(), self.whole()
+        self.undo(mark)
+        return found
+
     def whole(self) -> list[list[int]]:
         return [[x // b.size + n for x, n in zip(free, fixed)] for b, free, fixed in zip(self.bundles, self.free, self.fixed)]
 
@@ -214,34 +229,40 @@ def allocate(bundles: list[Bundle], quotas: list[float], deviation: float = 10.0
 
     The flow of records minimises (records that change split) + deviation x (records over or under
     quota). All records start in their cheapest split and go along the cheapest chain of residual
-    arcs between splits as long as that lowers the cost, which is exact for records. A component that the flow
-    divides is fixed as a whole, the largest first, where the flow of the rest costs least; then the other splits
-    are tried, the last one first, unless their flow costs as much as the best whole solution. Whole components are a
+    arcs between splits as long as that lowers the cost, which is exact for records. A first whole solution rounds it: the
+    few components that the flow divides are put where that costs least, and single records make up for it. Then branch and
+    bound: a divided component is fixed as a whole, the largest first, where the flow of the rest costs least; then the other splits
+    are tried, the last one first, unless their flow can't lead below the best whole solution. Whole components are a
     packing problem: the result is the best one unless SEARCH changes of the flow don't suffice, then the best one seen, with a warning.
     """
     flow = _Flow(bundles, quotas, deviation, settled)
     flow.balance()
-    best, cost, limit = None, math.inf, math.inf
+    if not flow.partial:
+        return flow.whole()
+    bound = flow.cost()
+    cost, best = flow.rounded()
+    # whole numbers of records differ in cost by one at least
+    gap = 1 - 1e-5 if float(deviation).is_integer() and all(float(x).is_integer() for b in bundles for x in b.stay) else 1e-6
     levels: list[tuple[int, list]] = []
-    while True:
+    limit = flow.changes + SEARCH
+    while bound < cost - gap:
         if flow.partial:
-            levels.append((len(flow.log), flow.branches(cost)))
-        elif flow.cost() < cost - 1e-6:
-            if best is None:
-                limit = flow.changes + SEARCH
+            levels.append((len(flow.log), flow.branches(cost - gap + 1e-6)))
+        elif flow.cost() < cost - gap:
             best, cost = flow.whole(), flow.cost()
-        while levels and not (levels[-1][1] and levels[-1][1][-1][0] < cost - 1e-6):
+        while levels and not (levels[-1][1] and levels[-1][1][-1][0] < cost - gap):
             levels.pop()
         if not levels:
-            return best
+            break
         if flow.changes > limit:
-            warnings.warn(f"allocation: the best solution may cost less than the one found, {cost:.0f}", stacklevel=2)
-            return best
+            warnings.warn(f"allocation: the least cost is between {bound:.0f} and the {cost:.0f} found", stacklevel=2)
+            break
         mark, open_ = levels[-1]
         flow.undo(mark)
         _, b, t = open_.pop()
         flow.fix(b, t)
         flow.balance()
+    return best
 
 
 def _home() -> Column:
