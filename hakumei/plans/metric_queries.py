@@ -332,7 +332,7 @@ def _threshold_sql(metric: str, target: float) -> str:
     return f"""allp AS (SELECT run_name, doc_id, unnest(list_transform(spans, lambda s: round(s.score, 12))) AS score FROM pred WHERE doc_id IN (SELECT doc_id FROM pos UNION ALL SELECT doc_id FROM neg)),
       ev0 AS (SELECT run_name, doc_id, unnest(list_transform(spans, lambda s: round(s.score, 12))) AS score FROM pred WHERE doc_id IN (SELECT doc_id FROM neg)), ev AS ({event}),
       den AS (SELECT {size} AS n, count(*) AS n_neg FROM neg), grid AS (SELECT DISTINCT run_name, score AS t FROM allp UNION SELECT run_name, max(score) + 1e-6::DOUBLE FROM allp GROUP BY 1),
-      evl AS (SELECT run_name, t, n_ev, n_ev / nullif(den.n, 0) AS fpr, n_neg = 0 OR n_ev <= {target}::DOUBLE * den.n + 1e-9::DOUBLE AS meets, n_neg FROM
+      evl AS (SELECT run_name, t, n_ev, coalesce(n_ev / nullif(den.n, 0), 0) AS fpr, n_neg = 0 OR n_ev <= {target}::DOUBLE * den.n + 1e-9::DOUBLE AS meets, n_neg FROM
         (SELECT g.run_name, g.t, (SELECT count(*) FROM ev WHERE ev.run_name = g.run_name AND ev.score >= g.t) AS n_ev FROM grid g), den),
       best AS (SELECT run_name, min(t) FILTER (meets) AS t, max(t) AS above, any_value(n_neg) AS n_neg FROM evl GROUP BY run_name),
       thr AS (SELECT r.run_name, CASE WHEN above IS NULL THEN 0.0::DOUBLE ELSE t END AS threshold,
